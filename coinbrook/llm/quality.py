@@ -58,45 +58,54 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(bound(F.sort_array(windows), marked)).cast("long")
 
 
-def measure(df: DataFrame) -> DataFrame:
-    """doc_id and the measurements of each text."""
-    text = F.col("text")
-    docs = documents(df)
+def measurements(text: Column) -> Column:
+    """A struct of the measurements of ``text``."""
     per_words = bound(
         F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words")),
     )
-    line_counts = bound(
+    per_lines = bound(
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")),
     )
-    return docs.select(
-        "doc_id",
-        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        per_words.alias("w"),
-        line_counts.alias("l"),
-    ).select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
+    n_symbols = (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
+    return bound(
+        F.struct(per_words.alias("w"), per_lines.alias("l"), n_symbols.alias("n_symbols")),
+        lambda m: F.struct(
+            *[m["w"][c].alias(c) for c in ("n_words", "word_chars")], m["n_symbols"].alias("n_symbols"), *[m["l"][c].alias(c) for c in ("n_lines", "n_dup_lines")], m["w"]["n_repeat_words"].alias("n_repeat_words")
+        ),
+    )
 
 
-def failures() -> dict[str, Column]:
+def failures(m: Column) -> dict[str, Column]:
     """Each rule's condition over the measurements; integers only, so that any engine agrees."""
-    c = F.col
     return {
-        "few_words": c("n_words") < 50,
-        "repeated_windows": 100 * c("n_repeat_words") > 50 * c("n_words"),
-        "symbol_heavy": 100 * c("n_symbols") > 10 * c("word_chars"),
-        "duplicate_lines": 100 * c("n_dup_lines") > 50 * c("n_lines"),
-        "long_words": c("word_chars") > 20 * c("n_words"),
+        "few_words": m["n_words"] < 50,
+        "repeated_windows": 100 * m["n_repeat_words"] > 50 * m["n_words"],
+        "symbol_heavy": 100 * m["n_symbols"] > 10 * m["word_chars"],
+        "duplicate_lines": 100 * m["n_dup_lines"] > 50 * m["n_lines"],
+        "long_words": m["word_chars"] > 20 * m["n_words"],
     }
 
 
+def failed_bits(m: Column) -> Column:
+    """A bit of RULES for each rule that the measurements fail."""
+    total = F.lit(0)
+    for name, condition in failures(m).items():
+        total = total.bitwiseOR(F.when(condition, F.lit(1 << RULES[name])).otherwise(F.lit(0)))
+    return total.cast("long")
+
+
 def ledger(df: DataFrame) -> DataFrame:
-    """Measurements and ``failed_bits``, a bit of RULES for each rule that the text fails."""
-    bits = [F.when(cond, F.lit(1 << RULES[name])).otherwise(F.lit(0)) for name, cond in failures().items()]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return measure(df).withColumn("failed_bits", total.cast("long"))
+    """doc_id, the measurements and ``failed_bits``, a row for each row of ``df``."""
+    rows = documents(df).select("doc_id", bound(measurements(F.col("text")), lambda m: F.struct(m.alias("m"), failed_bits(m).alias("bits"))).alias("x"))
+    return rows.select("doc_id", "x.m.*", F.col("x.bits").alias("failed_bits"))
+
+
+def keep(df: DataFrame, policy: str = "standard-1") -> DataFrame:
+    """The rows of ``df`` whose text the policy keeps, with all their columns."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.filter(bound(measurements(text), failed_bits).bitwiseAND(F.lit(mask(policy))) == 0)
 
 
 def apply_policy(ledger_df: DataFrame, policy: str = "standard-1") -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coinbrook.llm import bpe, licenses, quality, warc
+import corpus_pipeline
+from coinbrook.llm import bpe, decontam, jaccard, langid, licenses, pii, quality, repeats, toolcalls, warc
 from coinbrook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,30 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found_spans")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.tool_links(table(spark, sf_dir, "conversations"))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(table(spark, sf_dir, "pages"))
 
@@ -29,7 +54,19 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op9_warc_revisits, op10_quality_ledger)}
+    own = (
+        op1_byte_bpe,
+        op2_license_scan,
+        op3_decontamination,
+        op4_jaccard_join,
+        op5_repeated_passages,
+        op6_personal_data,
+        op7_tool_calls,
+        op8_language_mixture,
+        op9_warc_revisits,
+        op10_quality_ledger,
+    )
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
