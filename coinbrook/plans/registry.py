@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from coinbrook.plans import cash_queries, match_queries, text_queries
+from coinbrook.plans.ledgers import DataFrame, SparkSession  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
+_PARTS = (cash_queries.QUERIES, match_queries.QUERIES, text_queries.QUERIES)
 
-Query = Callable[[SparkSession, str], DataFrame]
 
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict:
+    return {name: fn for part in _PARTS for name, (fn, _) in part.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.items() if sql}
