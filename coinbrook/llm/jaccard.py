@@ -276,7 +276,8 @@ def exact_links(df: DataFrame, members: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
     placed = members.join(totals, "label").withColumn("k", blocks).withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("k")).cast("int"))
     texts = documents(df).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("dh"), "text")
-    chosen = placed.join(texts, (placed["rep"] == texts["did"]) & (placed["dh"] == texts["dh"])).select("label", "set_id", "copies", "k", "block", "text")
+    # Always a merge join: texts are moved once at every size, whatever the members' side happens to weigh.
+    chosen = placed.join(texts.hint("merge"), (placed["rep"] == texts["did"]) & (placed["dh"] == texts["dh"])).select("label", "set_id", "copies", "k", "block", "text")
     shape = "label long, set_id long, copies long, k int, block int, shingles binary"
 
     def to_sets(batches):
