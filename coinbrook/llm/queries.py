@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from coinbrook.llm import bpe, decontam, jaccard, langid, licenses, pii, quality, repeats, toolcalls, warc
@@ -38,7 +39,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.tool_links(table(spark, sf_dir, "conversations"))
+    return toolcalls.tool_links(table(spark, sf_dir, "conversations")).withColumn("problems", F.array_join("problems", "; "))
 
 
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_revisits": warc.PAGES_SQL, "op10_quality_ledger": quality.LEDGER_SQL}
+    return {"op7_tool_calls": toolcalls.PLAIN_TURNS_SQL, "op9_warc_revisits": warc.PAGES_SQL, "op10_quality_ledger": quality.LEDGER_SQL}

@@ -187,3 +187,15 @@ def link(parsed: DataFrame) -> DataFrame:
 def tool_links(conversations: DataFrame) -> DataFrame:
     """``link`` over the calls and results of ``conversations``."""
     return link(parse(conversations))
+
+
+#: DuckDB's form for tables whose texts are plain turns and hold each turn once.
+PLAIN_TURNS_SQL = """
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT * FROM t WHERE role = 'user'), r AS (SELECT * FROM t WHERE role = 'assistant')
+SELECT c.conv_id, c.conv_id || ':' || c.turn AS call_id, 'reply' AS name, c.turn, r.turn AS result_turn, 0 AS level, CASE WHEN r.turn IS NULL THEN 'open' ELSE 'linked' END AS status, c.text <> '' AS valid,
+  CASE WHEN c.text = '' THEN '$.text: too short' ELSE '' END AS problems,
+  '{"arguments":{"text":' || CAST(to_json(c.text) AS VARCHAR) || '},"id":"' || c.conv_id || ':' || c.turn || '","name":"reply","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS canonical
+FROM c LEFT JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND r.turn = c.turn + 1
+UNION ALL SELECT r.conv_id, r.conv_id || ':' || (r.turn - 1), NULL, NULL, r.turn, NULL, 'orphan', FALSE, '', CAST(to_json(r.text) AS VARCHAR)
+FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.turn = r.turn - 1)"""

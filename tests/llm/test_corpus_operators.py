@@ -225,6 +225,17 @@ def test_tool_links_cover_the_table(spark, sf):
     assert {(r.conv_id, r.turn) for r in got if r.status == "linked"} == {(c, t) for c, t in calls if turns.get((c, t + 1)) == "assistant"}
 
 
+def test_tool_links_sql_form(spark, sf):
+    import duckdb
+
+    from coinbrook.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    rel = con.sql(toolcalls.PLAIN_TURNS_SQL)
+    assert Counter(map(tuple, queries.op7_tool_calls(spark, sf).select(*rel.columns).collect())) == Counter(rel.fetchall())
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     """Each stage against what its operator says about its own input."""
     item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
