@@ -214,3 +214,60 @@ def test_knowledge(spark):
     outcomes = spark.createDataFrame([("t", True, False, False, True), ("t", True, True, True, False), ("t", False, True, False, False)], "task string, valid boolean, abstained boolean, should_abstain boolean, correct boolean")
     m = knowledge.evaluation_metrics(outcomes).first()
     assert (m.accuracy, m.abstention_precision, m.abstention_recall) == (1.0, 0.5, 1.0)
+
+
+def test_dashboard(spark, categories):
+    from coinbrook.operators import dashboard as d
+
+    rows = frame(spark, *[txn(i, "-16.99", f"2026-0{i}-15", description="Netflix") for i in (4, 5, 6)], txn(7, "100", "2026-06-01"), txn(8, "-50", "2026-06-02", description="Once"), txn(9, "-9", "2026-06-03"), txn(10, "9", "2026-06-03", account_id="a2"))
+    links = spark.createDataFrame([("s", "t9", "t10", "confirmed")], "signature string, outflow_id string, inflow_id string, status string")
+    decisions = spark.createDataFrame([("netflix:cad:CAD:monthly", 1, "confirmed")], "signature string, ordinal int, status string")
+    a = spark.createDataFrame([alias("netflix", 1, "netflix")], ALIAS_SCHEMA)
+    inputs = d.Inputs(rows, categories, a, links, decisions)
+    out = d.dashboard(inputs, date(2026, 7, 1))
+    one = out["cash_flow"].first()
+    assert (one.income, one.spending, one.transfers) == (D(100), D("100.97"), D(18))
+    assert out["recurring"].first().confirmed_spend == D("16.99")
+    only = d.dashboard(inputs, date(2026, 7, 1), recurring_statuses=("confirmed",))
+    assert only["cash_flow"].first().spending == D("50.97") and only["merchants"].count() == 1
+    assert d.dashboard(inputs, date(2026, 7, 1), recurring_statuses=("muted",))["cash_flow"].count() == 0
+    assert d.takeaways(out["cash_flow"]).first().takeaway == "Spending exceeds income by CAD 0.97."
+
+
+def test_entities(spark):
+    from coinbrook.operators import entities as e
+
+    m = spark.createDataFrame([("a", False, None), ("b", False, None)], "merchant_id string, archived boolean, redirect_to string")
+    al = spark.createDataFrame([("a", "x", "exact"), ("b", "x", "exact"), ("a", "y", "exact")], "merchant_id string, pattern string, match_mode string")
+    m2, al2 = e.merge_merchants(m, al, "a", "b")
+    assert {tuple(r) for r in m2.collect()} == {("a", True, "b"), ("b", False, None)} and al2.count() == 4
+    assert {tuple(r) for r in e.unmerge_merchant(m2, "a").collect()} == {tuple(r) for r in m.collect()}
+    assert e.seeded_categories(spark.createDataFrame([], "category_id string, name string, kind string, position int")).count() == 11
+    t = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    change = spark.createDataFrame([(1, ("x",), ("z",))], "id long, before struct<v:string>, after struct<v:string>")
+    done = e.apply_operation(t, change, "id")
+    assert sorted(map(tuple, done.collect())) == [(1, "z"), (2, "y")] and sorted(map(tuple, e.undo_operation(done, change, "id").collect())) == [(1, "x"), (2, "y")]
+    with pytest.raises(Exception, match="changed meanwhile"):
+        e.apply_operation(done, change, "id").collect()
+    acc = spark.createDataFrame([("a1", "CAD"), ("a2", "CAD")], "account_id string, currency string")
+    led = frame(spark, txn(1, "1"))
+    assert [sorted(map(tuple, e.change_currency(acc, led, a, "USD").collect())) for a in ("a1", "a2")] == [[("a1", "CAD"), ("a2", "CAD")], [("a1", "CAD"), ("a2", "USD")]]
+    row = spark.createDataFrame([("0e8dd1a2-1111-4abc-8abc-0123456789ab",), ("nope",)], "u string")
+    assert [r[0] for r in row.select(e.is_uuid(F.col("u"))).collect()] == [True, False]
+
+
+def test_files(spark, tmp_path):
+    from coinbrook.sources import sinks
+
+    df = spark.createDataFrame([(2, "b"), (1, "é")], "id long, name string")
+    sinks.write_knowledge({"categories": df}, str(tmp_path / "k"))
+    assert sorted(map(tuple, sinks.read_knowledge(spark, str(tmp_path / "k"), {"categories": "id long, name string"})["categories"].collect())) == [(1, "é"), (2, "b")]
+    sinks.write_backup({"s": df}, str(tmp_path / "b"))
+    assert sinks.read_backup(spark, str(tmp_path / "b"))["s"].count() == 2
+    df.filter("id = 1").write.mode("overwrite").parquet(str(tmp_path / "b" / "s"))
+    with pytest.raises(ValueError, match="differ"):
+        sinks.read_backup(spark, str(tmp_path / "b"))
+    sinks.write_error_report(spark.createDataFrame([("line:1", "INVALID_AMOUNT", "=x")], "source_location string, code string, rejected string"), str(tmp_path / "e"))
+    lines = b"".join(p.read_bytes() for p in (tmp_path / "e").glob("part-*"))
+    assert lines == b'"line:1","INVALID_AMOUNT","","","","\'=x",""\r\n'
+    assert sinks.fingerprints(frame(spark, txn(1, "1.00"), txn(2, "1", description="Payment 1"))).select("fingerprint").distinct().count() == 1
