@@ -89,7 +89,8 @@ _DIGIT_WORD = re.compile(r"\b(?:" + "|".join(DIGIT_WORDS) + r")\b", re.I)
 _DIGIT_RUN = re.compile(rf"{_DIGIT_WORD.pattern}(?:[ -]{_DIGIT_WORD.pattern}){{2,}}", re.I)
 _PLUS_WORD = re.compile(r"\bplus (?=[0-9])", re.I)
 _BRACKET = {sign: re.compile(rf"\s?[\[({{<]\s?(?:{word})\s?[\])}}>]\s?", re.I) for sign, word in (("@", "at|@"), (".", r"dot|\."))}
-_SPOKEN = re.compile(r"(?<=[A-Za-z0-9])( at )(?=[A-Za-z0-9-]+ dot [A-Za-z])", re.I)
+#: Not before a determiner: "look at the dot" is no address.
+_SPOKEN = re.compile(r"(?<=[A-Za-z0-9]) at (?!(?:the|a|an|this|that|these|those|each|every) )(?=[A-Za-z0-9-]+ dot [A-Za-z])", re.I)
 _SPOKEN_DOMAIN = re.compile(r"(?<=@)[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+", re.I)
 _SPOKEN_LOCAL = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9._%+-]+@)", re.I)
 _SPOKEN_POINT = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
