@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from coinbrook.llm.common import documents, slices
 
 #: Pieces held by a worker's memo; it is emptied beyond that.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 120_000
 
 
 def byte_alphabet() -> list[str]:
@@ -70,8 +70,8 @@ class ByteBpe:
             self.memo.clear()
         memo = self.memo
         new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in memo]
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
+        for start in range(0, len(new), 2_000):
+            some = new[start : start + 2_000]
             spelled = ["".join(map(self.alphabet.__getitem__, p.encode())) for p in some]
             memo.update(zip(some, (tuple(e.ids) for e in self.model.encode_batch_fast(spelled, add_special_tokens=False)), strict=True))
         for pieces in split:

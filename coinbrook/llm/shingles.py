@@ -7,6 +7,8 @@ import re
 import numpy as np
 
 WORDS_IN_SHINGLE = 5
+#: Words held by a memo before it is emptied: some 15 MB of a worker.
+MEMO_WORDS = 60_000
 _WORD = re.compile(r"\w+")
 
 
@@ -19,7 +21,7 @@ def word_hashes(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
     """64-bit hashes of words; ``memo`` is the caller's and is emptied when large."""
     import xxhash
 
-    if len(memo) > 500_000:
+    if len(memo) > MEMO_WORDS:
         memo.clear()
     out = np.empty(len(tokens), np.uint64)
     for i, t in enumerate(tokens):
