@@ -212,7 +212,8 @@ def components(links: DataFrame) -> DataFrame:
     label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        stepped = label.join(near, label["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        # Written before the jump, so that both sides of that join are plain shuffles and a label that many nodes share can be split.
+        stepped = cut(label.join(near, label["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label")))
         jump = stepped.select(F.col("node").alias("label"), F.col("label").alias("l"))
         new = cut(stepped.join(jump, "label").select("node", "old", F.least("label", "l").alias("label")))
         if new.filter("label <> old").isEmpty():
