@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinbrook.llm.common import shared_dir
+from coinbrook.llm.common import cut, shared_dir
 
 CRLF = "\r\n"
 #: Records in a file at most, which bounds what a reader holds.
@@ -36,9 +36,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "record_id string, record_type string, page_id long, payload_digest string, content_bytes long, refers_to_record string, target_uri string, payload binary"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 of SHA-1: each 5 hex digits are 20 bits, so 4 characters."""
-    hexed = F.sha1(data)
+def base32(hexed: Column) -> Column:
+    """Bare upper-case base32 of a hex SHA-1: each 5 hex digits are 20 bits, so 4 characters."""
     parts = []
     for g in range(8):
         number = F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int")
@@ -47,29 +46,31 @@ def base32_sha1(data: Column) -> Column:
 
 
 def headers(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes and payload_digest of each row."""
+    """page_id, url, html, payload_bytes and payload_sha1 (hex, the key of all joins) of each row."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
-    return rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.encode("html", "UTF-8"))})
+    return rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_sha1": F.sha1(F.encode("html", "UTF-8"))})
 
 
 def resolve(head: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """A row for each record: page_id, url, payload_bytes, payload_digest, copy (0, 1, ... of equal rows), record_type, refers_to and refers_url.
+    """A row for each record: page_id, url, payload_bytes, payload_sha1, payload_digest (base32), copy (0, 1, ... of equal rows), record_type, refers_to and refers_url.
 
     Equal identities are counted before the shuffle by digest, and the smallest page
     of a digest is an aggregate, so a payload that a third of all pages share costs a
     row for each page and task.
     """
-    key = ["page_id", "url", "payload_digest", "payload_bytes"]
-    counted = head.groupBy(*key).agg(F.count("*").alias("n"))
+    key = ["page_id", "url", "payload_sha1", "payload_bytes"]
+    # Written: it is used twice, and pages are hashed for it.
+    counted = cut(head.groupBy(*key).agg(F.count("*").alias("n")))
     # Nulls last: the flag sorts before the number.
     rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
-    first = counted.groupBy("payload_digest").agg(F.min(rank).alias("first"))
-    rows = counted.join(first, "payload_digest").select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
+    first = counted.groupBy("payload_sha1").agg(F.min(rank).alias("first"))
+    rows = counted.join(first, "payload_sha1").select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
     is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url")) & (F.col("copy") == 0)
     response = is_first | (F.col("payload_bytes") < min_bytes)
     return rows.select(
         *key,
+        base32(F.col("payload_sha1")).alias("payload_digest"),
         "copy",
         F.when(response, "response").otherwise("revisit").alias("record_type"),
         F.when(~response, F.col("first.page_id")).alias("refers_to"),
@@ -86,16 +87,16 @@ def record_id(page_id: Column, url: Column, digest: Column, copy: Column) -> Col
 
 def write_archives(records: DataFrame, head: DataFrame, path: str) -> None:
     """Writes gzipped WARC/1.1 files to ``path``: full responses, and revisits that name them. Payloads are shuffled once a digest."""
-    payloads = head.groupBy("payload_digest").agg(F.first("html").alias("html"))
-    reply = records.filter("record_type = 'response'").join(payloads, "payload_digest")
+    payloads = head.groupBy("payload_sha1").agg(F.first("html").alias("html"))
+    reply = records.filter("record_type = 'response'").join(payloads, "payload_sha1")
     again = records.filter("record_type = 'revisit'").withColumn("html", F.lit(""))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     safe = lambda url: F.regexp_replace(url, r"[\r\n]", " ")
-    first_id = record_id(F.col("refers_to"), F.col("refers_url"), F.col("payload_digest"), F.lit(0))
+    first_id = record_id(F.col("refers_to"), F.col("refers_url"), F.col("payload_sha1"), F.lit(0))
     block = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("copy"))),
+        line("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("payload_sha1"), F.col("copy"))),
         line("WARC-Date", F.lit(WARC_DATE)),
         line("WARC-Target-URI", safe(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
