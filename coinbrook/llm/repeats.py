@@ -264,7 +264,8 @@ def find_spans(docs: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
     all_anchors = cut(anchor_table(docs))
     # Longs only, so that each task sums in a hash table before the shuffle.
     counts = all_anchors.groupBy("kh").agg(F.count("*").alias("total"), F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d"))
-    again = counts.filter("total > 1").select("kh", (~((F.col("a") == F.col("b")) & (F.col("c") == F.col("d")))).alias("mixed"))
+    # Written, so that the join's sides are plain shuffles and an anchor string that many texts share can be split.
+    again = cut(counts.filter("total > 1").select("kh", (~((F.col("a") == F.col("b")) & (F.col("c") == F.col("d")))).alias("mixed")))
     candidates = cut(all_anchors.join(again, "kh"))
     firsts = [F.first(c).alias(c) for c in ("did", "dh", "place", "w_first", "w_last")]
     kinds = cut(candidates.groupBy("kh", "c1", "c2", "mixed").agg(F.count("*").alias("n"), *firsts))
