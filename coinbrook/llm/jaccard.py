@@ -187,7 +187,8 @@ def candidate_links(reps: DataFrame, recall: float = RECALL, bucket: int = BUCKE
     level = reps.withColumn("nodes", roots(runs_for(recall, depth)))
     for d in range(depth):
         children = cut(split(level))
-        sizes = children.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1")
+        # Written, so that the join's sides are plain shuffles and a node with many members can be split.
+        sizes = cut(children.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1"))
         met = cut(children.join(sizes, "node"))
         small = bucket_links(met.filter(F.col("n") <= bucket).join(reps, "rep"))
         found = small if found is None else found.unionByName(small)
