@@ -114,9 +114,14 @@ def recurring_unresolved(spark, sf_dir):
     return recurring.unresolved(found, _decisions(found)).select("signature")
 
 
+def _plans(rows: DataFrame) -> DataFrame:
+    """The ledger with one series for each account and currency."""
+    return rows.withColumn("description", F.concat(F.lit("plan "), F.translate(F.col("account_id").cast("string"), "0123456789", "ABCDEFGHIJ")))
+
+
 def _monthly(rows: DataFrame) -> DataFrame:
-    """The ledger with one series for each account of every tenth customer."""
-    return rows.filter("account_id % 10 = 3").withColumn("description", F.concat(F.lit("plan "), F.translate(F.col("account_id").cast("string"), "0123456789", "ABCDEFGHIJ")))
+    """Of ``_plans``, every tenth account: what _PLAN and _MEMBERS describe."""
+    return _plans(rows).filter("account_id % 10 = 3")
 
 
 _PLAN = f"""{_SERIES.replace(L.ITEMS, L.LEDGER + ", items AS (SELECT posted_date, amount, currency, status, 'plan ' || translate(CAST(account_id AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS description FROM ledger WHERE account_id % 10 = 3)")}"""
@@ -124,12 +129,25 @@ _PLAN = f"""{_SERIES.replace(L.ITEMS, L.LEDGER + ", items AS (SELECT posted_date
 
 @register(f"{_PLAN} SELECT signature, members, last_seen, median FROM series")
 def recurring_incremental_equals_full(spark, sf_dir):
-    """Series of the whole ledger, from those without the rows since 2000 and the groups that these touch."""
-    rows = _monthly(L.ledger(spark, sf_dir))
+    """Series of every tenth account, from those without the rows since 2000 and the groups that these touch."""
+    return _incremental(_monthly(L.ledger(spark, sf_dir)))
+
+
+def _incremental(rows: DataFrame) -> DataFrame:
     old = recurring.proposals(rows.filter("posted_date < '2000-01-01'"))
     return recurring.recompute(rows, old, rows.filter("posted_date >= '2000-01-01'")).select("signature", "members", "last_seen", "median")
 
 
+_TENTH = " WHERE account_id % 10 = 3"
+_WHOLE_PLAN = _PLAN.replace(_TENTH, "")
+
+
+@register(f"{_WHOLE_PLAN} SELECT signature, members, last_seen, median FROM series")
+def recurring_incremental_whole_ledger(spark, sf_dir):
+    """Series of the whole ledger, every account, by the same recompute."""
+    return _incremental(_plans(L.ledger(spark, sf_dir)))
+
+
 @register(f"WITH {L.LEDGER}, d AS (SELECT txn_id AS decision_id, CASE WHEN txn_id % 12 = 0 THEN 'recurring-v0' ELSE 'recurring-v1' END AS version FROM ledger WHERE txn_id % 4 = 0) SELECT d.decision_id FROM d WHERE version <> 'recurring-v1' OR decision_id IN (SELECT txn_id FROM ledger WHERE status <> 'posted')")
 def recurring_reconcile(spark, sf_dir):
     rows = L.ledger(spark, sf_dir)
@@ -373,8 +391,11 @@ tagged AS (SELECT *, FALSE AS is_transfer, amount >= 0 AS is_inflow FROM rows_)"
 
 @register(f"{_MEMBERS} SELECT currency, {SUMS} FROM tagged GROUP BY currency")
 def dashboard_recurring_status_filter(spark, sf_dir):
-    """Cash flow of the members of confirmed series only."""
-    rows = _monthly(L.ledger(spark, sf_dir))
+    """Cash flow of the members of confirmed series only, of every tenth account."""
+    return _confirmed_report(spark, _monthly(L.ledger(spark, sf_dir)))
+
+
+def _confirmed_report(spark, rows: DataFrame) -> DataFrame:
     found = recurring.proposals(rows)
     confirmed = found.filter("members % 2 = 0")
     ids = recurring.members(rows, confirmed).select("txn_id")
@@ -383,6 +404,12 @@ def dashboard_recurring_status_filter(spark, sf_dir):
     return report.select("currency", "income", "spending", "transfers", "net_cash_flow")
 
 
+@register(f"{_MEMBERS.replace(_TENTH + ' AND', ' WHERE').replace(_TENTH, '')} SELECT currency, {SUMS} FROM tagged GROUP BY currency")
+def dashboard_recurring_whole_ledger(spark, sf_dir):
+    """Cash flow of the members of confirmed series of every account."""
+    return _confirmed_report(spark, _plans(L.ledger(spark, sf_dir)))
+
+
 @register(f"{WITH} SELECT 'currencies' AS part, CAST(count(DISTINCT currency) AS BIGINT) AS n FROM tagged UNION ALL SELECT 'months', count(DISTINCT (currency, strftime(posted_date, '%Y-%m'))) FROM tagged WHERE status <> 'void' UNION ALL SELECT 'accounts', count(DISTINCT (currency, account_id)) FROM tagged WHERE status <> 'void' UNION ALL SELECT 'categories', count(DISTINCT (currency, coalesce(category_id, 'uncategorized'))) FROM tagged WHERE status <> 'void' AND NOT is_transfer AND NOT is_inflow")
 def dashboard_bundle_counts(spark, sf_dir):
     from coinbrook.plans.cash_queries import tagged
