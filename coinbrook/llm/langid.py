@@ -42,10 +42,10 @@ def letter_table() -> np.ndarray:
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and text index of every trigram, and whether each text has a letter. Texts are lower-cased; other characters than letters are one blank."""
-    joined = "\x00".join(t.lower() for t in texts) + "\x00"
+    """Bucket and text index of every trigram, and whether each text has a letter. Texts are lower-cased; other characters than letters are one blank, and each text has a blank of its own before and after it."""
+    joined = "".join(f"\x00{t.lower()} " for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    text = np.cumsum(points == 0) - (points == 0)
+    text = np.cumsum(points == 0) - 1
     # A literal U+0000 inside a text would shift the count.
     if text[-1] != len(texts) - 1:
         return trigrams([t.replace("\x00", " ") for t in texts])
@@ -150,7 +150,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
             rows = []
             for i in range(len(texts)):
                 b = bucket[edge[i] : edge[i + 1]]
-                if not any_letter[i] or not len(b) or not m.languages:
+                if not any_letter[i] or not m.languages:
                     rows.append(("und", 0.0, ""))
                     continue
                 b, n = np.unique(b, return_counts=True)
