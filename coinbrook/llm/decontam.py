@@ -83,16 +83,21 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def text_hash():
+    """Hash of the column ``text``, null as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def windows(df: DataFrame, items: Items) -> DataFrame:
-    """doc_id, start, n_words, size (of the items meant), fp and shingles of every window that can reach the threshold."""
-    kind = "doc_id long, start long, n_words long, size int, fp binary, shingles array<long>"
+    """doc_id, dh (of the text), start, n_words, size (of the items meant), fp and shingles of every window that can reach the threshold."""
+    kind = "doc_id long, dh long, start long, n_words long, size int, fp binary, shingles array<long>"
     smallest = min(items.by_size)
 
     def run(batches):
         memo: dict[str, int] = {}
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, dh, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dh", "text")), strict=True):
                 tokens = words(text)
                 if len(tokens) < THRESHOLD * smallest / 2:
                     continue
@@ -110,12 +115,12 @@ def windows(df: DataFrame, items: Items) -> DataFrame:
                     total = np.r_[0, np.cumsum(hit)]
                     for start in np.flatnonzero(total[n:] - total[:-n] >= least_shared(n, n_item)).tolist():
                         s = shingles[start : start + n]
-                        rows.append((doc_id, start, n + k - 1, size, fingerprint(s), s.view(np.int64).tolist()))
+                        rows.append((doc_id, dh, start, n + k - 1, size, fingerprint(s), s.view(np.int64).tolist()))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in kind.split(", ")])
 
-    return documents(df).mapInArrow(run, kind)
+    return documents(df, text_hash().alias("dh")).mapInArrow(run, kind)
 
 
 def _block(fp: str, k):
@@ -143,25 +148,25 @@ def candidates(found: DataFrame, items: Items) -> DataFrame:
 
 
 def verify(found: DataFrame, items: Items) -> DataFrame:
-    """doc_id, item_id, similarity, start and n_words of the candidates that hold the threshold."""
-    kind = "doc_id long, item_id long, similarity double, start long, n_words long"
+    """doc_id, dh, item_id, similarity, start and n_words of the candidates that hold the threshold."""
+    kind = "doc_id long, dh long, item_id long, similarity double, start long, n_words long"
     counts = [(item_id, Counter(s.view(np.int64).tolist())) for item_id, _, s in items.items]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, start, n_words, shingles, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n_words", "shingles", "item")), strict=True):
+            for doc_id, dh, start, n_words, shingles, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dh", "start", "n_words", "shingles", "item")), strict=True):
                 item_id, own = counts[item]
                 have = Counter(shingles)
                 shared = (have & own).total()
                 similarity = shared / (have.total() + own.total() - shared)
                 if similarity >= THRESHOLD:
-                    rows.append((doc_id, item_id, similarity, start, n_words))
+                    rows.append((doc_id, dh, item_id, similarity, start, n_words))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in kind.split(", ")])
 
-    return found.select("doc_id", "start", "n_words", "shingles", "item").mapInArrow(run, kind)
+    return found.select("doc_id", "dh", "start", "n_words", "shingles", "item").mapInArrow(run, kind)
 
 
 def item_groups(benchmark: DataFrame, bound: int = ITEM_SHINGLES) -> list[Items]:
@@ -174,13 +179,23 @@ def item_groups(benchmark: DataFrame, bound: int = ITEM_SHINGLES) -> list[Items]
     return [g for g in groups if g.items]
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start and n_words (words of the text): the best window of each text and item at THRESHOLD or more."""
+def verified(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, dh, item_id, similarity, start and n_words of every window at THRESHOLD or more."""
     out = None
     for items in item_groups(benchmark):
         found = verify(candidates(windows(df, items), items), items)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return df.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start long, n_words long")
+        return df.sparkSession.createDataFrame([], "doc_id long, dh long, item_id long, similarity double, start long, n_words long")
+    return out
+
+
+def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, similarity, start and n_words (words of the text): the best window of each text and item at THRESHOLD or more."""
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start"), "b.n_words")
+    return verified(df, benchmark).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start"), "b.n_words")
+
+
+def leaking_texts(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id and dh (``text_hash``) of the texts that hold an item, each once: of rows that share an id, only those with such a text."""
+    return verified(df, benchmark).select("doc_id", "dh").distinct()

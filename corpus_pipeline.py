@@ -42,10 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go, with every row of their id."""
+    """Documents that hold a benchmark item go; of rows that share an id, or have none, only those with such a text."""
     docs = shaped(docs)
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    found = decontam.leaking_texts(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak"), F.col("dh").alias("leak_hash"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leak")) & (decontam.text_hash() == F.col("leak_hash")), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
