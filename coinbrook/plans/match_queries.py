@@ -189,10 +189,11 @@ b AS (SELECT e.txn_id AS existing_id, i.txn_id AS incoming_id, coalesce(e.source
 candidates AS (SELECT existing_id, incoming_id, CASE WHEN exact THEN 'exact' ELSE 'likely' END AS kind, CAST(CASE WHEN exact THEN 10000 ELSE 4000 + greatest(0, 2500 - 500 * days) + floor(3500 * CAST(similarity AS DOUBLE) + 0.5) END AS INTEGER) AS score, CAST(days AS INTEGER) AS days, round(CAST(similarity AS DOUBLE), 6) AS similarity FROM b WHERE exact OR same AND days <= 3 AND similarity >= 0.5)"""
 
 
-def _batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _batches(spark, sf_dir, chosen: str = "txn_id % 20 = 0") -> tuple[DataFrame, DataFrame]:
+    """The ledger and a changed copy of its ``chosen`` rows as the incoming batch."""
     rows = L.ledger(spark, sf_dir).withColumn("source_id", F.when(F.col("txn_id") % 40 == 0, F.concat(F.lit("S"), F.col("txn_id").cast("string"))))
     changed = F.when(F.col("txn_id") % 60 == 0, "something else").otherwise(F.concat("description", F.lit(" copy")))
-    new = rows.filter("txn_id % 20 = 0").withColumns({"posted_date": F.date_add("posted_date", (F.col("txn_id") % 5).cast("int")), "description": changed, "txn_id": F.col("txn_id") + 100_000_000})
+    new = rows.filter(chosen).withColumns({"posted_date": F.date_add("posted_date", (F.col("txn_id") % 5).cast("int")), "description": changed, "txn_id": F.col("txn_id") + 100_000_000})
     return rows, new
 
 
@@ -207,6 +208,12 @@ def duplicate_candidates(spark, sf_dir):
     return duplicates.candidates(*_batches(spark, sf_dir))
 
 
+@register(f"{_BATCHES.replace(' FROM ledger WHERE txn_id % 20 = 0)', ' FROM ledger)')} SELECT * FROM candidates")
+def duplicate_candidates_whole_ledger(spark, sf_dir):
+    """Every row of the ledger as incoming."""
+    return duplicates.candidates(*_batches(spark, sf_dir, "true"))
+
+
 def _events(found: DataFrame) -> DataFrame:
     """A decision on each candidate: every seventh is undone, some were made on other evidence."""
     signed = duplicates.evidence_signature(found)
