@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 A text is split by the vocabulary's pattern; each distinct piece of a batch is
-encoded once by the library and kept in a bounded memo, so that the library sees
-every piece and nothing is encoded twice. Tokens are written in the byte alphabet
+encoded once by the library and kept in a memo of bounded bytes, so that the library
+sees every piece and little is encoded twice. Very long texts are split and encoded a
+stretch at a time; coder and memo go when the task ends. Tokens are written in the byte alphabet
 (one printable character a byte); decoding reverses that table. Token offsets are
 kept in bytes and in code points: a token that holds a part of a character covers
 that whole character.
@@ -17,17 +18,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate, chain
+import sys
+from array import array
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from coinbrook.llm.common import documents, slices
+from coinbrook.llm.common import SLICE_BYTES, arrow_step, documents, slices
 
-#: Pieces held by a worker's memo; it is emptied beyond that.
-MEMO_PIECES = 120_000
+#: Bytes held by a task's memo; it is emptied beyond that.
+MEMO_BYTES = 40 << 20
+#: What a memo's entry takes besides its two objects.
+ENTRY_BYTES = 100
+#: Pieces of a very long text that are encoded at once.
+STRETCH = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -38,7 +44,7 @@ def byte_alphabet() -> list[str]:
 
 
 class ByteBpe:
-    """Encoder and decoder for one file of ranks; made once in each Python worker."""
+    """Encoder and decoder for one file of ranks; made once in each task."""
 
     def __init__(self, ranks_path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,7 +54,9 @@ class ByteBpe:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.alphabet = byte_alphabet()
-        written = {token: "".join(map(self.alphabet.__getitem__, token)) for token in ranks}
+        # Latin-1 has a character for each byte, which the table turns into the byte alphabet.
+        self.spelling = {b: c for b, c in enumerate(self.alphabet) if ord(c) != b}
+        written = {token: self.spell(token) for token in ranks}
         # Any split of a token into two known tokens may be merged, in the order of the token's rank.
         merges = [
             (written[token[:i]], written[token[i:]])
@@ -57,34 +65,56 @@ class ByteBpe:
             if token[:i] in ranks and token[i:] in ranks
         ]
         self.model = Tokenizer(models.BPE(vocab={written[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.pieces = regex.compile(pattern).findall
-        back = {c: b for b, c in enumerate(self.alphabet)}
-        self.token_bytes = {r: bytes(back[c] for c in written[t]) for t, r in ranks.items()}
+        self.pattern = regex.compile(pattern)
+        back = {ord(c): chr(b) for b, c in enumerate(self.alphabet) if ord(c) != b}
+        self.token_bytes = {r: written[t].translate(back).encode("latin-1") for t, r in ranks.items()}
         self.id_text = {r: str(r) for r in ranks.values()}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text; special tokens are ordinary text here."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.memo) > MEMO_PIECES:
+    def spell(self, data: bytes) -> str:
+        """``data`` in the byte alphabet."""
+        return data.decode("latin-1").translate(self.spelling)
+
+    def learn(self, pieces: list[list[str]]) -> None:
+        """Puts the ids of all pieces into the memo."""
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         memo = self.memo
-        new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in memo]
+        new = [p for p in dict.fromkeys(chain.from_iterable(pieces)) if p not in memo]
         for start in range(0, len(new), 2_000):
             some = new[start : start + 2_000]
-            spelled = ["".join(map(self.alphabet.__getitem__, p.encode())) for p in some]
-            memo.update(zip(some, (tuple(e.ids) for e in self.model.encode_batch_fast(spelled, add_special_tokens=False)), strict=True))
+            ids = [tuple(e.ids) for e in self.model.encode_batch_fast([self.spell(p.encode()) for p in some], add_special_tokens=False)]
+            memo.update(zip(some, ids, strict=True))
+            self.held += sum(map(sys.getsizeof, some)) + sum(map(sys.getsizeof, ids)) + ENTRY_BYTES * len(some)
+
+    def encode(self, texts: list[str]) -> Iterator[Sequence[int]]:
+        """The ids of each text; special tokens are ordinary text here."""
+        if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+            yield self.encode_long(texts[0])
+            return
+        split = [self.pattern.findall(t) for t in texts]
+        self.learn(split)
         for pieces in split:
-            yield list(chain.from_iterable(map(memo.__getitem__, pieces)))
+            yield list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
+    def encode_long(self, text: str) -> array:
+        """The same for one very long text, whose pieces are not all held at once."""
+        found, ids = (m[0] for m in self.pattern.finditer(text)), array("i")
+        while some := list(islice(found, STRETCH)):
+            self.learn([some])
+            ids.extend(chain.from_iterable(map(self.memo.__getitem__, some)))
+        return ids
+
+    def decode_bytes(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text; characters whose bytes are spread over tokens are whole again, broken bytes become U+FFFD."""
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def offsets(self, ids: list[int]) -> list[tuple[int, int, int, int]]:
+    def offsets(self, ids: Sequence[int]) -> list[tuple[int, int, int, int]]:
         """For each token its byte span and the span of the characters it touches."""
         data = self.decode_bytes(ids)
         starts = list(accumulate((b & 0xC0 != 0x80 for b in data), initial=0))  # characters begun before each byte
@@ -97,11 +127,6 @@ class ByteBpe:
         return out
 
 
-@lru_cache(maxsize=2)
-def coder(ranks_path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(ranks_path, pattern)
-
-
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -115,7 +140,7 @@ def encode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = N
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *spans])
 
     def run(batches):
-        bpe = coder(path, pat)
+        bpe = ByteBpe(path, pat)
         for batch in slices(batches):
             ids = list(bpe.encode(batch.column("text").to_pylist()))
             columns = [batch.column("doc_id"), pa.array(ids, schema.field("ids").type)]
@@ -124,7 +149,7 @@ def encode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = N
                 columns += [pa.array([[s[k] for s in x] for x in each], pa.list_(pa.int32())) for k in range(4)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return documents(df).mapInArrow(run, "doc_id long, ids array<int>" + "".join(f", {n} array<int>" for n, _ in spans))
+    return arrow_step(documents(df), run, "doc_id long, ids array<int>" + "".join(f", {n} array<int>" for n, _ in spans))
 
 
 def decode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -132,12 +157,12 @@ def decode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = N
     path, pat = ranks_path or default_vocabulary()[0], pattern or default_vocabulary()[1]
 
     def run(batches):
-        bpe = coder(path, pat)
+        bpe = ByteBpe(path, pat)
         for batch in batches:
             texts = [bpe.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return arrow_step(df.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def round_trip(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -146,7 +171,7 @@ def round_trip(df: DataFrame, ranks_path: str | None = None, pattern: str | None
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip_ok", pa.bool_())])
 
     def run(batches):
-        bpe = coder(path, pat)
+        bpe = ByteBpe(path, pat)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             rows: list[list] = [[], [], [], []]
@@ -158,4 +183,4 @@ def round_trip(df: DataFrame, ranks_path: str | None = None, pattern: str | None
                 rows[3].append(decoded == text.encode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(rows, list(schema)[1:], strict=True))], schema=schema)
 
-    return documents(df).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip_ok boolean")
+    return arrow_step(documents(df), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip_ok boolean")

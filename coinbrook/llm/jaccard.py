@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.llm.common import cut, documents, partitions, slices
+from coinbrook.llm.common import arrow_step, cut, documents, partitions, slices
 from coinbrook.llm.shingles import shingle_hashes, word_hashes, words
 
 THRESHOLD, RECALL = 0.8, 0.999
@@ -87,7 +87,7 @@ def sketches(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("dh"), *(pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=[x.split()[0] for x in kind.split(", ")])
 
     docs = documents(df).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("dh"), "text")
-    return docs.mapInArrow(run, kind)
+    return arrow_step(docs, run, kind)
 
 
 def _node_choices(nodes: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def split(members: DataFrame) -> DataFrame:
                 child = _child(nodes[at], coordinate, sig[rows[at], coordinate])
                 yield pa.RecordBatch.from_arrays([pa.array(rep[rows[at]]), pa.array(child.view(np.int64))], names=["rep", "node"])
 
-    return members.select("rep", "sig", "nodes").mapInArrow(run, "rep long, node long")
+    return arrow_step(members.select("rep", "sig", "nodes"), run, "rep long, node long")
 
 
 def roots(n_runs: int):
@@ -178,7 +178,7 @@ def bucket_links(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     n = partitions(members.sparkSession)
-    return members.select("node", "rep", "sig").repartition(n, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return arrow_step(members.select("node", "rep", "sig").repartition(n, "node").sortWithinPartitions("node"), run, "a long, b long")
 
 
 def candidate_links(reps: DataFrame, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
@@ -288,7 +288,7 @@ def exact_links(df: DataFrame, members: DataFrame) -> DataFrame:
             sets = [np.unique(shingle_hashes(word_hashes(words(t), memo))).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "set_id", "copies", "k", "block")), pa.array(sets, pa.binary())], names=[x.split()[0] for x in shape.split(", ")])
 
-    sets = chosen.mapInArrow(to_sets, shape)
+    sets = arrow_step(chosen, to_sets, shape)
     # The pair of blocks (i, j), i <= j; a set goes to every pair that its block is in.
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "copies", "shingles")
     kind = "set_id long, links long, other long"
@@ -329,7 +329,7 @@ def exact_links(df: DataFrame, members: DataFrame) -> DataFrame:
             yield out
 
     n = partitions(df.sparkSession)
-    return pairs.repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(compare, kind)
+    return arrow_step(pairs.repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j"), compare, kind)
 
 
 def join(df: DataFrame, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:

@@ -7,8 +7,8 @@ import re
 import numpy as np
 
 WORDS_IN_SHINGLE = 5
-#: Words held by a memo before it is emptied: some 15 MB of a worker.
-MEMO_WORDS = 60_000
+#: Words held by a memo before it is emptied, and the longest of them: 15 MB of a worker, 30 at most.
+MEMO_WORDS, MEMO_LENGTH = 60_000, 40
 _WORD = re.compile(r"\w+")
 
 
@@ -27,7 +27,9 @@ def word_hashes(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
     for i, t in enumerate(tokens):
         h = memo.get(t)
         if h is None:
-            h = memo[t] = xxhash.xxh3_64_intdigest(t)
+            h = xxhash.xxh3_64_intdigest(t)
+            if len(t) <= MEMO_LENGTH:
+                memo[t] = h
         out[i] = h
     return out
 
