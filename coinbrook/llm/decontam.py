@@ -1,18 +1,22 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-For each benchmark item of n words, windows of n words slide over every text. A
-window that can reach the threshold must hold most of its shingles among the shingles
-of items of that size; running sums find those windows, and only they are fingerprinted
-(no window that could match is left out). Fingerprints have 128 bits in BLOCKS blocks.
-Two fingerprints at most RADIUS apart differ by at most RADIUS // BLOCKS bits in some
-block, so the items' blocks, with every value that near, are joined to the windows'
-blocks: no fingerprint within RADIUS is lost. Each pair is taken at its first such
-block. Candidates within RADIUS are verified by exact weighted Jaccard similarity of
-their word shingles (weights: occurrences).
-
-The items are dealt into groups of about ITEM_SHINGLES shingles; each group alone is
-sent to the executors, and the texts are passed once for each group, so nothing that is
-broadcast grows with the benchmark.
+1. Each benchmark item becomes its shingles (five words, each as often as it occurs), a
+   128-bit SimHash and a content hash; items of equal content are compared once.
+2. For each size of an item, windows of as many words slide over every text. A window
+   that can reach the threshold must hold most of its shingles among those of items of
+   that size, so a Bloom filter of the items' shingles (at most FILTER_BITS bits, however
+   large the benchmark; no false negatives) and running sums pick the windows that are
+   fingerprinted. A filter that is too full picks more windows, never fewer.
+3. Windows of equal content are gathered, so that a passage in a third of all texts is
+   compared once. Fingerprints are cut into BLOCKS blocks; two at most RADIUS apart differ
+   by at most RADIUS // BLOCKS bits in some block. Windows' blocks are hash-joined to all
+   values that near the items' blocks: no fingerprint within RADIUS is lost. A pair is
+   taken at its first such block.
+4. Candidates within RADIUS are verified by exact weighted Jaccard similarity of their
+   shingles (weights: occurrences), then joined back to all windows of that content.
+
+Only the radius can lose a match: about one pair in 400 at a similarity of exactly 0.8.
+Nothing of the benchmark passes the driver but its sizes and the filter.
 
 Defined results: a null text or item has no words and matches nothing; a text shorter
 than an item is one window; fewer than five words are one shingle; equal items each
@@ -27,17 +31,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.llm.common import documents, slices
+from coinbrook.llm.common import arrow_step, cut, documents, slices
 from coinbrook.llm.shingles import WORDS_IN_SHINGLE, shingle_hashes, word_hashes, words
 
 THRESHOLD = 0.8
 #: At similarity 0.8 two fingerprints differ by 19.5 bits on average, with a deviation of 4.1.
 RADIUS, BLOCKS = 31, 16
 BITS_IN_BLOCK = 128 // BLOCKS
-ITEM_SHINGLES = 200_000
+#: The filter has 64 bits for each shingle of an item, up to this many in all (16 MB).
+FILTER_BITS = 1 << 27
+#: Stands for all sizes in the filter.
+ANY_SIZE = 0
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
@@ -61,26 +69,9 @@ def least_shared(n_window: int, n_item: int) -> int:
     return max(1, math.ceil(THRESHOLD * (n_window + n_item) / (1 + THRESHOLD) - 1e-9))
 
 
-class Items:
-    """One bounded group of benchmark items: shingles by size, and each item's counts."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        memo: dict[str, int] = {}
-        self.items = []
-        for item_id, text in rows:
-            tokens = words(text or "")
-            if tokens:
-                self.items.append((item_id, len(tokens), shingle_hashes(word_hashes(tokens, memo))))
-        by_size: dict[int, set] = {}
-        for _, n, s in self.items:
-            by_size.setdefault(n, set()).update(s.tolist())
-        self.by_size = {n: np.array(sorted(s), np.uint64) for n, s in by_size.items()}
-        self.all = np.unique(np.concatenate([s for _, _, s in self.items])) if self.items else np.zeros(0, np.uint64)
-
-
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return known[at] == values
+def content(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a window's or an item's shingles in their order."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist())
 
 
 def text_hash():
@@ -88,39 +79,123 @@ def text_hash():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def windows(df: DataFrame, items: Items) -> DataFrame:
-    """doc_id, dh (of the text), start, n_words, size (of the items meant), fp and shingles of every window that can reach the threshold."""
-    kind = "doc_id long, dh long, start long, n_words long, size int, fp binary, shingles array<long>"
-    smallest = min(items.by_size)
+def _batch(rows: list[tuple], names: str, types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in names.split(", ")])
+
+
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """item_id, size (words), i1 and i2 (content), item_fp and item_shingles of each different item that has words."""
+    kind = "item_id long, size int, i1 long, i2 long, item_fp binary, item_shingles binary"
 
     def run(batches):
         memo: dict[str, int] = {}
+        for batch in slices(batches):
+            rows = []
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                tokens = words(text)
+                if tokens:
+                    s = shingle_hashes(word_hashes(tokens, memo))
+                    rows.append((item_id, len(tokens), *content(s), fingerprint(s), s.tobytes()))
+            if rows:
+                yield _batch(rows, kind, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    return arrow_step(items.distinct(), run, kind)
+
+
+def _slots(shingles: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of ``bits`` bits (a power of two) for each shingle of items of ``size`` words."""
+    h = (shingles ^ np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    top = np.uint64(64 - (bits.bit_length() - 1))
+    return h >> top, (h * np.uint64(0xD6E8FEB86659FD93)) >> top
+
+
+class Filter:
+    """Bloom filter of the items' shingles by size, and the sizes."""
+
+    def __init__(self, sizes: list[int], bits: int, held: np.ndarray):
+        self.sizes, self.bits, self.held = sizes, bits, held
+
+    def has(self, shingles: np.ndarray, size: int) -> np.ndarray:
+        out = np.ones(len(shingles), bool)
+        for at in _slots(shingles, size, self.bits):
+            out &= (self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def item_filter(items: DataFrame, most: int = FILTER_BITS) -> Filter:
+    """The filter of ``item_table``'s rows; bits are gathered by word on the executors, and only the filter itself comes to the driver."""
+    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # of n words in all, the square root of 2n at most
+    total = items.agg(F.sum(F.octet_length("item_shingles") / 8)).first()[0] or 0
+    bits = min(most, 1 << max(16, math.ceil(math.log2(64 * total + 1))))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for size, data in zip(batch.column("size").to_pylist(), batch.column("item_shingles").to_pylist(), strict=True):
+                for s in (size, ANY_SIZE):
+                    found += _slots(np.frombuffer(data, np.uint64), s, bits)
+            if found:
+                at = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    got = arrow_step(items.select("size", "item_shingles"), run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return Filter(sizes, bits, held.view(np.uint8))
+
+
+_KEY = ["size", "w1", "w2"]
+
+
+def windows(df: DataFrame, known: Filter) -> DataFrame:
+    """doc_id, dh (of the text), start, n_words, size (of the items meant), content (w1, w2), fp and shingles of every window that can reach the threshold."""
+    kind = "doc_id long, dh long, start long, n_words long, size int, w1 long, w2 long, fp binary, shingles binary"
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    sent = df.sparkSession.sparkContext.broadcast(known)  # FILTER_BITS bits at most
+
+    def starts(hit: np.ndarray, n: int, need: int) -> list[int]:
+        total = np.r_[0, np.cumsum(hit)]
+        return np.flatnonzero(total[n:] - total[:-n] >= need).tolist()
+
+    def run(batches):
+        items, memo = sent.value, {}
         for batch in slices(batches):
             rows = []
             for doc_id, dh, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dh", "text")), strict=True):
                 tokens = words(text)
-                if len(tokens) < THRESHOLD * smallest / 2:
+                if not tokens:
                     continue
                 hashes = word_hashes(tokens, memo)
                 whole = shingle_hashes(hashes)
-                long_hit = _among(whole, items.all)
-                short_sizes = [n for n in items.by_size if n < WORDS_IN_SHINGLE]
-                if not short_sizes and not long_hit.any():
-                    continue
-                for size, known in items.by_size.items():
+                maybe = np.flatnonzero(items.has(whole, ANY_SIZE))
+                for size in items.sizes:
                     k = min(WORDS_IN_SHINGLE, size)
-                    shingles = whole if k == WORDS_IN_SHINGLE or len(tokens) <= k else shingle_hashes(hashes, k)
-                    hit = _among(shingles, known)
+                    short = k < WORDS_IN_SHINGLE and len(tokens) > k
+                    shingles = shingle_hashes(hashes, k) if short else whole
                     n_item, n = size - k + 1, min(size - k + 1, len(shingles))
-                    total = np.r_[0, np.cumsum(hit)]
-                    for start in np.flatnonzero(total[n:] - total[:-n] >= least_shared(n, n_item)).tolist():
+                    need = least_shared(n, n_item)
+                    if need > n or (not short and len(maybe) < need):
+                        continue
+                    if short:
+                        hit = items.has(shingles, size)
+                    else:
+                        hit = np.zeros(len(shingles), bool)
+                        hit[maybe] = items.has(shingles[maybe], size)
+                    if np.count_nonzero(hit) < need:
+                        continue
+                    for start in starts(hit, n, need):
                         s = shingles[start : start + n]
-                        rows.append((doc_id, dh, start, n + k - 1, size, fingerprint(s), s.view(np.int64).tolist()))
+                        rows.append((doc_id, dh, start, n + k - 1, size, *content(s), fingerprint(s), s.tobytes()))
+                    if len(rows) > 5_000:
+                        yield _batch(rows, kind, types)
+                        rows = []
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in kind.split(", ")])
+                yield _batch(rows, kind, types)
 
-    return documents(df, text_hash().alias("dh")).mapInArrow(run, kind)
+    return arrow_step(documents(df, text_hash().alias("dh")), run, kind)
 
 
 def _block(fp: str, k):
@@ -134,60 +209,48 @@ def _distance(a: str, b: str):
     return sum((F.bit_count(half(a, at).bitwiseXOR(half(b, at))) for at in (5, 9, 13)), F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))))
 
 
-def candidates(found: DataFrame, items: Items) -> DataFrame:
-    """Windows and items whose fingerprints are at most RADIUS apart, each pair once."""
-    spark = found.sparkSession
-    prints = [(i, size, fingerprint(s)) for i, (_, size, s) in enumerate(items.items)]
-    rows = [(i, size, fp, k, v) for i, size, fp in prints for k in range(BLOCKS) for v in near_values(fp[k])]
-    table = spark.createDataFrame(rows, "item int, size int, item_fp binary, block int, value int")
-    each = found.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("value", _block("fp", F.col("block")))
+def candidates(contents: DataFrame, items: DataFrame) -> DataFrame:
+    """size, w1, w2, i1 and i2 of the different windows and items whose fingerprints are at most RADIUS apart, each pair once."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
+    near_by = F.explode(F.array(*[_block("item_fp", F.col("block")).bitwiseXOR(F.lit(x)) for x in near_values(0)])).alias("value")
+    table = items.select("size", "i1", "i2", "item_fp").dropDuplicates(["size", "i1", "i2"]).select("*", blocks).select("*", near_by)
+    each = contents.select(*_KEY, "fp", blocks).withColumn("value", _block("fp", F.col("block")))
     near = lambda k: F.bit_count(_block("fp", k).bitwiseXOR(_block("item_fp", k))) <= RADIUS // BLOCKS
     earlier = F.exists(F.sequence(F.lit(0), F.col("block")), lambda k: (k < F.col("block")) & near(k))
-    # At most ITEM_SHINGLES items, each with BLOCKS times a few rows.
-    return each.join(F.broadcast(table), ["size", "block", "value"]).filter(~earlier).filter(_distance("fp", "item_fp") <= RADIUS)
+    return each.join(table, ["size", "block", "value"]).filter(~earlier).filter(_distance("fp", "item_fp") <= RADIUS).select(*_KEY, "i1", "i2")
 
 
-def verify(found: DataFrame, items: Items) -> DataFrame:
-    """doc_id, dh, item_id, similarity, start and n_words of the candidates that hold the threshold."""
-    kind = "doc_id long, dh long, item_id long, similarity double, start long, n_words long"
-    counts = [(item_id, Counter(s.view(np.int64).tolist())) for item_id, _, s in items.items]
+def verify(found: DataFrame) -> DataFrame:
+    """size, w1, w2, i1, i2 and similarity of the pairs (shingles, item_shingles) that hold the threshold."""
+    kind = "size int, w1 long, w2 long, i1 long, i2 long, similarity double"
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, dh, start, n_words, shingles, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dh", "start", "n_words", "shingles", "item")), strict=True):
-                item_id, own = counts[item]
-                have = Counter(shingles)
+            for *key, shingles, item in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "i1", "i2", "shingles", "item_shingles")), strict=True):
+                have, own = (Counter(np.frombuffer(x, np.int64).tolist()) for x in (shingles, item))
                 shared = (have & own).total()
                 similarity = shared / (have.total() + own.total() - shared)
                 if similarity >= THRESHOLD:
-                    rows.append((doc_id, dh, item_id, similarity, start, n_words))
+                    rows.append((*key, similarity))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in kind.split(", ")])
-
-    return found.select("doc_id", "dh", "start", "n_words", "shingles", "item").mapInArrow(run, kind)
+                yield _batch(rows, kind, (pa.int32(), *[pa.int64()] * 4, pa.float64()))
 
-
-def item_groups(benchmark: DataFrame, bound: int = ITEM_SHINGLES) -> list[Items]:
-    """The benchmark in groups of about ``bound`` words, read one after the other."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n = max(1, math.ceil(total / bound))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    groups = [Items([(r.item_id, r.text) for r in items.filter(part == i).toLocalIterator()]) for i in range(n)]
-    return [g for g in groups if g.items]
+    return arrow_step(found.select(*_KEY, "i1", "i2", "shingles", "item_shingles"), run, kind)
 
 
 def verified(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, dh, item_id, similarity, start and n_words of every window at THRESHOLD or more."""
-    out = None
-    for items in item_groups(benchmark):
-        found = verify(candidates(windows(df, items), items), items)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "doc_id long, dh long, item_id long, similarity double, start long, n_words long")
-    return out
+    items = cut(item_table(benchmark))
+    known = item_filter(items)
+    found = cut(windows(df, known))
+    # Equal windows once: the hot passages go before anything is shuffled by their blocks.
+    contents = cut(found.groupBy(*_KEY).agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles")))
+    pairs = cut(candidates(contents, items))
+    own = items.dropDuplicates(["size", "i1", "i2"]).select("i1", "i2", "size", "item_shingles")
+    hits = verify(pairs.join(contents.select(*_KEY, "shingles"), _KEY).join(own, ["size", "i1", "i2"]))
+    hits = cut(hits.join(items.select("item_id", "size", "i1", "i2").distinct(), ["size", "i1", "i2"]).select(*_KEY, "item_id", "similarity"))
+    return found.select("doc_id", "dh", "start", "n_words", *_KEY).join(hits, _KEY).select("doc_id", "dh", "item_id", "similarity", "start", "n_words")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
