@@ -21,6 +21,9 @@ A run of more than HOT_CONTEXTS different contexts of one anchor string is not h
 a bucket: its windows are counted by 128-bit hash in an aggregation, which pre-sums in
 each task.
 
+Of equal hashes in a window the leftmost is its anchor, so a run of one byte or of a
+short period has an anchor at each byte: that costs rows, not results.
+
 Defined results: a null or empty text has nothing to remove; equal rows are copies of
 each other; texts below WINDOW bytes stay; an empty table gives an empty result;
 further columns are ignored.
@@ -36,14 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.llm.common import cut, documents, partitions, slices
+from coinbrook.llm.common import arrow_step, cut, documents, partitions, slices
 
 WINDOW, GRAM = 400, 64
 #: Different contexts of one anchor string that a bucket compares itself.
 HOT_CONTEXTS = 16_384
 #: Contexts compared at once if runs are small, and offsets at once.
 CHUNK, OFFSETS = 4096, 64
-_POSITION = (1 << 28) - 1
+#: Low half of a word for positions, beyond the 2 GB that a string can have.
+_POSITION = (1 << 32) - 1
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,7 +119,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
             cols = [*ids, *((x - base).astype(np.int32) for x in (place, first, last)), kh.view(np.int64), c[:, 0], c[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
 
-    return docs.filter(F.octet_length("text") >= WINDOW).select("did", "dh", "text").mapInArrow(run, _ANCHOR)
+    return arrow_step(docs.filter(F.octet_length("text") >= WINDOW).select("did", "dh", "text"), run, _ANCHOR)
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
@@ -147,9 +151,11 @@ def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_offsets(contexts: list[bytes], left: np.ndarray, copies: np.ndarray) -> list[list[int]]:
-    """For each context the runs [a, b, a, b, ...] of offsets (anchor minus window start) whose window occurs again among ``contexts``."""
+def repeated_offsets(contexts: list[bytes], left: np.ndarray, copies: np.ndarray, owner: np.ndarray) -> list[list[tuple[int, int, bool]]]:
+    """For each context the runs (a, b, other) of offsets (anchor minus window start) whose window occurs again among ``contexts``; ``other`` if one of them does so under another ``owner``."""
     n, reach = len(contexts), WINDOW - GRAM
+    ranked = np.argsort(owner, kind="stable")
+    contexts, left, copies, owner = [contexts[i] for i in ranked], left[ranked], copies[ranked], owner[ranked]
     right_side, left_side = np.zeros((n, WINDOW), np.uint8), np.zeros((n, reach), np.uint8)
     for i, (c, o) in enumerate(zip(contexts, left.tolist(), strict=True)):
         row = np.frombuffer(c, np.uint8)
@@ -157,7 +163,7 @@ def repeated_offsets(contexts: list[bytes], left: np.ndarray, copies: np.ndarray
         left_side[i, :o] = row[:o][::-1]
     least = WINDOW - (np.array([len(c) for c in contexts]) - left)
     ordered = [(o := multikey_sort(m), common_prefixes(m, o)) for m in (right_side, left_side)]
-    marks = np.zeros((n, reach + 1), bool)
+    marks, elsewhere = np.zeros((2, n, reach + 1), bool)
     for s in range(0, reach + 1, OFFSETS):
         offset = np.arange(s, min(s + OFFSETS, reach + 1))
         classes = []
@@ -167,28 +173,32 @@ def repeated_offsets(contexts: list[bytes], left: np.ndarray, copies: np.ndarray
             classes.append(of)
         valid = (offset[None, :] >= least[:, None]) & (offset[None, :] <= left[:, None])
         code = np.where(valid, classes[0] * (n + 1) + classes[1], -1 - np.arange(n)[:, None]).T
-        by = np.argsort(code, axis=1)
-        in_order = np.take_along_axis(code, by, axis=1)
+        # Stable, so that each class is in the order of its owners: its ends tell whether they differ.
+        by = np.argsort(code, axis=1, kind="stable")
+        in_order, whose = np.take_along_axis(code, by, axis=1), owner[by]
         same = in_order[:, 1:] == in_order[:, :-1]
-        twice = np.zeros(in_order.shape, bool)
-        twice[:, 1:] |= same
-        twice[:, :-1] |= same
-        back = np.empty_like(twice)
-        np.put_along_axis(back, by, twice, axis=1)
-        marks[:, offset] = (back.T | (copies > 1)[:, None]) & valid
+        column = np.arange(n)[None, :]
+        first = np.maximum.accumulate(np.where(np.pad(~same, ((0, 0), (1, 0)), constant_values=True), column, 0), axis=1)
+        last = np.minimum.accumulate(np.where(np.pad(~same, ((0, 0), (0, 1)), constant_values=True), column, n)[:, ::-1], axis=1)[:, ::-1]
+        differ = np.take_along_axis(whose, first, axis=1) != np.take_along_axis(whose, last, axis=1)
+        for found, out_of in ((first < last, marks), (differ, elsewhere)):
+            back = np.empty_like(found)
+            np.put_along_axis(back, by, found, axis=1)
+            out_of[:, offset] = back.T & valid
+        marks[:, offset] |= (copies > 1)[:, None] & valid
     edges = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    out: list[list[int]] = [[] for _ in range(n)]
+    out: list[list[tuple[int, int, bool]]] = [[] for _ in range(n)]
     for (i, a), (_, b) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist(), strict=True):
-        out[i] += [a, b - 1]
+        out[ranked[i]].append((a, b - 1, bool(elsewhere[i, a:b].any())))
     return out
 
 
-_CONTEXT = "did long, dh long, place int, kh long, n long, o int, context binary"
+_CONTEXT = "did long, dh long, place int, kh long, n long, spread boolean, o int, context binary"
 
 
 def fetch_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the contexts in ``wanted``, cut out where their texts are; one row a text is joined."""
-    lists = wanted.groupBy("did", "dh").agg(F.collect_list(F.struct("place", "w_first", "w_last", "kh", "n")).alias("all"))
+    lists = wanted.groupBy("did", "dh").agg(F.collect_list(F.struct("place", "w_first", "w_last", "kh", "n", "spread")).alias("all"))
     # Equal rows give the same contexts: one of them is enough.
     joined = docs.select("did", "dh", "text").join(lists, ["did", "dh"])
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
@@ -198,22 +208,22 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for did, dh, text, places in zip(*(batch.column(c).to_pylist() for c in ("did", "dh", "text", "all")), strict=True):
                 data = text.encode()
-                rows += [(did, dh, x["place"], x["kh"], x["n"], x["place"] - x["w_first"], data[x["w_first"] : x["w_last"] + WINDOW]) for x in places]
+                rows += [(did, dh, x["place"], x["kh"], x["n"], x["spread"], x["place"] - x["w_first"], data[x["w_first"] : x["w_last"] + WINDOW]) for x in places]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return joined.mapInArrow(run, _CONTEXT)
+    return arrow_step(joined, run, _CONTEXT)
 
 
-_SPAN = "did long, dh long, lo long, hi long"
+_SPAN = "did long, dh long, lo long, hi long, other boolean"
 
 
-def _spans(rows: list[tuple], offsets: list[list[int]]) -> pa.RecordBatch:
+def _spans(rows: list[tuple], offsets: list[list[tuple[int, int, bool]]]) -> pa.RecordBatch:
     """Byte spans of repeated windows; rows: did, dh, place."""
-    out = [(did, dh, place - b, place - a + WINDOW) for (did, dh, place), runs in zip(rows, offsets, strict=True) for a, b in zip(runs[::2], runs[1::2], strict=True)]
-    columns = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["did", "dh", "lo", "hi"])
+    out = [(did, dh, place - b, place - a + WINDOW, other) for (did, dh, place), runs in zip(rows, offsets, strict=True) for a, b, other in runs]
+    columns = list(zip(*out, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], names=[x.split()[0] for x in _SPAN.split(", ")])
 
 
 def bucket_spans(contexts: DataFrame, n_buckets: int) -> DataFrame:
@@ -224,13 +234,16 @@ def bucket_spans(contexts: DataFrame, n_buckets: int) -> DataFrame:
         held: list[tuple] = []
 
         def flush(rows):
-            offsets = repeated_offsets([r[5] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64))
-            # What has copies repeats as a whole and is marked without this.
-            offsets = [x if r[3] == 1 else [] for r, x in zip(rows, offsets, strict=True)]
+            # Copies in several documents are an owner of their own: whatever equals them is elsewhere too.
+            owners = {key: k for k, key in enumerate(dict.fromkeys(r[:2] for r in rows))}
+            owner = np.array([-1 - k if r[7] else owners[r[:2]] for k, r in enumerate(rows)], np.int64)
+            offsets = repeated_offsets([r[5] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), owner)
+            # What has copies repeats as a whole and is marked without this, unless all copies are in one document.
+            offsets = [x if not r[7] else [] for r, x in zip(rows, offsets, strict=True)]
             return _spans([r[:3] for r in rows], offsets)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("did", "dh", "place", "n", "o", "context", "lead")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("did", "dh", "place", "n", "o", "context", "lead", "spread")), strict=True):
                 if len(held) >= CHUNK and row[6] != held[-1][6]:
                     yield flush(held)
                     held = []
@@ -238,28 +251,33 @@ def bucket_spans(contexts: DataFrame, n_buckets: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return suffix.repartitionByRange(n_buckets, "lead").sortWithinPartitions("lead").mapInArrow(run, _SPAN)
+    return arrow_step(suffix.repartitionByRange(n_buckets, "lead").sortWithinPartitions("lead"), run, _SPAN)
 
 
 def hot_spans(contexts: DataFrame) -> DataFrame:
     """The same for anchor strings with too many contexts for a bucket: windows counted by 128-bit hash."""
-    kind = "did long, dh long, n long, start long, w1 long, w2 long"
+    kind = "did long, dh long, n long, spread long, start long, w1 long, w2 long"
 
     def run(batches):
         for batch in batches:
-            for did, dh, place, n, o, c in zip(*(batch.column(x).to_pylist() for x in ("did", "dh", "place", "n", "o", "context")), strict=True):
+            for did, dh, place, n, spread, o, c in zip(*(batch.column(x).to_pylist() for x in ("did", "dh", "place", "n", "spread", "o", "context")), strict=True):
                 count = len(c) - WINDOW + 1
                 w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c[i : i + WINDOW]) for i in range(count)), np.int64).reshape(-1, 2)
                 full = lambda x: pa.array(np.full(count, x, np.int64))
-                yield pa.RecordBatch.from_arrays([full(did), full(dh), full(n), pa.array(np.arange(count) + (place - o)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=[x.split()[0] for x in kind.split(", ")])
+                yield pa.RecordBatch.from_arrays([full(did), full(dh), full(n), full(spread), pa.array(np.arange(count) + (place - o)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=[x.split()[0] for x in kind.split(", ")])
+
+    windows = arrow_step(contexts.select("did", "dh", "place", "n", "spread", "o", "context"), run, kind)
+    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total"), (_differ() | (F.max("spread") > 0)).alias("other")).filter("total > 1")
+    return windows.join(twice, ["w1", "w2"]).select("did", "dh", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi"), "other")
 
-    windows = contexts.select("did", "dh", "place", "n", "o", "context").mapInArrow(run, kind)
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).filter("total > 1")
-    return windows.join(twice, ["w1", "w2"]).select("did", "dh", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi"))
+
+def _differ():
+    """Whether a group has more than one document."""
+    return (F.min("did") != F.max("did")) | (F.min("dh") != F.max("dh"))
 
 
 def find_spans(docs: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """did, dh, lo, hi: byte spans covered by repeated windows, overlapping ones included."""
+    """did, dh, lo, hi, other: byte spans covered by repeated windows, overlapping ones included; ``other`` if a window of the span is in another document too."""
     spark = docs.sparkSession
     all_anchors = cut(anchor_table(docs))
     # Longs only, so that each task sums in a hash table before the shuffle.
@@ -268,8 +286,8 @@ def find_spans(docs: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
     again = cut(counts.filter("total > 1").select("kh", (~((F.col("a") == F.col("b")) & (F.col("c") == F.col("d")))).alias("mixed")))
     candidates = cut(all_anchors.join(again, "kh"))
     firsts = [F.first(c).alias(c) for c in ("did", "dh", "place", "w_first", "w_last")]
-    kinds = cut(candidates.groupBy("kh", "c1", "c2", "mixed").agg(F.count("*").alias("n"), *firsts))
-    whole = candidates.join(kinds.filter("n > 1").select("kh", "c1", "c2"), ["kh", "c1", "c2"]).select("did", "dh", F.col("w_first").cast("long").alias("lo"), (F.col("w_last") + WINDOW).cast("long").alias("hi"))
+    kinds = cut(candidates.groupBy("kh", "c1", "c2", "mixed").agg(F.count("*").alias("n"), _differ().alias("spread"), *firsts))
+    whole = candidates.join(kinds.filter("n > 1").select("kh", "c1", "c2", "spread"), ["kh", "c1", "c2"]).select("did", "dh", F.col("w_first").cast("long").alias("lo"), (F.col("w_last") + WINDOW).cast("long").alias("hi"), F.col("spread").alias("other"))
     mixed = kinds.filter("mixed")
     large = mixed.groupBy("kh").count().filter(F.col("count") > hot).select("kh", F.lit(True).alias("large"))
     contexts = fetch_contexts(docs, mixed.join(large, "kh", "left").withColumn("n", F.when(F.col("large"), -F.col("n")).otherwise(F.col("n"))))
@@ -280,11 +298,14 @@ def find_spans(docs: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
 
 
 def remove(df: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (byte spans), a row for each row of ``df``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats_elsewhere and removed (byte spans), a row for each row of ``df``.
+
+    repeats_elsewhere: a removed string is in another document too (another id or another text), not in this one alone.
+    """
     docs = keyed(df)
-    spans = find_spans(docs, hot).groupBy("did", "dh").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-    joined = docs.join(spans, ["did", "dh"], "left").select("doc_id", "text", "spans")
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>"
+    spans = find_spans(docs, hot).groupBy("did", "dh").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.max("other").alias("other"))
+    joined = docs.join(spans, ["did", "dh"], "left").select("doc_id", "text", "spans", F.coalesce("other", F.lit(False)).alias("other"))
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_elsewhere boolean, removed array<struct<lo:long,hi:long>>"
     removed_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def run(batches):
@@ -304,6 +325,6 @@ def remove(df: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
                 kept.update(data[at:])
                 rows.append((len(data), sum(x["hi"] - x["lo"] for x in merged), len(merged), kept.hexdigest(), merged))
             c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), pa.array(c[4], removed_type)], names=[x.split()[0] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), batch.column("other"), pa.array(c[4], removed_type)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats_elsewhere", "removed"])
 
-    return joined.mapInArrow(run, kind)
+    return arrow_step(joined, run, kind)
