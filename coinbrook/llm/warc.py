@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinbrook.llm.common import cut, shared_dir
+from coinbrook.llm.common import arrow_step, cut, shared_dir
 
 CRLF = "\r\n"
-#: Records in a file at most, which bounds what a reader holds.
-RECORDS_PER_FILE = 1000
+#: Payload bytes from which on, and the records in a file at most: what a reader holds stays under 256 MB, or is one record.
+FILE_CLASSES = ((0, 1000), (256 << 10, 32), (8 << 20, 1))
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,7 +86,18 @@ def record_id(page_id: Column, url: Column, digest: Column, copy: Column) -> Col
 
 
 def write_archives(records: DataFrame, head: DataFrame, path: str) -> None:
-    """Writes gzipped WARC/1.1 files to ``path``: full responses, and revisits that name them. Payloads are shuffled once a digest."""
+    """Writes gzipped WARC/1.1 files to ``path``: full responses, and revisits that name them. Payloads are shuffled once a digest; large ones go to files of their own, fewer to a file."""
+    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    for k, (least, per_file) in enumerate(FILE_CLASSES):
+        below = FILE_CLASSES[k + 1][0] if k + 1 < len(FILE_CLASSES) else 1 << 62
+        fits = (F.col("payload_bytes") >= least) & (F.col("payload_bytes") < below)
+        if k == 0 or largest >= least:
+            out = record_texts(records.filter(fits), head.filter(fits))
+            out.write.mode("append" if k else "overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+
+def record_texts(records: DataFrame, head: DataFrame) -> DataFrame:
+    """value: the whole record of each row of ``records``."""
     payloads = head.groupBy("payload_sha1").agg(F.first("html").alias("html"))
     reply = records.filter("record_type = 'response'").join(payloads, "payload_sha1")
     again = records.filter("record_type = 'revisit'").withColumn("html", F.lit(""))
@@ -107,8 +118,7 @@ def write_archives(records: DataFrame, head: DataFrame, path: str) -> None:
         F.lit(CRLF),
         F.col("html"),
     )
-    out = reply.unionByName(again).select(block.alias("value"))
-    out.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    return reply.unionByName(again).select(block.alias("value"))
 
 
 def parse_records(stream) -> list:
@@ -147,7 +157,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, RECORD_SCHEMA)
+    return arrow_step(files, run, RECORD_SCHEMA)
 
 
 def restore(records: DataFrame) -> DataFrame:
