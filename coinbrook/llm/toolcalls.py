@@ -10,36 +10,51 @@ turn its result, under the identifier conversation:turn.
 ``link`` hash-joins the two. A call depends on each call whose id its arguments name in
 an object {"$ref": id}; ``level`` is the length of its longest chain of dependencies,
 found level by level over all conversations at once, and (level, turn, call_id) is the
-order. No conversation is gathered in one task.
+order. A round writes only the dependencies that are still open, so conversations drop
+out once they are settled. No conversation is gathered in one task.
 
 Defined results: calls that repeat an id in a conversation are ``duplicate`` but the
-first (by turn, then text), results that do so are ``duplicate_result``; a call without a result is
+first (by turn, then text, then name), results that do so are ``duplicate_result``; a call without a result is
 ``open``, a result without a call ``orphan``; calls in a cycle, or behind one, have a
-null level and are ``cycle``. Null conversations are one conversation, null texts empty;
-texts that are no such JSON are plain. An empty table gives an empty result; further
+null level and are ``cycle``. A call without an id is called ``no-id:turn:place``, a
+result without one ``no-id:turn``; ids and names that are no strings stand as JSON. JSON
+that nests deeper than MAX_DEPTH, or holds a number that JSON or a double does not have,
+is plain text; a lone surrogate is written as its escape. Turns of other roles (system
+ones too), or without a role, and a tool's plain texts give no row. Null conversations
+are one conversation, null texts empty. An empty table gives an empty result; further
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.llm.common import cut, slices
+from coinbrook.llm.common import arrow_step, cut, slices
 
 #: Schema of each known tool's arguments (a subset of JSON Schema: type, required, properties, additionalProperties, enum, items, minLength, minimum).
 SCHEMAS = {"reply": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "minLength": 1}}, "additionalProperties": False}}
 
 NO_CONVERSATION = -(1 << 63)
+#: Levels of objects and lists in a text that is read as JSON.
+MAX_DEPTH = 100
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def canonical(value) -> str:
     """JSON with sorted keys and no blanks; equal values give equal texts."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _encodable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _encodable(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 has no bytes for, as escapes."""
+    return text if text.isascii() else _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -50,7 +65,7 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     elif kind == "integer":
         fits = isinstance(value, int) and not isinstance(value, bool)
     else:
-        fits = kind is None or isinstance(value, _TYPES[kind])
+        fits = kind is None or isinstance(value, _TYPES.get(kind, object))
     if not fits:
         return [f"{at}: not of type {kind}"]
     if "enum" in schema and value not in schema["enum"]:
@@ -84,14 +99,35 @@ def references(value) -> list[str]:
     return []
 
 
+def _finite(number: str) -> float:
+    if not math.isfinite(value := float(number)):
+        raise ValueError("no double holds this number")
+    return value
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
 def _object(text: str) -> dict | None:
+    """The JSON object that ``text`` is, if it is one."""
     if not text.lstrip().startswith("{"):
         return None
     try:
-        value = json.loads(text)
-    except ValueError:
+        value = json.loads(text, parse_float=_finite, parse_constant=_no_number)
+    except (ValueError, RecursionError):
         return None
-    return value if isinstance(value, dict) else None
+    level = [value]
+    for _ in range(MAX_DEPTH):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, dict | list)]
+        if not level:
+            return value
+    return None
+
+
+def _name(value, missing: str) -> str:
+    """An identifier as text."""
+    return missing if value is None else _encodable(value) if isinstance(value, str) else canonical(value)
 
 
 def parse(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -104,16 +140,16 @@ def parse(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> D
         if isinstance(arguments, str) and (parsed := _object(arguments)) is not None:
             arguments = parsed
         problems = violations(arguments, known[name]) if name in known else ["$: unknown tool"]
-        return ("call", conv, turn, call_id, name, canonical(arguments), problems, sorted(set(references(arguments))))
+        return ("call", conv, turn, call_id, name, canonical(arguments), [*map(_encodable, problems)], sorted({*map(_encodable, references(arguments))}))
 
     def read(conv, turn, role, text):
         value = _object(text)
         if role == "assistant" and value and isinstance(value.get("tool_calls"), list):
-            for c in value["tool_calls"]:
+            for i, c in enumerate(value["tool_calls"]):
                 if isinstance(c, dict):
-                    yield call(conv, turn, str(c.get("id")), str(c.get("name")), c.get("arguments"))
+                    yield call(conv, turn, _name(c.get("id"), f"no-id:{turn}:{i}"), _name(c.get("name"), ""), c.get("arguments"))
         elif role == "tool" and value and "tool_call_id" in value:
-            yield ("result", conv, turn, str(value["tool_call_id"]), None, canonical(value.get("content")), [], [])
+            yield ("result", conv, turn, _name(value["tool_call_id"], f"no-id:{turn}"), None, canonical(value.get("content")), [], [])
         elif role == "user":
             yield call(conv, turn, f"{conv}:{turn}", "reply", {"text": text})
         elif role == "assistant":
@@ -131,37 +167,37 @@ def parse(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> D
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return turns.mapInArrow(run, kind)
+    return arrow_step(turns, run, kind)
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv, call_id and level of each first call; calls in or behind a cycle are missing. Each round settles the calls whose dependencies all are."""
+    """conv, call_id and level of each first call; calls in or behind a cycle are missing. Round n settles the calls of level n: those whose last dependency the round before settled."""
     edges = calls.select("conv", "call_id", F.explode("refs").alias("needs"))
     # A dependency on a call that is not there binds nothing.
     edges = cut(edges.join(calls.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"]).distinct())
     if edges.isEmpty():
         return calls.select("conv", "call_id", F.lit(0).alias("level"))
-    waiting = edges.select("conv", "call_id").distinct()
-    done = cut(calls.select("conv", "call_id").join(waiting, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    newest = done
-    while not newest.isEmpty():
-        met = edges.join(done.select("conv", F.col("call_id").alias("needs"), "level"), ["conv", "needs"], "left")
-        ready = met.groupBy("conv", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), (F.max("level") + 1).alias("level")).filter("open = 0").drop("open")
-        newest = cut(ready.join(done, ["conv", "call_id"], "left_anti"))
-        done = cut(done.unionByName(newest))
-    return done
+    key = ["conv", "call_id"]
+    settled = cut(calls.select(*key).join(edges.select(*key), key, "left_anti"))
+    out, level = settled.withColumn("level", F.lit(0)), 0
+    while not settled.isEmpty():
+        # What is no longer open is not written again.
+        still = cut(edges.join(settled.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"], "left_anti"))
+        settled, edges, level = cut(edges.select(*key).distinct().join(still.select(*key), key, "left_anti")), still, level + 1
+        out = out.unionByName(settled.withColumn("level", F.lit(level)))
+    return out
 
 
 def link(parsed: DataFrame) -> DataFrame:
     """A row for each call and each orphan or repeated result of ``parsed``: conv_id, call_id, name, turn, result_turn, level, status, valid, problems and canonical."""
     parsed = cut(parsed)
-    order = F.struct(F.col("turn").isNull().alias("none"), "turn", "payload")
+    order = F.struct(F.col("turn").isNull().alias("none"), "turn", "payload", "name")
     key = ["kind", "conv", "call_id"]
     # The first of each id: an aggregate, then rows that equal it are counted, so equal rows are told apart too.
-    counted = parsed.groupBy(*key, "turn", "payload").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.first("problems").alias("problems"), F.first("refs").alias("refs"))
+    counted = parsed.groupBy(*key, "turn", "payload", "name").agg(F.count("*").alias("n"), F.first("problems").alias("problems"), F.first("refs").alias("refs"))
     first = counted.groupBy(*key).agg(F.min(order).alias("first"))
     rows = counted.join(first, key).select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    is_first = (F.col("copy") == 1) & F.col("turn").eqNullSafe(F.col("first.turn")) & (F.col("payload") == F.col("first.payload"))
+    is_first = (F.col("copy") == 1) & F.col("turn").eqNullSafe(F.col("first.turn")) & (F.col("payload") == F.col("first.payload")) & F.col("name").eqNullSafe(F.col("first.name"))
     rows = rows.withColumn("repeat", ~is_first)
     calls, results = rows.filter("kind = 'call'"), rows.filter("kind = 'result'")
     firsts = calls.filter("not repeat")
@@ -184,9 +220,9 @@ def link(parsed: DataFrame) -> DataFrame:
     return first_rows.unionByName(repeated).unionByName(lost)
 
 
-def tool_links(conversations: DataFrame) -> DataFrame:
-    """``link`` over the calls and results of ``conversations``."""
-    return link(parse(conversations))
+def tool_links(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
+    """``link`` over the calls and results of ``conversations``; ``schemas`` by tool (None: SCHEMAS)."""
+    return link(parse(conversations, schemas))
 
 
 #: DuckDB's form for tables whose texts are plain turns and hold each turn once.
