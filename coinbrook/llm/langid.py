@@ -1,7 +1,9 @@
 """Language identification by multilingual mixtures.
 
 ``fit`` counts hashed letter trigrams by language over every labelled row: the model is
-a fixed table of BUCKETS numbers a language, however large the input. ``predict`` reads a
+a table of BUCKETS numbers a language, however large the input. It never has more than
+MODEL_NUMBERS: with more than 256 languages, buckets are folded together until all
+languages fit. ``predict`` reads a
 document as a mixture: expectation-maximisation estimates the share of each language
 from its trigrams' likelihoods, and the set of languages is the one with the best
 penalised likelihood among the sets of the k largest shares.
@@ -9,7 +11,8 @@ penalised likelihood among the sets of the k largest shares.
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go
 to the language that sorts first; rows that repeat a document are predicted alike; no
 labelled row at all gives ``und`` for every text; an empty table gives an empty result;
-further columns are ignored. At most MAX_LANGUAGES labels are accepted.
+further columns are ignored. No label is left out. A text's result depends on that text
+and the model alone, not on the rows beside it.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.llm.common import slices
+from coinbrook.llm.common import arrow_step, cut, slices
 
-BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
+BUCKETS, MODEL_NUMBERS = 1 << 16, 1 << 24
+#: Different pairs of language and bucket that a task holds before it sends their counts.
+HELD = 1 << 20
 ROUNDS = 25
 #: A language joins the set if it lifts the log likelihood by this times the logarithm of the trigrams.
 PENALTY = 3.0
@@ -70,38 +74,45 @@ def training_rows(df: DataFrame) -> DataFrame:
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
+        self.mask = counts.shape[1] - 1
         smooth = counts + 0.5
         self.likelihood = (smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float64)
 
 
 def fit(rows: DataFrame) -> Model:
-    """Counts all trigrams of ``rows`` (text, lang). Tasks send one number for each language and bucket they met."""
+    """Counts all trigrams of ``rows`` (text, lang). Tasks pre-sum what they met; at most MODEL_NUMBERS sums reach the driver."""
+
+    def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        code, back = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(back, np.concatenate(counts)).astype(np.int64)
+
+    def sent(names: list[str], code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        lang = pa.DictionaryArray.from_arrays(pa.array((code // BUCKETS).astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([lang, pa.array((code % BUCKETS).astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
 
     def run(batches):
         langs: dict[str, int] = {}
-        total = np.zeros((0, BUCKETS), np.int64)
+        code, n = np.zeros((2, 0), np.int64)
         for batch in slices(batches):
             texts, own = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for lang in own:
-                if lang not in langs:
-                    langs[lang] = len(langs)
-                    if len(langs) > MAX_LANGUAGES:
-                        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-            total = np.concatenate([total, np.zeros((len(langs) - len(total), BUCKETS), np.int64)])
             bucket, text, _ = trigrams(texts)
-            of = np.array([langs[x] for x in own], np.int64)
-            total += np.bincount(of[text] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        for lang, i in langs.items():
-            b = np.flatnonzero(total[i])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b), pa.string()), pa.array(b.astype(np.int32)), pa.array(total[i][b])], names=["lang", "bucket", "n"])
-
-    counted = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # At most MAX_LANGUAGES times BUCKETS rows, however large the corpus.
-    got = counted.toArrow()
+            of = np.array([langs.setdefault(x, len(langs)) for x in own], np.int64)
+            new, times = np.unique(of[text] * BUCKETS + bucket, return_counts=True)
+            code, n = summed([code, new], [n, times])
+            if len(code) > HELD:
+                yield sent(list(langs), code, n)
+                langs, (code, n) = {}, np.zeros((2, 0), np.int64)
+        if len(code):
+            yield sent(list(langs), code, n)
+
+    counted = cut(arrow_step(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    n_languages = max(1, counted.agg(F.countDistinct("lang")).first()[0])
+    size = BUCKETS
+    while size > 1 and size * n_languages > MODEL_NUMBERS:
+        size //= 2
+    got = counted.groupBy("lang", F.col("bucket").bitwiseAND(size - 1).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(got.column("lang").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((len(languages), BUCKETS))
+    counts = np.zeros((len(languages), size))
     at = {x: i for i, x in enumerate(languages)}
     counts[[at[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     return Model(languages, counts)
@@ -139,7 +150,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (its share) and languages (the set, by falling share), a row for each row of ``df``; only texts are read for it."""
     kind = "doc_id long, lang_pred string, score double, languages string"
     names = [x.split()[0] for x in kind.split(", ")]
-    sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
+    sent = df.sparkSession.sparkContext.broadcast(model)  # MODEL_NUMBERS numbers at most
 
     def run(batches):
         m = sent.value
@@ -153,13 +164,13 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
                 if not any_letter[i] or not m.languages:
                     rows.append(("und", 0.0, ""))
                     continue
-                b, n = np.unique(b, return_counts=True)
+                b, n = np.unique(b & m.mask, return_counts=True)
                 found = language_set(m.likelihood[:, b], n.astype(np.float64))
                 order = sorted(found, key=lambda k: (-found[k], m.languages[k]))
                 rows.append((m.languages[order[0]], min(1.0, found[order[0]]), ",".join(m.languages[k] for k in order)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.float64(), pa.string()), strict=True))], names=names)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return arrow_step(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, kind)
 
 
 def identify(df: DataFrame) -> DataFrame:
