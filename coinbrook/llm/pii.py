@@ -2,10 +2,10 @@
 
 Identifiers are looked for in the text itself (the base) and once more in a normalised
 text. Normalisation is a chain of transducers, each rewriting pieces of the text and
-carrying for every character the source span that it came from: invisible characters
-go, homoglyphs become ASCII, runs of spelled digits become digits, and at/dot disguises
-become the signs. Spans found there are mapped back to the source and added where they
-touch no base span.
+carrying for every character the source span that it came from: homoglyphs become
+ASCII, invisible characters go, runs of spelled digits become digits, and at/dot
+disguises become the signs. Spans found there are mapped back to the source and added
+unless a base span holds them.
 
 Defined results: a null text is empty and has no spans; equal rows get equal rows;
 overlapping spans of different kinds are all listed; an empty table gives an empty
@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from coinbrook.llm.common import documents, slices
+from coinbrook.llm.common import arrow_step, documents, slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -76,41 +77,60 @@ def detect(text: str) -> list[Span]:
     return out
 
 
-#: Look-alikes of ASCII letters, digits and signs in Cyrillic and Greek.
+#: Look-alikes of ASCII letters, digits and signs in Cyrillic and Greek, and of signs.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝɡ" + "АВЕКМНОРСТУХІЈЅ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "οανρυ", "aeopcyxijshdqwg" + "ABEKMHOPCTYXIJS" + "ABEZHIKMNOPTYX" + "oavpu", strict=True)) | dict(zip("․。．＠﹫＋﹢‐‑‒–—−", "...@@++------", strict=True))
-#: Full-width forms follow ASCII at a fixed distance, mathematical digits in five runs of ten.
-HOMOGLYPHS |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)} | {chr(0x1D7CE + i): str(i % 10) for i in range(50)}
-INVISIBLE = "​‌‍⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Words before " at x.com" that make it a place, not an address.
+NO_LOCAL_PART = ("available", "look", "looks", "looking", "found", "find", "here", "us", "me", "site", "website", "page", "online", "hosted", "live", "lives", "visit", "is", "are", "was", "be", "it", "them", "more", "and", "or", "out", "up", "work", "works", "working", "shop", "people", "team", "read", "see", "sign", "register", "download", "news", "blog", "arrived", "stay", "located", "based", "directly", "published", "posted")
 
-_GLYPH = re.compile("[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "]")
-_DIGIT_WORD = re.compile(r"\b(?:" + "|".join(DIGIT_WORDS) + r")\b", re.I)
+
+class Glyphs(dict):
+    """Code point to its ASCII look-alike, or to itself: the fixed ones, and by rule each letter, digit or sign in another font, width or circle."""
+
+    def __missing__(self, code: int) -> int:
+        form, _, one = unicodedata.decomposition(chr(code)).partition("> ")
+        ascii_ = int(one, 16) if form in ("<font", "<wide", "<narrow", "<circle") and " " not in one else code
+        self[code] = out = ascii_ if ascii_ < 0x80 else code
+        return out
+
+
+_GLYPHS = Glyphs({ord(k): ord(v) for k, v in HOMOGLYPHS.items()})
+_INVISIBLE = re.compile(f"[{INVISIBLE}]")
+_DIGIT_WORD = r"\b(?:" + "|".join(DIGIT_WORDS) + r")\b"
 #: At least three digit words with single blanks or hyphens between them.
-_DIGIT_RUN = re.compile(rf"{_DIGIT_WORD.pattern}(?:[ -]{_DIGIT_WORD.pattern}){{2,}}", re.I)
+_DIGIT_RUN = re.compile(rf"{_DIGIT_WORD}(?:[ -]{_DIGIT_WORD}){{2,}}", re.I)
 _PLUS_WORD = re.compile(r"\bplus (?=[0-9])", re.I)
 _BRACKET = {sign: re.compile(rf"\s?[\[({{<]\s?(?:{word})\s?[\])}}>]\s?", re.I) for sign, word in (("@", "at|@"), (".", r"dot|\."))}
+_LABELS = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
 #: Not before a determiner: "look at the dot" is no address.
-_SPOKEN = re.compile(r"(?<=[A-Za-z0-9]) at (?!(?:the|a|an|this|that|these|those|each|every) )(?=[A-Za-z0-9-]+ dot [A-Za-z])", re.I)
-_SPOKEN_DOMAIN = re.compile(r"(?<=@)[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+", re.I)
-_SPOKEN_LOCAL = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9._%+-]+@)", re.I)
+_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9]) at (?!(?:the|a|an|this|that|these|those|each|every) )(?={_LABELS} dot [A-Za-z])", re.I)
+#: The last label of the domain is one of a few that are no words; "www." is a site.
+_SPOKEN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?!(?:{'|'.join(NO_LOCAL_PART)}) )([A-Za-z0-9][A-Za-z0-9._%+-]*) at (?!www\.)(?=(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ca|us)\b)", re.I)
+_SPOKEN_DOMAIN = re.compile(rf"(?<=@){_LABELS}(?: dot {_LABELS})+", re.I)
+_SPOKEN_LOCAL = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9._%+-]+)*@)", re.I)
 _SPOKEN_POINT = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
+_DOT_WORD, _AT = re.compile(" dot ", re.I), re.compile(" at ", re.I)
 
 
 class Traced:
-    """A text whose characters know the source span they came from."""
+    """A text whose characters know the source span they came from; without ``start`` and ``end`` each is its own."""
 
     def __init__(self, text: str):
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
+        self.start: list[int] | None = None
+        self.end: list[int] | None = None
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
 
     def rewrite(self, pattern: re.Pattern, replacement) -> None:
         """Replaces each match; every new character stands for the match's whole source span."""
         parts, start, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
+            if self.start is None:
+                self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
             a, b = m.span()
-            if a == b:
-                continue
             new = replacement(m)
             parts += [self.text[at:a], new]
             start += self.start[at:a] + [self.start[a]] * len(new)
@@ -126,40 +146,46 @@ def _spelled(m: re.Match) -> str:
 
 
 def normalise(text: str) -> Traced | None:
-    """The text after all transducers; None if none of them has anything to do."""
-    low = text.lower() if "ot" in text or "OT" in text or "Ot" in text else ""
-    dots = "dot" in low
-    glyphs = not text.isascii() and _GLYPH.search(text)
-    brackets = any(p.search(text) for p in _BRACKET.values()) if "[" in text or "(" in text or "{" in text or "<" in text else False
-    words = _DIGIT_RUN.search(text) if sum(text.count(w) for w in ("ero", "ne", "wo", "hree", "our", "ive", "ix", "even", "ight", "ERO", "NE", "WO", "HREE", "OUR", "IVE", "IX", "EVEN", "IGHT")) >= 3 else None
-    if not (dots or glyphs or brackets or words):
-        return None
+    """The text after all transducers; None if none of them has anything to do. Each one sees what those before it wrote."""
     t = Traced(text)
-    if glyphs:
-        t.rewrite(_GLYPH, lambda m: HOMOGLYPHS.get(m[0], ""))
-    t.rewrite(_DIGIT_RUN, _spelled)
-    t.rewrite(_PLUS_WORD, lambda m: "+")
-    for sign, pattern in _BRACKET.items():
-        t.rewrite(pattern, lambda m, sign=sign: sign)
-    if dots:
+    if not text.isascii():
+        if any(_GLYPHS[ord(c)] != ord(c) for c in set(text)):
+            t.text = text.translate(_GLYPHS)
+        t.rewrite(_INVISIBLE, lambda m: "")
+    low = t.text.lower()
+    if sum(map(low.count, DIGIT_WORDS)) >= 3:
+        t.rewrite(_DIGIT_RUN, _spelled)
+    if "plus" in low:
+        t.rewrite(_PLUS_WORD, lambda m: "+")
+    if any(x in low for x in "[({<"):
+        for sign, pattern in _BRACKET.items():
+            t.rewrite(pattern, lambda m, sign=sign: sign)
+    if " at " in low:
         t.rewrite(_SPOKEN, lambda m: "@")
-        t.rewrite(_SPOKEN_DOMAIN, lambda m: re.sub(" dot ", ".", m[0], flags=re.I))
+        # The word before stays as it is, each character with its own source.
+        if _SPOKEN_AT.search(t.text):
+            marks = {m.end() for m in _SPOKEN_AT.finditer(t.text)}
+            t.rewrite(_AT, lambda m: "@" if m.end() in marks else m[0])
+    if "dot" in low:
+        t.rewrite(_SPOKEN_DOMAIN, lambda m: _DOT_WORD.sub(".", m[0]))
         t.rewrite(_SPOKEN_LOCAL, lambda m: ".")
         t.rewrite(_SPOKEN_POINT, lambda m: ".")
     return t if t.text != text else None
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans and added spans, both in code points of ``text``."""
+    """Base spans and added spans, both in code points of ``text``. Added ones lie in no base span; they may overlap one, as a longer disguised address does."""
     base = detect(text)
     t = normalise(text)
     if t is None:
         return base, []
+    # Spans of a kind don't overlap, so only the last one that starts before can hold another.
+    own = [([s for k, s, _ in base if k == kind], [e for k, _, e in base if k == kind]) for kind in KINDS]
     added = []
     for kind, a, b in detect(t.text):
-        span = (kind, t.start[a], t.end[b - 1])
-        if not any(span[1] < e and s < span[2] for _, s, e in base + added):
-            added.append(span)
+        a, b = t.source(a, b)
+        if not any((i := bisect_right(starts, a)) and ends[i - 1] >= b for starts, ends in own):
+            added.append((kind, a, b))
     return base, added
 
 
@@ -180,7 +206,7 @@ def scan(df: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=[x.split()[0] for x in kind.split(", ")])
 
-    return documents(df).mapInArrow(run, kind)
+    return arrow_step(documents(df), run, kind)
 
 
 def redacted(text: str) -> str:
@@ -194,6 +220,13 @@ def redacted(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(text: Column) -> Column:
-    """Column form of ``redacted``; null stays null."""
-    return F.pandas_udf(lambda texts: texts.map(redacted, na_action="ignore"), "string")(text)
+def redact(df: DataFrame) -> DataFrame:
+    """``df`` with its column ``text`` redacted (null stays null) and all other columns as they are."""
+
+    def run(batches):
+        for batch in slices(batches):
+            at = batch.schema.get_field_index("text")
+            texts = pa.array([t if t is None else redacted(t) for t in batch.column(at).to_pylist()], pa.string())
+            yield batch.set_column(at, batch.schema.field(at), texts)
+
+    return arrow_step(df, run, df.schema)

@@ -16,15 +16,20 @@ from tests.llm import rows
 
 def brute_repeats(pairs, window=repeats.WINDOW):
     count = Counter(b[i : i + window] for _, t in pairs for b in [t.encode()] for i in range(len(b) - window + 1))
-    out = Counter()
+    out, owners = Counter(), defaultdict(set)
+    for doc_id, t in set(pairs):
+        b = t.encode()
+        for i in range(len(b) - window + 1):
+            owners[b[i : i + window]].add((doc_id, t))
     for doc_id, t in pairs:
         b = t.encode()
         gone = np.zeros(len(b), bool)
+        other = any(len(owners[b[i : i + window]]) > 1 for i in range(len(b) - window + 1))
         for i in range(len(b) - window + 1):
             if count[b[i : i + window]] > 1:
                 gone[i : i + window] = True
         spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0
-        out[doc_id, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()] += 1
+        out[doc_id, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest(), other] += 1
     return out
 
 
@@ -32,8 +37,9 @@ def brute_repeats(pairs, window=repeats.WINDOW):
 def test_repeats(spark, sf, hot):
     passage = "".join(chr(97 + i * i % 26) for i in range(600))
     extra = [(9001, "ab" * 900), (9002, "é" * 500), (9003, "x" * 401), (9003, "x" * 401), (9004, "q" * 399), (9005, "start " + passage[:450] + " end"), (9006, passage[50:] + "!"), (9007, passage[:399])]
-    docs = rows.documents(spark, sf).filter("doc_id is null or doc_id <> 7006").select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove(docs, hot).collect())
+    extra += [(9008, "own " + passage[::-1] + " twice " + passage[::-1]), (9009, "z" * 500 + passage[7:420]), (9010, passage[::-1][300:] + "z" * 420 + "?" * 700)]
+    docs = rows.documents(spark, sf).select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.repeats_elsewhere) for r in repeats.remove(docs, hot).collect())
     assert got == brute_repeats(rows.pairs(docs))
 
 
@@ -133,13 +139,17 @@ def test_decontamination(spark, sf):
     item = " ".join(f"term{i}" for i in range(50))
     bench = [(1, item), (2, "Short item here"), (3, None), (4, ""), (5, item)]
     own = [(1, "noise before " + item + " and after"), (2, item.replace("term0", "other").upper()), (3, item.replace("term25", "other").replace("term12", "another")), (4, " ".join(item.split()[:-3])), (5, "a short item here is"), (None, item)]
-    docs = rows.documents(spark, sf).filter("doc_id is null or doc_id <> 7006").select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+    docs = rows.documents(spark, sf).select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").withColumn("item_id", jaccard.F.col("item_id") + 100).unionByName(spark.createDataFrame(bench, "item_id long, text string"))
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontam.contaminated(docs, items).collect()}
     expected = brute_leaks(rows.pairs(docs), [(r.item_id, r.text) for r in items.collect() if r.text])
     assert got == expected and {1, 2, 4, None} <= {d for d, _ in got} and (3, 1) not in got
-    groups = decontam.item_groups(items, bound=500)
-    assert len(groups) > 3 and sum(len(g.items) for g in groups) == items.filter("text is not null and text <> ''").count()
+
+
+def test_a_full_filter_loses_nothing(spark, sf):
+    docs, items = rows.documents(spark, sf), decontam.item_table(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    whole, full = (decontam.windows(docs, decontam.item_filter(items, most)) for most in (decontam.FILTER_BITS, 1 << 12))
+    assert whole.exceptAll(full).count() == 0 and full.count() > whole.count() > 0
 
 
 def test_decontamination_empty(spark, sf):
@@ -176,6 +186,16 @@ def test_warc(spark, sf):
     assert warc.deduplicated(pages.limit(0)).count() == 0
 
 
+def test_warc_large_payloads_have_files_of_their_own(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CLASSES", ((0, 2), (10, 1)))
+    pages = spark.createDataFrame([(i, "u", "x" * n) for i, n in enumerate((1, 2, 3, 4, 30, 40, 30))], "page_id long, url string, html string").coalesce(1)
+    got = warc.deduplicated(pages, str(tmp_path / "w")).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.refers_to) for r in got) == Counter([(0, 1, None), (1, 2, None), (2, 3, None), (3, 4, None), (4, 30, None), (5, 40, None), (6, 30, 4)])
+    records = warc.read_archives(spark, str(tmp_path / "w")).select("*", warc.F.col("page_id"))
+    per_file = Counter(len(list(warc.parse_records(__import__("gzip").open(f)))) for f in (tmp_path / "w").glob("*.gz"))
+    assert records.count() == 7 and max(per_file) <= 2 and per_file[1] >= 3
+
+
 def test_warc_files_and_sql_form(spark, sf, tmp_path):
     import duckdb
 

@@ -43,7 +43,7 @@ def test_bpe_pieces_are_those_of_the_library_for_every_kind_of_character():
     import public_tokenizers as P
     import tiktoken
 
-    coder = bpe.coder(*bpe.default_vocabulary())
+    coder = bpe.ByteBpe(*bpe.default_vocabulary())
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [f"a{chr(c)}b1{chr(c)}2 {chr(c)}!{chr(c)}" for c in [*range(0x3000), *range(0xF900, 0x11000)] if not 0xD800 <= c < 0xE000]
@@ -91,6 +91,21 @@ def test_license_spans_merge_neighbouring_diagonals(spark):
     assert [(s.label, s.start) for s in spans] == [("mit", 1)] and spans[0].end == len(text.split())
 
 
+def test_license_drift_is_bounded_in_all(spark):
+    """Three pieces of foreign words, each short, but together wider than the band: no span; the whole text, lightly edited: one."""
+    grant = next(t.words for t in licenses.TEMPLATES if t.name == "mit_grant").split()
+    cut_up = [w for i, x in enumerate(grant) for w in ([x, "foo", "bar", "baz"] if i in (5, 10, 15) else [x])]
+    whole = next(t.words for t in licenses.TEMPLATES if t.name == "mit_text").split()
+    edited = ["copyright", "someone", *whole[:40], "really", *whole[40:90], *whole[92:], "the", "end"]
+    texts = [(1, " ".join(cut_up)), (2, " ".join(edited)), (3, " ".join(whole[:60])), (2, " ".join(edited))]
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in texts) and by[1].labels == ""
+    assert by[2].labels == by[3].labels == "mit" and 0.9 < by[2].score <= 1
+    longest = max(by[2].found_spans, key=lambda s: s.end - s.start)
+    assert (longest.start, longest.end) == (2, len(edited) - 2)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -150,6 +165,25 @@ def test_pii_disguises_keep_offsets(text, span):
     assert [text[a:b] for _, a, b in base + added] == [span]
 
 
+@pytest.mark.parametrize(
+    "text, base, added",
+    [
+        ("john at example.com", [], [("email", 0, 19)]),
+        ("to john at example d\u043et com now", [], [("email", 3, 26)]),
+        ("john at example doT com", [], [("email", 0, 23)]),
+        ("\U0001d423\U0001d428\U0001d421\U0001d427@example.com", [], [("email", 0, 16)]),
+        ("john dot doe@example.com", [("email", 9, 24)], [("email", 0, 24)]),
+        ("john at example [dot] com", [], [("email", 0, 25)]),
+        ("john at mail.example dot com", [], [("email", 0, 28)]),
+        ("plus 49 30 1234567", [], [("phone", 0, 18)]),
+        ("plus four nine Oh one two three four five six seven", [], [("phone", 0, 51)]),
+    ],
+)
+def test_pii_mixed_disguises(text, base, added):
+    """Each step sees what those before it wrote; a longer added span may overlap a base one."""
+    assert pii.find(text) == (base, added)
+
+
 @pytest.mark.parametrize("text", ["we met at noon, dot your notes", "one two buckle my shoe", "look at the dot com boom", "rows (at) rest"])
 def test_pii_leaves_plain_text(text):
     assert pii.find(text) == ([], []) and pii.redacted(text) == text
