@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition. Spark has none built in; texts in ASCII, the large part, never reach Python."""
-    run = F.pandas_udf(lambda s: s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore"), "string")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), run(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
+    """Compatibility composition, by the ICU library that Spark's collations bring along: all on the JVM. Texts in ASCII, the large part, are passed as they are."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
 
 
 #: Fixed patterns: what processors put in front of a merchant's name.
@@ -67,6 +65,21 @@ def csv_cell(cell: Column) -> Column:
     return F.when(safe.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
 
 
+#: Fixed pattern: what a description may start with and be run by a spreadsheet.
+FORMULA = r"^\s*[=+@-]"
+
+
+def sanitized_cell(cell: Column) -> Column:
+    """A statement's cell for display: no U+0000, 1,024 characters, a leading quote before a formula's first sign."""
+    cut = F.substring(F.replace(cell, F.lit("\x00"), F.lit("")), 1, 1024)
+    return F.when(cut.rlike(FORMULA), F.concat(F.lit("'"), cut)).otherwise(cut)
+
+
+def bounded(cell: Column, most: int = 512) -> Column:
+    """The first ``most`` characters."""
+    return F.substring(cell, 1, most)
+
+
 def report_cell(cell: Column) -> Column:
     """A cell of the error report: no U+0000, 1,024 characters, safe, always quoted."""
     safe = spreadsheet_safe(F.substring(F.replace(F.coalesce(cell, F.lit("")), F.lit("\x00"), F.lit("")), 1, 1024))
