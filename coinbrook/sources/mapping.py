@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,11 +102,12 @@ def preview(rows: DataFrame, m: Mapping, order: str = "row_number", size: int =
     return marked.orderBy(rank, order).limit(size).select(order, "source_location", F.when(F.col("valid"), "valid").otherwise("invalid").alias("row_status"), "posted_date", "description", "amount")
 
 
-def header_signature(header: list[str]) -> str:
-    """Key of a saved mapping: FNV-1a of the header's names in small letters."""
+def header_signature(header: list[str], parser_id: str = "csv", parser_version: str = "1.0.0") -> str:
+    """Key of a saved mapping: FNV-1a over the code points of parser, version and the header's composed names in small letters."""
+    names = "\x1f".join(unicodedata.normalize("NFKC", x).strip().lower() for x in header)
     h = 0x811C9DC5
-    for unit in "\x00".join(x.strip().lower() for x in header):
-        h = ((h ^ ord(unit)) * 0x01000193) & 0xFFFFFFFF
+    for character in f"{parser_id}\x00{parser_version}\x00{names}":
+        h = ((h ^ ord(character)) * 0x01000193) & 0xFFFFFFFF
     return f"csv-{h:08x}"
 
 

@@ -107,8 +107,12 @@ _COLUMNS = ("statement", "account_type", "account_number", "currency", "ledger_b
 SCHEMA = ", ".join(f"{c} {'long' if c == 'row_number' else 'string'}" for c in ("path", *_COLUMNS, "problem"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Raw statement rows of all files under ``path``; a file that can't be read is one row with its problem."""
+#: Fixed limit of one file.
+MAX_BYTES = 16 << 20
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Raw statement rows of files (path, content); a file that can't be read is one row with its problem."""
 
     def run(frames):
         for frame in frames:
@@ -121,7 +125,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 df.insert(0, "path", p)
                 yield df.astype({"row_number": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """``parsed`` of all files under ``path``; one that is too large has that as its problem and is not loaded."""
+    files = spark.read.format("binaryFile").load(path)
+    kinds = {c: "long" if c == "row_number" else "string" for c in _COLUMNS}
+    large = files.filter(F.col("length") > MAX_BYTES).select("path", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], F.lit(f"more than {MAX_BYTES} bytes").alias("problem"))
+    return parsed(files.filter(F.col("length") <= MAX_BYTES)).unionByName(large)
 
 
 def amount(raw):

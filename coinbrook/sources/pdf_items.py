@@ -2,24 +2,42 @@
 
 Input: items (doc, page, x, y, width, text) that a PDF library has taken out; reading the
 binary format is out of scope. Lines of a page are grouped in order of first sight, which
-has no form as a join or window, so a page (bounded) is one group; dated lines open a
-transaction and undated ones continue it, by a running count.
+has no form as a join or window, so a page (bounded) is one group. The first line that has
+the headings of a table gives the columns' places; lines are cut into cells by them. A line
+with a date opens a transaction, undated ones continue its description, headings, summary
+lines and whatever else end it: a running count and the last such event over a document's
+lines (a statement, so bounded too).
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coinbrook.functions import dates
+
 BASELINE = 3.0
-_DATED = r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{1,2} [A-Za-z]{3} [0-9]{4}|[A-Za-z]{3} [0-9]{1,2}, [0-9]{4})"
-_AMOUNT = r"(\(?-?\$?[0-9][0-9,]*\.[0-9]{2}-?\)?)\s*$"
-_SUMMARY = r"(?i)\b(opening|closing|previous|new) balance\b|\btotals?\b"
+#: Least score of a document that is read as a table, and lines that the score looks at.
+LEAST_SCORE, SAMPLE = 0.5, 40
+#: Headings of a statement's columns, in lower case.
+HEADINGS = {
+    "date": ("date", "posted", "transaction date", "trans date", "posting date"),
+    "description": ("description", "details", "transaction", "narrative", "particulars", "memo", "payee"),
+    "amount": ("amount", "value"),
+    "debit": ("debit", "debits", "withdrawal", "withdrawals", "payments", "paid out"),
+    "credit": ("credit", "credits", "deposit", "deposits", "received", "paid in"),
+}
+#: Fixed patterns: lines that sum up, currencies, and amounts (exactly two decimals).
+SUMMARY = r"(?i)\b(opening balance|closing balance|balance (brought|carried) forward|statement total|total (debits|credits|withdrawals|deposits)|subtotal|ending balance|beginning balance|page \d+ of \d+)\b"
+CURRENCY = r"\b(USD|CAD|EUR|GBP|AUD|JPY|CHF|NZD)\b"
+AMOUNT = r"^\(?\s*-?\$?\s*(\d{1,3}(,\d{3})*|\d+)\.\d{2}\s*\)?-?$"
+
+_CELL = "struct<x:double,text:string>"
 
 
 def lines(items: DataFrame) -> DataFrame:
-    """doc, page, line and text: items within BASELINE of a line's first item are one line, left to right; lines run down the page (y grows upwards)."""
+    """doc, page, line, text and cells (x, text): items within BASELINE of a line's first item are one line, left to right; lines run down the page (y grows upwards)."""
 
     def group(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["y", "x"], ascending=[False, True], kind="stable")
@@ -31,39 +49,107 @@ def lines(items: DataFrame) -> DataFrame:
             line[1].append(item)
         rows = []
         for k, (_, members) in enumerate(sorted(found, key=lambda ln: -ln[0]), 1):
-            out, right = "", None
-            for m in sorted(members, key=lambda m: m.x):
+            out, right, members = "", None, sorted(members, key=lambda m: m.x)
+            for m in members:
                 out += (" " if right is not None and m.x - right > 1 and not out.endswith(" ") else "") + m.text
                 right = m.x + m.width
-            rows.append((k, out.strip()))
-        return pd.DataFrame({"doc": page["doc"].iloc[0], "page": page["page"].iloc[0], "line": [r[0] for r in rows], "text": [r[1] for r in rows]})
+            rows.append((k, out.strip(), [{"x": m.x, "text": m.text} for m in members]))
+        return pd.DataFrame({"doc": page["doc"].iloc[0], "page": page["page"].iloc[0], "line": [r[0] for r in rows], "text": [r[1] for r in rows], "cells": [r[2] for r in rows]})
 
-    return items.groupBy("doc", "page").applyInPandas(group, "doc string, page int, line int, text string")
+    return items.groupBy("doc", "page").applyInPandas(group, f"doc string, page int, line int, text string, cells array<{_CELL}>")
 
 
-def rows(page_lines: DataFrame) -> DataFrame:
-    """doc, row_number, date_text, description and amount_text of each transaction; text before the first dated line and summary lines are left out."""
-    kept = page_lines.filter(~F.col("text").rlike(_SUMMARY))
-    w = Window.partitionBy("doc").orderBy("page", "line")
-    numbered = kept.withColumn("row_number", F.sum(F.col("text").rlike(_DATED).cast("int")).over(w)).filter("row_number > 0")
-    dated = F.regexp_extract("text", _DATED, 1)
-    rest = F.trim(F.regexp_replace(F.regexp_replace("text", _DATED, ""), _AMOUNT, ""))
-    parts = F.sort_array(F.collect_list(F.struct("page", "line", rest.alias("rest"))))
-    return numbered.groupBy("doc", "row_number").agg(
-        F.max(F.nullif(dated, F.lit(""))).alias("date_text"), F.array_join(F.filter(F.transform(parts, lambda p: p["rest"]), lambda t: t != ""), " ").alias("description"), F.max(F.nullif(F.regexp_extract("text", _AMOUNT, 1), F.lit(""))).alias("amount_text")
+def _headings() -> list[Column]:
+    """Left edges of the columns that a line's cells head, null where it has no such heading."""
+    first = lambda names: F.array_min(F.transform(F.filter("cells", lambda c: F.lower(F.trim(c["text"])).isin(*names)), lambda c: c["x"]))
+    return [first(names).alias(k) for k, names in HEADINGS.items()]
+
+
+def _boundary(h: str = "") -> Column:
+    """Where the amounts begin, if the headings make a table; else null."""
+    at = lambda c: F.col(h + c)
+    edge = F.coalesce(at("amount"), F.when(at("debit").isNotNull() & at("credit").isNotNull(), F.least(at("debit"), at("credit"))))
+    return F.when(at("date").isNotNull() & (edge > at("description")), edge)
+
+
+def layouts(page_lines: DataFrame) -> DataFrame:
+    """doc and the columns' edges (date, description, amount or debit and credit, boundary) by the first line that heads a table; documents without one are missing."""
+    heads = page_lines.select("doc", "page", "line", *_headings()).withColumn("boundary", _boundary()).filter("boundary is not null")
+    return heads.groupBy("doc").agg(F.min(F.struct("page", "line", *HEADINGS, "boundary")).alias("h")).select("doc", *[F.col(f"h.{c}").alias(c) for c in (*HEADINGS, "boundary")])
+
+
+def amount(raw: Column, debit: bool = False) -> Column:
+    """Exactly two decimals; parentheses, a minus in front or behind, thousands and a dollar sign. ``debit``: the column itself means minus."""
+    value = F.trim(raw)
+    digits = F.regexp_replace(value, r"[(),$\s-]", "").try_cast("decimal(38,2)")
+    negative = F.lit(debit) | value.contains("-") | value.rlike(r"^\(.*\)$")
+    return F.when(value.rlike(AMOUNT), F.when(negative, -digits).otherwise(digits))
+
+
+def cut_lines(page_lines: DataFrame) -> DataFrame:
+    """Each line of the documents that have a layout, with its date, description and amount tokens, posted date and whether it is noise (headings, summaries)."""
+    own = page_lines.select("*", F.struct(*_headings()).alias("own"))
+    x = own.join(layouts(page_lines), "doc")
+    middle = (F.col("description") + F.col("boundary")) / 2
+
+    def joined(by: str, inside) -> Column:
+        kept = F.filter(F.transform("cells", lambda c: F.struct(c["x"].alias("x"), F.trim(c["text"]).alias("text"))), lambda c: (c["text"] != "") & inside(c["x"]))
+        return F.array_join(F.transform(kept, lambda c: c["text"]), by)
+
+    split_at = (F.col("debit") + F.col("credit")) / 2
+    signed = F.col("amount").isNotNull()
+    out = x.select(
+        "doc", "page", "line", "text", "own", signed.alias("signed"),
+        joined(" ", lambda at: (at < middle) & (at < F.col("description") - 1)).alias("date_token"),
+        joined(" ", lambda at: (at < middle) & (at >= F.col("description") - 1)).alias("narrative"),
+        joined("", lambda at: (at >= middle) & signed).alias("amount_token"),
+        joined("", lambda at: (at >= middle) & ~signed & (at < split_at)).alias("debit_token"),
+        joined("", lambda at: (at >= middle) & ~signed & (at >= split_at)).alias("credit_token"),
     )
+    data = dates.looks_like_pdf_date(F.col("date_token"))
+    for c in ("amount_token", "debit_token", "credit_token"):
+        data = data | F.trim(c).rlike(AMOUNT)
+    noise = (F.col("text") == "") | F.col("text").rlike(SUMMARY) | (_boundary("own.").isNotNull() & ~data)
+    return out.withColumns({"noise": noise, "posted_date": dates.pdf_date(F.col("date_token"))}).drop("own")
 
 
-def amount(raw):
-    """Exactly two decimals; parentheses, a sign in front or behind, and a dollar sign."""
-    negative = raw.rlike(r"^\(.*\)$") | raw.startswith("-") | raw.endswith("-") | raw.rlike(r"^\$-")
-    digits = F.regexp_replace(raw, r"[()$,\-\s]", "")
-    return F.when(digits.rlike(r"^[0-9]+\.[0-9]{2}$"), F.when(negative, -digits.try_cast("decimal(38,2)")).otherwise(digits.try_cast("decimal(38,2)")))
+def rows(page_lines: DataFrame) -> DataFrame:
+    """doc, row_number, posted_date, date_text, description, amount, source_location and issue of each dated row.
+
+    issue: AMBIGUOUS_AMOUNT (debit and credit), MISSING_AMOUNT or MISSING_DESCRIPTION; null for a usable row.
+    """
+    by = Window.partitionBy("doc").orderBy("page", "line")
+    opens = ~F.col("noise") & F.col("posted_date").isNotNull()
+    continues = ~F.col("noise") & F.col("posted_date").isNull() & (F.col("date_token") == "") & (F.col("narrative") != "") & (F.col("amount_token") == "")
+    marked = cut_lines(page_lines).withColumns({"opens": opens, "continues": continues})
+    event = F.when(F.col("opens"), True).when(~F.col("continues"), False)
+    marked = marked.withColumns({"row_number": F.sum(F.col("opens").cast("int")).over(by), "open": F.last(event, ignorenulls=True).over(by)})
+    parts = F.sort_array(F.collect_list(F.struct("page", "line", "narrative")))
+    place = lambda p: F.concat(F.lit("page:"), p["page"].cast("string"), F.lit("/line:"), p["line"].cast("string"))
+    first = lambda c: F.max(F.when(F.col("opens"), F.col(c))).alias(c)
+    gathered = marked.filter("opens or (continues and open)").groupBy("doc", "row_number", "signed").agg(
+        *[first(c) for c in ("posted_date", "date_token", "amount_token", "debit_token", "credit_token")], F.array_join(F.filter(F.transform(parts, lambda p: p["narrative"]), lambda t: t != ""), " ").alias("description"), F.array_join(F.transform(parts, place), ";").alias("source_location")
+    )
+    debit, credit = amount(F.col("debit_token"), debit=True), amount(F.col("credit_token"))
+    value = F.when(F.col("signed"), amount(F.col("amount_token"))).otherwise(F.coalesce(debit, credit))
+    issue = F.when(debit.isNotNull() & credit.isNotNull(), "AMBIGUOUS_AMOUNT").when(value.isNull(), "MISSING_AMOUNT").when(F.col("description") == "", "MISSING_DESCRIPTION")
+    return gathered.select("doc", "row_number", "posted_date", F.col("date_token").alias("date_text"), "description", F.when(issue.isNull(), value).alias("amount"), "source_location", issue.alias("issue"))
+
 
+def detected(page_lines: DataFrame) -> DataFrame:
+    """doc, score, mode (signed-amount or debit-credit), currency (the first one on the first page) and supported, a row for each document.
 
-def layout_scores(page_lines: DataFrame) -> DataFrame:
-    """doc and score: 0.4 and up to 0.3 each for the shares of dated lines and of lines with an amount, over the first 40 lines."""
+    A table's score is 0.4 and up to 0.3 each for the shares of dated lines and of lines
+    with an amount among its first SAMPLE lines with a date or a description; 0 without a table.
+    """
     w = Window.partitionBy("doc").orderBy("page", "line")
-    head = page_lines.withColumn("k", F.row_number().over(w)).filter("k <= 40")
-    share = lambda pattern: F.avg(F.col("text").rlike(pattern).cast("double"))
-    return head.groupBy("doc").agg((0.4 + 0.3 * share(_DATED) + 0.3 * share(_AMOUNT)).alias("score"))
+    body = cut_lines(page_lines).filter("not noise and (date_token <> '' or narrative <> '')").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= SAMPLE)
+    paid = F.coalesce(amount(F.col("amount_token")), amount(F.col("debit_token")), amount(F.col("credit_token"))).isNotNull()
+    share = lambda c: F.avg(c.cast("double"))
+    scores = body.groupBy("doc").agg(F.round(0.4 + 0.3 * share(F.col("posted_date").isNotNull()) + 0.3 * share(paid), 4).alias("score"))
+    named = page_lines.filter(F.regexp_extract("text", CURRENCY, 1) != "").groupBy("doc").agg(F.min(F.struct("page", "line", F.regexp_extract("text", CURRENCY, 1).alias("currency"))).alias("c"))
+    all_docs = page_lines.groupBy("doc").agg(F.min("page").alias("first_page"))
+    mode = F.when(F.col("amount").isNotNull(), "signed-amount").when(F.col("boundary").isNotNull(), "debit-credit")
+    out = all_docs.join(layouts(page_lines), "doc", "left").join(scores, "doc", "left").join(named, "doc", "left")
+    score = F.when(F.col("boundary").isNull(), F.lit(0.0)).otherwise(F.coalesce("score", F.lit(0.4)))
+    return out.select("doc", score.alias("score"), mode.alias("mode"), F.when(F.col("c.page") == F.col("first_page"), F.col("c.currency")).alias("currency"), (score >= LEAST_SCORE).alias("supported"))

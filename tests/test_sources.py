@@ -30,6 +30,8 @@ def test_csv_dialects():
     assert csv.detect_delimiter("Date;Description;Amount\n1;a,b;2\n") == ";" and csv.detect_delimiter("abc") == ","
     assert csv.header_names(["a", "", "a"]) == (["a", "column_2", "a_2"], True)
     assert csv.is_header(["Date", "Amount"]) and not csv.is_header(["1", "2"]) and not csv.is_header(["Date", "Date"])
+    assert csv.is_header(["Merchant", "Value", "X"]) and not csv.is_header(["Ideal shop", "5.00", "x"])
+    assert csv.parse(b"a,b", csv.Options(encoding="no-such"))[0][3][0] == "INVALID_ENCODING"
     assert csv.decode("é".encode("utf-16")) == "é" and csv.decode(b"\xe9", "cp1252") == "é"
     assert csv.parse(b"\xff\xff\xff")[0][3][0] == "INVALID_ENCODING" and csv.parse(b"")[0][3][0] == "EMPTY_FILE"
     rows = csv.parse(b"Date,Amount\n1,2\n3,4\nfoot,x\n", csv.Options(footer_rows=1))
@@ -68,12 +70,63 @@ def test_ofx(spark, tmp_path):
     assert [ofx_statement.sniff(x, n) for x, n in ((SGML.encode(), ""), (b"%PDF-1", ""), (b"a,b", "x.qfx"), (b"a,b", "x"))] == ["ofx", "pdf", "ofx", "csv"]
 
 
-def test_pdf_items(spark):
-    items = [("d", 1, 10.0, 700.0, 30.0, "Opening balance"), ("d", 1, 10.0, 680.0, 50.0, "2026-07-01"), ("d", 1, 80.0, 681.0, 40.0, "Coffee"), ("d", 1, 300.0, 679.0, 30.0, "-$4.50"), ("d", 1, 80.0, 660.0, 40.0, "downtown"), ("d", 2, 10.0, 700.0, 50.0, "2026-07-02"), ("d", 2, 80.0, 700.0, 40.0, "Pay 100.00")]
-    lines = pdf_items.lines(spark.createDataFrame(items, "doc string, page int, x double, y double, width double, text string"))
-    got = pdf_items.rows(lines).orderBy("row_number").select("date_text", "description", pdf_items.amount(F.col("amount_text")).alias("a")).collect()
-    assert [tuple(r) for r in got] == [("2026-07-01", "Coffee downtown", D("-4.50")), ("2026-07-02", "Pay", D("100.00"))]
-    assert 0.4 < pdf_items.layout_scores(lines).first().score <= 1
+ITEM = "doc string, page int, x double, y double, width double, text string"
+
+
+def pdf_lines(spark, table):
+    """Lines of (doc, page, [(x, text), ...]), top down."""
+    return pdf_items.lines(spark.createDataFrame([(d, p, float(x), 800.0 - 20 * k, 5.0 * len(t), t) for k, (d, p, cells) in enumerate(table) for x, t in cells], ITEM))
+
+
+def test_pdf_signed_amounts(spark):
+    page = [
+        ("d", 1, [(10, "My Bank"), (200, "CAD account")]),
+        ("d", 1, [(10, "Date"), (80, "Description"), (300, "Amount")]),
+        ("d", 1, [(10, "Opening balance"), (300, "10.00")]),
+        ("d", 1, [(10, "2026-07-01"), (80, "TOTAL WINE & MORE"), (300, "-$1,004.50")]),
+        ("d", 1, [(80, "downtown")]),
+        ("d", 1, [(10, "7/2/26"), (80, "NEW BALANCE SHOES"), (300, "(99.00)")]),
+        ("d", 2, [(80, "running")]),
+        ("d", 2, [(10, "Date"), (80, "Description"), (300, "Amount")]),
+        ("d", 2, [(80, "not a continuation")]),
+        ("d", 2, [(10, "3 Jul 2026"), (80, "Pay"), (300, "100.00")]),
+        ("d", 2, [(10, "Jul 4, 2026"), (80, "No amount"), (300, "soon")]),
+        ("d", 2, [(10, "2026-02-30"), (80, "No such day"), (300, "1.00")]),
+        ("other", 1, [(10, "no table here")]),
+    ]
+    lines = pdf_lines(spark, page)
+    got = pdf_items.rows(lines).orderBy("row_number").collect()
+    assert [(r.posted_date, r.description, r.amount, r.issue) for r in got] == [
+        (date(2026, 7, 1), "TOTAL WINE & MORE downtown", D("-1004.50"), None),
+        (date(2026, 7, 2), "NEW BALANCE SHOES running", D("-99.00"), None),
+        (date(2026, 7, 3), "Pay", D("100.00"), None),
+        (date(2026, 7, 4), "No amount", None, "MISSING_AMOUNT"),
+    ]
+    assert got[1].source_location == "page:1/line:6;page:2/line:1"
+    found = {r.doc: r for r in pdf_items.detected(lines).collect()}
+    assert (found["d"].mode, found["d"].currency, found["d"].supported) == ("signed-amount", "CAD", True) and 0.5 < found["d"].score <= 1
+    assert found["other"].score == 0 and not found["other"].supported
+
+
+def test_pdf_debit_and_credit(spark):
+    page = [
+        ("d", 1, [(10, "Date"), (80, "Details"), (300, "Paid out"), (400, "Paid in")]),
+        ("d", 1, [(10, "2026-07-01"), (80, "Coffee"), (300, "4.50")]),
+        ("d", 1, [(10, "2026-07-02"), (80, "Pay"), (400, "100.00")]),
+        ("d", 1, [(10, "2026-07-03"), (80, "Both"), (300, "1.00"), (400, "2.00")]),
+        ("d", 1, [(10, "2026-07-04"), (400, "2.00")]),
+    ]
+    got = pdf_items.rows(pdf_lines(spark, page)).orderBy("row_number").collect()
+    assert [(r.amount, r.issue) for r in got] == [(D("-4.50"), None), (D("100.00"), None), (None, "AMBIGUOUS_AMOUNT"), (None, "MISSING_DESCRIPTION")]
+
+
+def test_large_files_are_not_loaded(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("Date,Amount\n1,2\n")
+    (tmp_path / "b.csv").write_text("Date,Amount\n" + "1,2\n" * 50)
+    monkeypatch.setattr(csv, "MAX_BYTES", 30)
+    monkeypatch.setattr(ofx_statement, "MAX_BYTES", 30)
+    assert [(r.code, r.path[-5:]) for r in csv.issues(csv.read(spark, str(tmp_path))).collect()] == [("FILE_TOO_LARGE", "b.csv")]
+    assert [r.path[-5:] for r in ofx_statement.read(spark, str(tmp_path)).collect() if r.problem and "more than" in r.problem] == ["b.csv"]
 
 
 def test_stream_takes_files_once(spark, tmp_path):
