@@ -65,12 +65,12 @@ def csv_cell(cell: Column) -> Column:
     return F.when(safe.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
 
 
-#: Fixed pattern: what a description may start with and be run by a spreadsheet.
-FORMULA = r"^\s*[=+@-]"
+#: Fixed pattern: what a statement's cell may start with and be run by a spreadsheet.
+FORMULA = r"^(?:[\t\r]|[\t\r\n ]*[=+\-@])"
 
 
 def sanitized_cell(cell: Column) -> Column:
-    """A statement's cell for display: no U+0000, 1,024 characters, a leading quote before a formula's first sign."""
+    """A statement's cell for display: no U+0000, 1,024 characters, a leading quote before what a spreadsheet would run."""
     cut = F.substring(F.replace(cell, F.lit("\x00"), F.lit("")), 1, 1024)
     return F.when(cut.rlike(FORMULA), F.concat(F.lit("'"), cut)).otherwise(cut)
 

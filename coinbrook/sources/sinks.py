@@ -11,11 +11,16 @@ from coinbrook.operators import duplicates, knowledge
 REPORT_COLUMNS = ("source_location", "code", "severity", "field", "message", "rejected", "correction")
 
 
-def write_error_report(issues: DataFrame, path: str) -> None:
-    """Issues as CSV lines with every cell quoted and safe, CRLF between them."""
+def error_report(issues: DataFrame) -> DataFrame:
+    """value: a CSV line for each issue, every cell quoted and safe; columns that ``issues`` lacks are empty."""
     have = set(issues.columns)
     cells = [text.report_cell(F.col(c) if c in have else F.lit("")) for c in REPORT_COLUMNS]
-    issues.select(F.concat_ws(",", *cells).alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    return issues.select(F.concat_ws(",", *cells).alias("value"))
+
+
+def write_error_report(issues: DataFrame, path: str) -> None:
+    """``error_report`` as files, CRLF between the lines."""
+    error_report(issues).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def fingerprints(ledger: DataFrame) -> DataFrame:
