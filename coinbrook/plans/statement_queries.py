@@ -129,15 +129,17 @@ def sanitized_cells(spark, sf_dir):
 
 # Duplicates and transfers
 
-_WHOLE = f"""WITH {L.LEDGER}, e AS (SELECT txn_id, account_id, currency, amount, posted_date, {fingerprint_sql(PLAIN)} AS fp, {tokens_sql('description')} AS words FROM ledger),
-b AS (SELECT e.txn_id AS existing_id, i.txn_id AS incoming_id, e.fp = i.fp AS exact, abs(e.posted_date - i.posted_date) AS days, {dice_sql('e.words', 'i.words')} AS similarity
-  FROM e JOIN e AS i ON e.account_id = i.account_id AND (e.fp = i.fp OR e.currency = i.currency AND e.amount = i.amount) WHERE e.txn_id < i.txn_id)"""
+_WHOLE = match_queries._BATCHES.replace(" FROM ledger WHERE txn_id % 20 = 0)", " FROM ledger)").split("e AS (SELECT *")[0]
+_INSIDE = f"""{_WHOLE} e AS (SELECT *, {fingerprint_sql(PLAIN)} AS fp, {tokens_sql('description')} AS words FROM (SELECT * FROM existing UNION ALL SELECT * FROM incoming)),
+b AS (SELECT e.txn_id AS existing_id, i.txn_id AS incoming_id, coalesce(e.source_id = i.source_id, FALSE) OR e.fp = i.fp AS exact, e.currency = i.currency AND e.amount = i.amount AS same, abs(e.posted_date - i.posted_date) AS days, {dice_sql('e.words', 'i.words')} AS similarity
+  FROM e JOIN e AS i ON e.account_id = i.account_id AND (e.source_id = i.source_id OR e.fp = i.fp OR e.currency = i.currency AND e.amount = i.amount) WHERE e.txn_id < i.txn_id)"""
 
 
-@register(f"{_WHOLE} SELECT existing_id, incoming_id, CASE WHEN exact THEN 'exact' ELSE 'likely' END AS kind FROM b WHERE exact OR days <= 3 AND similarity >= 0.5")
+@register(f"{_INSIDE} SELECT existing_id, incoming_id, CASE WHEN exact THEN 'exact' ELSE 'likely' END AS kind FROM b WHERE exact OR same AND days <= 3 AND similarity >= 0.5")
 def duplicates_within_batch(spark, sf_dir):
-    rows = L.ledger(spark, sf_dir).withColumn("source_id", F.lit(None).cast("string"))
-    return duplicates.within_batch(rows).select("existing_id", "incoming_id", "kind")
+    """The ledger and a changed copy of each of its rows as one batch."""
+    old, new = match_queries._batches(spark, sf_dir, "true")
+    return duplicates.within_batch(old.unionByName(new)).select("existing_id", "incoming_id", "kind")
 
 
 @register(f"{match_queries._BATCHES}, k AS (SELECT incoming_id, kind FROM candidates) SELECT 'import ' || i.txn_id % 7 AS import_id, CAST(count(k.kind) FILTER (k.kind = 'exact') AS BIGINT) AS exact_duplicates, CAST(count(k.kind) FILTER (k.kind = 'likely') AS BIGINT) AS likely_duplicates FROM incoming i LEFT JOIN k ON k.incoming_id = i.txn_id GROUP BY 1")
@@ -218,10 +220,11 @@ def account_limits(spark, sf_dir):
     return entities.account_problems(accounts)
 
 
-@register("SELECT c_custkey AS account_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register(f"WITH {L.LEDGER} SELECT c_custkey AS account_id FROM customer WHERE c_custkey NOT IN (SELECT account_id FROM ledger WHERE status = 'void')")
 def deletable_accounts(spark, sf_dir):
+    """Accounts that no void row refers to."""
     accounts = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
-    return knowledge.deletable_accounts(accounts, L.ledger(spark, sf_dir)).select("account_id")
+    return knowledge.deletable_accounts(accounts, L.ledger(spark, sf_dir).filter("status = 'void'")).select("account_id")
 
 
 @register(f"WITH {L.LEDGER} SELECT txn_id, CASE WHEN txn_id % 4 = 1 AND txn_id % 8 <> 5 THEN 'proposed' ELSE category_id END AS category_id FROM ledger")

@@ -9,11 +9,12 @@ import html
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coinbrook.functions import dates, text
+from coinbrook.sources.csv_statement import batched
 
 MAX_DEPTH, MAX_ELEMENTS = 64, 2_000_000
 #: Encodings by the header's CHARSET.
@@ -113,19 +114,19 @@ MAX_BYTES = 16 << 20
 
 def parsed(files: DataFrame) -> DataFrame:
     """Raw statement rows of files (path, content); a file that can't be read is one row with its problem."""
+    schema = pa.schema([(c, pa.int64() if c == "row_number" else pa.string()) for c in ("path", *_COLUMNS, "problem")])
 
-    def run(frames):
-        for frame in frames:
-            for p, data in zip(frame["path"], frame["content"], strict=True):
+    def found(batches):
+        for batch in batches:
+            for p, data in zip(batch.column("path"), batch.column("content"), strict=True):
                 try:
-                    rows = [r | {"problem": None} for r in statements(bytes(data))]
+                    rows = [(*(r[c] for c in _COLUMNS), None) for r in statements(data.as_py() or b"")]
                 except (ValueError, LookupError) as e:
-                    rows = [dict.fromkeys(_COLUMNS) | {"problem": str(e)}]
-                df = pd.DataFrame(rows, columns=[*_COLUMNS, "problem"], dtype=object)
-                df.insert(0, "path", p)
-                yield df.astype({"row_number": "Int64"})
+                    rows = [(*[None] * len(_COLUMNS), str(e))]
+                for row in rows:
+                    yield p.as_py(), *row
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(lambda batches: batched(found(batches), schema), SCHEMA)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -11,11 +11,14 @@ lines (a statement, so bounded too).
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coinbrook.functions import dates
+from coinbrook.sources.csv_statement import batched
 
 BASELINE = 3.0
 #: Least score of a document that is read as a table, and lines that the score looks at.
@@ -36,27 +39,37 @@ AMOUNT = r"^\(?\s*-?\$?\s*(\d{1,3}(,\d{3})*|\d+)\.\d{2}\s*\)?-?$"
 _CELL = "struct<x:double,text:string>"
 
 
+def _grouped(items: list[dict]) -> list[tuple[str, list[dict]]]:
+    """Text and cells of a page's lines; items come down the page and from left to right."""
+    found: list[tuple[float, list]] = []
+    for item in items:
+        line = next((ln for ln in found if abs(ln[0] - item["y"]) <= BASELINE), None)
+        if line is None:
+            found.append(line := (item["y"], []))
+        line[1].append(item)
+    out = []
+    for _, members in sorted(found, key=lambda ln: -ln[0]):
+        text, right, members = "", None, sorted(members, key=lambda m: m["x"])
+        for m in members:
+            text += (" " if right is not None and m["x"] - right > 1 and not text.endswith(" ") else "") + m["text"]
+            right = m["x"] + m["width"]
+        out.append((text.strip(), [{"x": m["x"], "text": m["text"]} for m in members]))
+    return out
+
+
 def lines(items: DataFrame) -> DataFrame:
-    """doc, page, line, text and cells (x, text): items within BASELINE of a line's first item are one line, left to right; lines run down the page (y grows upwards)."""
-
-    def group(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x"], ascending=[False, True], kind="stable")
-        found: list[tuple[float, list]] = []
-        for item in page.itertuples():
-            line = next((ln for ln in found if abs(ln[0] - item.y) <= BASELINE), None)
-            if line is None:
-                found.append(line := (item.y, []))
-            line[1].append(item)
-        rows = []
-        for k, (_, members) in enumerate(sorted(found, key=lambda ln: -ln[0]), 1):
-            out, right, members = "", None, sorted(members, key=lambda m: m.x)
-            for m in members:
-                out += (" " if right is not None and m.x - right > 1 and not out.endswith(" ") else "") + m.text
-                right = m.x + m.width
-            rows.append((k, out.strip(), [{"x": m.x, "text": m.text} for m in members]))
-        return pd.DataFrame({"doc": page["doc"].iloc[0], "page": page["page"].iloc[0], "line": [r[0] for r in rows], "text": [r[1] for r in rows], "cells": [r[2] for r in rows]})
-
-    return items.groupBy("doc", "page").applyInPandas(group, f"doc string, page int, line int, text string, cells array<{_CELL}>")
+    """doc, page, line, text and cells (x, text): items within BASELINE of a line's first item are one line, left to right; lines run down the page (y grows upwards). Pages stream through a task one after the other."""
+    schema = pa.schema([("doc", pa.string()), ("page", pa.int32()), ("line", pa.int32()), ("text", pa.string()), ("cells", pa.list_(pa.struct([("x", pa.float64()), ("text", pa.string())])))])
+
+    def found(batches):
+        every = (row for batch in batches for row in batch.to_pylist())
+        for (doc, page), own in groupby(every, key=lambda r: (r["doc"], r["page"])):
+            for k, (text, cells) in enumerate(_grouped(list(own)), 1):
+                yield doc, page, k, text, cells
+
+    kept = items.select("doc", F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width")], F.coalesce("text", F.lit("")).alias("text"))
+    dealt = kept.repartition("doc", "page").sortWithinPartitions("doc", "page", F.desc("y"), "x", "text")
+    return dealt.mapInArrow(lambda batches: batched(found(batches), schema), f"doc string, page int, line int, text string, cells array<{_CELL}>")
 
 
 def _headings() -> list[Column]:
