@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coinbrook.functions import money
+from coinbrook.operators import ranks
 
 
 def canonical_json(*columns: str) -> Column:
@@ -143,12 +144,8 @@ def bad_transactions(ledger: DataFrame) -> DataFrame:
 
 
 def percentile_index(values: DataFrame, key: list[str], value: str, p: float) -> DataFrame:
-    """sorted[min(n - 1, floor(p n))] of each group, from counts by value."""
-    counts = values.groupBy(*key, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*key)
-    running = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * p))
-    return running.filter((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(*key, F.col(value).alias("value"))
+    """sorted[min(n - 1, floor(p n))] of each group."""
+    return ranks.value_at(values, key, value, lambda n: F.least(n - 1, F.floor(n * p)), "value")
 
 
 def evaluation_metrics(outcomes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ description, status, review_state, merchant_id, category_id, tags and notes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from datetime import date
 from decimal import Decimal
 
@@ -58,12 +58,24 @@ class CashFlowFilter:
             out &= F.col("posted_date") <= F.lit(self.until)
         return out
 
-    def described(self) -> str:
-        """The filter in one line."""
-        part = lambda name, v: f"{name}: {', '.join(map(str, v))}" if v is not None else f"{name}: all"
-        names = {"account_ids": "Accounts", "category_ids": "Categories", "currencies": "Currencies", "merchant_ids": "Merchants", "tags": "Tags", "review_states": "Review states"}
-        listed = [part(label, getattr(self, f.name)) for f in fields(self) if (label := names.get(f.name))]
-        return " · ".join([*listed, f"From: {self.since or 'any'}", f"To: {self.until or 'any'}"])
+    def described(self, n_transactions: int | None = None, recurring_statuses: tuple | None = None) -> str:
+        """The filter in one line; chosen transactions and recurring states are no part of it and come as arguments."""
+        # The wording of each part.
+        counted = lambda values, noun, every: every if values is None else f"{len(values)} {noun}(s)"
+        listed = lambda values, every: every if values is None else ", ".join(values)
+        dates = "All dates" if self.since is None and self.until is None else f"{self.since or 'Beginning'} to {self.until or 'Today'}"
+        parts = [
+            "all transactions" if n_transactions is None else f"{n_transactions} selected transaction(s)",
+            dates,
+            counted(self.account_ids, "account", "all accounts"),
+            listed(self.currencies, "all currencies"),
+            counted(self.category_ids, "category", "all categories"),
+            counted(self.merchant_ids, "merchant", "all merchants"),
+            counted(self.tags, "tag", "all tags"),
+            listed(self.review_states, "all review states"),
+            listed(recurring_statuses, "all recurring states"),
+        ]
+        return " · ".join(parts)
 
 
 def apply_filter(ledger: DataFrame, flt: CashFlowFilter | None = None, transaction_ids: DataFrame | None = None) -> DataFrame:

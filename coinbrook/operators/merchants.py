@@ -82,15 +82,17 @@ def ranked(report: DataFrame) -> DataFrame:
     return report.orderBy("currency", F.desc("spending"), F.collate("matched_name", "UNICODE"))
 
 
-def follow_redirects(merchants: DataFrame, limit: int = 64) -> DataFrame:
-    """merchant_id and final_id behind all redirects; a merchant in or behind a cycle stays itself. Pointers double each round, so ``limit`` rounds are never reached."""
-    at = merchants.select("merchant_id", F.coalesce("redirect_to", "merchant_id").alias("final_id"))
+def follow_redirects(merchants: DataFrame, limit: int = 40) -> DataFrame:
+    """merchant_id and final_id behind all redirects; a merchant in or behind a cycle stays itself. Pointers double each round, so ``limit`` rounds end every chain; only the last round stays cached."""
+    at, held = merchants.select("merchant_id", F.coalesce("redirect_to", "merchant_id").alias("final_id")), None
     for _ in range(limit):
         step = at.select(F.col("merchant_id").alias("final_id"), F.col("final_id").alias("next_id"))
         new = at.join(step, "final_id", "left").select("merchant_id", F.coalesce("next_id", "final_id").alias("new_id"), "final_id").persist()
-        moved = new.filter("new_id <> final_id").limit(1).count()
-        at = new.select("merchant_id", F.col("new_id").alias("final_id"))
-        if not moved or _ >= 40:
+        moved = new.filter("new_id <> final_id").count()
+        if held is not None:
+            held.unpersist()
+        at, held = new.select("merchant_id", F.col("new_id").alias("final_id")), new
+        if not moved:
             break
     ends = merchants.filter("redirect_to is null").select(F.col("merchant_id").alias("final_id"), F.lit(True).alias("is_end"))
     return at.join(ends, "final_id", "left").select("merchant_id", F.when(F.col("is_end"), F.col("final_id")).otherwise(F.col("merchant_id")).alias("final_id"))

@@ -119,18 +119,13 @@ def _plans(rows: DataFrame) -> DataFrame:
     return rows.withColumn("description", F.concat(F.lit("plan "), F.translate(F.col("account_id").cast("string"), "0123456789", "ABCDEFGHIJ")))
 
 
-def _monthly(rows: DataFrame) -> DataFrame:
-    """Of ``_plans``, every tenth account: what _PLAN and _MEMBERS describe."""
-    return _plans(rows).filter("account_id % 10 = 3")
-
-
-_PLAN = f"""{_SERIES.replace(L.ITEMS, L.LEDGER + ", items AS (SELECT posted_date, amount, currency, status, 'plan ' || translate(CAST(account_id AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS description FROM ledger WHERE account_id % 10 = 3)")}"""
+_PLAN = f"""{_SERIES.replace(L.ITEMS, L.LEDGER + ", items AS (SELECT posted_date, amount, currency, status, 'plan ' || translate(CAST(account_id AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS description FROM ledger)")}"""
 
 
 @register(f"{_PLAN} SELECT signature, members, last_seen, median FROM series")
 def recurring_incremental_equals_full(spark, sf_dir):
-    """Series of every tenth account, from those without the rows since 2000 and the groups that these touch."""
-    return _incremental(_monthly(L.ledger(spark, sf_dir)))
+    """Series of every account, from those without the rows since 2000 and the groups that these touch."""
+    return _incremental(_plans(L.ledger(spark, sf_dir)))
 
 
 def _incremental(rows: DataFrame) -> DataFrame:
@@ -138,14 +133,8 @@ def _incremental(rows: DataFrame) -> DataFrame:
     return recurring.recompute(rows, old, rows.filter("posted_date >= '2000-01-01'")).select("signature", "members", "last_seen", "median")
 
 
-_TENTH = " WHERE account_id % 10 = 3"
-_WHOLE_PLAN = _PLAN.replace(_TENTH, "")
-
-
-@register(f"{_WHOLE_PLAN} SELECT signature, members, last_seen, median FROM series")
-def recurring_incremental_whole_ledger(spark, sf_dir):
-    """Series of the whole ledger, every account, by the same recompute."""
-    return _incremental(_plans(L.ledger(spark, sf_dir)))
+#: The same under the name by which its rows over every account were first listed.
+QUERIES["recurring_incremental_whole_ledger"] = QUERIES["recurring_incremental_equals_full"]
 
 
 @register(f"WITH {L.LEDGER}, d AS (SELECT txn_id AS decision_id, CASE WHEN txn_id % 12 = 0 THEN 'recurring-v0' ELSE 'recurring-v1' END AS version FROM ledger WHERE txn_id % 4 = 0) SELECT d.decision_id FROM d WHERE version <> 'recurring-v1' OR decision_id IN (SELECT txn_id FROM ledger WHERE status <> 'posted')")
@@ -182,18 +171,18 @@ def transfer_unresolved(spark, sf_dir):
 # Duplicates
 
 _BATCHES = f"""WITH {L.LEDGER}, existing AS (SELECT txn_id, account_id, currency, amount, posted_date, description, CASE WHEN txn_id % 40 = 0 THEN 'S' || txn_id END AS source_id FROM ledger),
-incoming AS (SELECT txn_id + 100000000 AS txn_id, account_id, currency, amount, posted_date + CAST(txn_id % 5 AS INTEGER) AS posted_date, CASE WHEN txn_id % 60 = 0 THEN 'something else' ELSE description || ' copy' END AS description, CASE WHEN txn_id % 40 = 0 THEN 'S' || txn_id END AS source_id FROM ledger WHERE txn_id % 20 = 0),
+incoming AS (SELECT txn_id + 100000000 AS txn_id, account_id, currency, amount, posted_date + CAST(txn_id % 5 AS INTEGER) AS posted_date, CASE WHEN txn_id % 60 = 0 THEN 'something else' ELSE description || ' copy' END AS description, CASE WHEN txn_id % 40 = 0 THEN 'S' || txn_id END AS source_id FROM ledger),
 e AS (SELECT *, {fingerprint_sql(PLAIN)} AS fp, {tokens_sql('description')} AS words FROM existing), i AS (SELECT *, {fingerprint_sql(PLAIN)} AS fp, {tokens_sql('description')} AS words FROM incoming),
 b AS (SELECT e.txn_id AS existing_id, i.txn_id AS incoming_id, coalesce(e.source_id = i.source_id, FALSE) OR e.fp = i.fp AS exact, e.currency = i.currency AND e.amount = i.amount AS same, abs(e.posted_date - i.posted_date) AS days, {dice_sql('e.words', 'i.words')} AS similarity
   FROM e JOIN i ON e.account_id = i.account_id AND (e.source_id = i.source_id OR e.fp = i.fp OR e.currency = i.currency AND e.amount = i.amount) WHERE e.txn_id <> i.txn_id),
 candidates AS (SELECT existing_id, incoming_id, CASE WHEN exact THEN 'exact' ELSE 'likely' END AS kind, CAST(CASE WHEN exact THEN 10000 ELSE 4000 + greatest(0, 2500 - 500 * days) + floor(3500 * CAST(similarity AS DOUBLE) + 0.5) END AS INTEGER) AS score, CAST(days AS INTEGER) AS days, round(CAST(similarity AS DOUBLE), 6) AS similarity FROM b WHERE exact OR same AND days <= 3 AND similarity >= 0.5)"""
 
 
-def _batches(spark, sf_dir, chosen: str = "txn_id % 20 = 0") -> tuple[DataFrame, DataFrame]:
-    """The ledger and a changed copy of its ``chosen`` rows as the incoming batch."""
+def _batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The ledger and a changed copy of each of its rows as the incoming batch."""
     rows = L.ledger(spark, sf_dir).withColumn("source_id", F.when(F.col("txn_id") % 40 == 0, F.concat(F.lit("S"), F.col("txn_id").cast("string"))))
     changed = F.when(F.col("txn_id") % 60 == 0, "something else").otherwise(F.concat("description", F.lit(" copy")))
-    new = rows.filter(chosen).withColumns({"posted_date": F.date_add("posted_date", (F.col("txn_id") % 5).cast("int")), "description": changed, "txn_id": F.col("txn_id") + 100_000_000})
+    new = rows.withColumns({"posted_date": F.date_add("posted_date", (F.col("txn_id") % 5).cast("int")), "description": changed, "txn_id": F.col("txn_id") + 100_000_000})
     return rows, new
 
 
@@ -208,10 +197,7 @@ def duplicate_candidates(spark, sf_dir):
     return duplicates.candidates(*_batches(spark, sf_dir))
 
 
-@register(f"{_BATCHES.replace(' FROM ledger WHERE txn_id % 20 = 0)', ' FROM ledger)')} SELECT * FROM candidates")
-def duplicate_candidates_whole_ledger(spark, sf_dir):
-    """Every row of the ledger as incoming."""
-    return duplicates.candidates(*_batches(spark, sf_dir, "true"))
+QUERIES["duplicate_candidates_whole_ledger"] = QUERIES["duplicate_candidates"]
 
 
 def _events(found: DataFrame) -> DataFrame:
@@ -392,14 +378,14 @@ def suggestion_batches(spark, sf_dir):
 
 # Dashboard
 
-_MEMBERS = f"""{_PLAN}, wanted AS (SELECT s.name, s.currency FROM series s WHERE members % 2 = 0), rows_ AS (SELECT l.* FROM ledger l JOIN wanted w ON upper('plan ' || translate(CAST(account_id AS VARCHAR), '0123456789', 'ABCDEFGHIJ')) = w.name AND l.currency = w.currency WHERE account_id % 10 = 3 AND l.status = 'posted' AND amount < 0),
+_MEMBERS = f"""{_PLAN}, wanted AS (SELECT s.name, s.currency FROM series s WHERE members % 2 = 0), rows_ AS (SELECT l.* FROM ledger l JOIN wanted w ON upper('plan ' || translate(CAST(account_id AS VARCHAR), '0123456789', 'ABCDEFGHIJ')) = w.name AND l.currency = w.currency WHERE l.status = 'posted' AND amount < 0),
 tagged AS (SELECT *, FALSE AS is_transfer, amount >= 0 AS is_inflow FROM rows_)"""
 
 
 @register(f"{_MEMBERS} SELECT currency, {SUMS} FROM tagged GROUP BY currency")
 def dashboard_recurring_status_filter(spark, sf_dir):
-    """Cash flow of the members of confirmed series only, of every tenth account."""
-    return _confirmed_report(spark, _monthly(L.ledger(spark, sf_dir)))
+    """Cash flow of the members of confirmed series only, of every account."""
+    return _confirmed_report(spark, _plans(L.ledger(spark, sf_dir)))
 
 
 def _confirmed_report(spark, rows: DataFrame) -> DataFrame:
@@ -411,10 +397,7 @@ def _confirmed_report(spark, rows: DataFrame) -> DataFrame:
     return report.select("currency", "income", "spending", "transfers", "net_cash_flow")
 
 
-@register(f"{_MEMBERS.replace(_TENTH + ' AND', ' WHERE').replace(_TENTH, '')} SELECT currency, {SUMS} FROM tagged GROUP BY currency")
-def dashboard_recurring_whole_ledger(spark, sf_dir):
-    """Cash flow of the members of confirmed series of every account."""
-    return _confirmed_report(spark, _plans(L.ledger(spark, sf_dir)))
+QUERIES["dashboard_recurring_whole_ledger"] = QUERIES["dashboard_recurring_status_filter"]
 
 
 @register(f"{WITH} SELECT 'currencies' AS part, CAST(count(DISTINCT currency) AS BIGINT) AS n FROM tagged UNION ALL SELECT 'months', count(DISTINCT (currency, strftime(posted_date, '%Y-%m'))) FROM tagged WHERE status <> 'void' UNION ALL SELECT 'accounts', count(DISTINCT (currency, account_id)) FROM tagged WHERE status <> 'void' UNION ALL SELECT 'categories', count(DISTINCT (currency, coalesce(category_id, 'uncategorized'))) FROM tagged WHERE status <> 'void' AND NOT is_transfer AND NOT is_inflow")

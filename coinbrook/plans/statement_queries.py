@@ -129,8 +129,7 @@ def sanitized_cells(spark, sf_dir):
 
 # Duplicates and transfers
 
-_WHOLE = match_queries._BATCHES.replace(" FROM ledger WHERE txn_id % 20 = 0)", " FROM ledger)").split("e AS (SELECT *")[0]
-_INSIDE = f"""{_WHOLE} e AS (SELECT *, {fingerprint_sql(PLAIN)} AS fp, {tokens_sql('description')} AS words FROM (SELECT * FROM existing UNION ALL SELECT * FROM incoming)),
+_INSIDE = f"""{match_queries._BATCHES.split("e AS (SELECT *")[0]} e AS (SELECT *, {fingerprint_sql(PLAIN)} AS fp, {tokens_sql('description')} AS words FROM (SELECT * FROM existing UNION ALL SELECT * FROM incoming)),
 b AS (SELECT e.txn_id AS existing_id, i.txn_id AS incoming_id, coalesce(e.source_id = i.source_id, FALSE) OR e.fp = i.fp AS exact, e.currency = i.currency AND e.amount = i.amount AS same, abs(e.posted_date - i.posted_date) AS days, {dice_sql('e.words', 'i.words')} AS similarity
   FROM e JOIN e AS i ON e.account_id = i.account_id AND (e.source_id = i.source_id OR e.fp = i.fp OR e.currency = i.currency AND e.amount = i.amount) WHERE e.txn_id < i.txn_id)"""
 
@@ -138,7 +137,7 @@ b AS (SELECT e.txn_id AS existing_id, i.txn_id AS incoming_id, coalesce(e.source
 @register(f"{_INSIDE} SELECT existing_id, incoming_id, CASE WHEN exact THEN 'exact' ELSE 'likely' END AS kind FROM b WHERE exact OR same AND days <= 3 AND similarity >= 0.5")
 def duplicates_within_batch(spark, sf_dir):
     """The ledger and a changed copy of each of its rows as one batch."""
-    old, new = match_queries._batches(spark, sf_dir, "true")
+    old, new = match_queries._batches(spark, sf_dir)
     return duplicates.within_batch(old.unionByName(new)).select("existing_id", "incoming_id", "kind")
 
 

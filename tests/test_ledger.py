@@ -49,7 +49,9 @@ def test_incomplete_months_and_filters(spark, categories):
     with pytest.raises(ValueError, match="start date"):
         ledger.CashFlowFilter(since=date(2026, 7, 2), until=date(2026, 7, 1))
     assert ledger.apply_filter(rows, ledger.CashFlowFilter(account_ids=())).count() == 0
-    assert "Accounts: all" in flt.described() and flt.described().count(" · ") == 7
+    assert flt.described() == "all transactions · 2026-06-15 to 2026-07-19 · all accounts · all currencies · all categories · all merchants · all tags · all review states · all recurring states"
+    some = ledger.CashFlowFilter(account_ids=("a", "b"), currencies=("CAD", "USD"), tags=(), since=date(2026, 6, 15), review_states=("reviewed",))
+    assert some.described(2, ("confirmed",)) == "2 selected transaction(s) · 2026-06-15 to Today · 2 account(s) · CAD, USD · all categories · all merchants · 0 tag(s) · reviewed · confirmed"
 
 
 def test_savings_rate(spark):
