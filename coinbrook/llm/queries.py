@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from coinbrook.llm import bpe, decontam, jaccard, langid, licenses, pii, quality, repeats, toolcalls, warc
+from coinbrook.llm import bpe, decontam, jaccard, langid, licenses, pii, quality, ranked, repeats, toolcalls, warc
 from coinbrook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_byte_bpe,
@@ -66,9 +70,10 @@ def queries() -> dict[str, Query]:
         op8_language_mixture,
         op9_warc_revisits,
         op10_quality_ledger,
+        op13_ranked_search,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_tool_calls": toolcalls.PLAIN_TURNS_SQL, "op9_warc_revisits": warc.PAGES_SQL, "op10_quality_ledger": quality.LEDGER_SQL}
+    return {"op7_tool_calls": toolcalls.PLAIN_TURNS_SQL, "op9_warc_revisits": warc.PAGES_SQL, "op10_quality_ledger": quality.LEDGER_SQL, "op13_ranked_search": ranked.SEARCH_SQL}
