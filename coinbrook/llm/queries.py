@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from coinbrook.llm import bpe, decontam, jaccard, langid, licenses, pii, quality, ranked, repeats, toolcalls, warc
+from coinbrook.llm import bpe, compression, convrepair, decontam, jaccard, langid, licenses, pii, quality, ranked, repeats, toolcalls, warc
 from coinbrook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,14 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +78,8 @@ def queries() -> dict[str, Query]:
         op8_language_mixture,
         op9_warc_revisits,
         op10_quality_ledger,
+        op11_conversation_repair,
+        op12_compression_quality,
         op13_ranked_search,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
