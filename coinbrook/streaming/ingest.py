@@ -1,121 +1,57 @@
 """Incremental ingest: files that arrive are taken once, and each batch adds only its own rows.
 
-The ledger is a folder of Parquet folders and of revision files. A revision lists the folders
-that make up the ledger and, for each stream, the last batch taken. Rows are written to a fresh
-folder first; the revision file is then published under its number by a rename that fails if
-that number exists. So a write that breaks off leaves a folder that no revision names, of two
-writers one wins and the other gets RevisionConflict, and a batch that is run again finds
-itself among those taken, whatever other streams have written in between.
+A batch becomes one commit of three tables of a workspace (snapshots.py): its fresh
+transactions, their fingerprints, and a line about the batch. A batch that is run again
+finds itself among those taken, whatever other streams have written in between; one whose
+revision is overtaken by another writer is held against the newer ledger and tried again.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from dataclasses import dataclass, field
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coinbrook.operators import duplicates
+from coinbrook.streaming import snapshots
 
-
-class RevisionConflict(RuntimeError):
-    """Someone else has written the revision that this write was based on."""
-
-
-@dataclass(frozen=True)
-class Revision:
-    """What the ledger consists of: number, data folders, and the last batch taken by stream."""
-
-    number: int = 0
-    folders: tuple[str, ...] = ()
-    taken: dict[str, int] = field(default_factory=dict)
-
-
-def _files(spark: SparkSession, path: str):
-    """Hadoop's Path class, and the file context of ``path``."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path
-    return at, jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), spark._jsc.hadoopConfiguration())
-
-
-def newest(spark: SparkSession, path: str) -> Revision:
-    """The ledger's newest revision; number 0 without any folder if there is none."""
-    at, files = _files(spark, path)
-    folder = at(f"{path}/revisions")
-    if not files.util().exists(folder):
-        return Revision()
-    names = [s.getPath().getName() for s in files.util().listStatus(folder)]
-    numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
-    if not numbers:
-        return Revision()
-    stream = files.open(at(f"{path}/revisions/{max(numbers):010d}.json"))
-    try:
-        known = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-    return Revision(max(numbers), tuple(known["folders"]), known["taken"])
+LEDGER, PRINTS, IMPORTS = "transactions", "fingerprints", "imports"
 
 
 def revision(spark: SparkSession, path: str) -> int:
-    return newest(spark, path).number
+    return snapshots.newest(spark, path).number
 
 
 def load(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger's rows as of its newest revision; None before the first."""
-    folders = newest(spark, path).folders
-    return spark.read.parquet(*[f"{path}/{x}" for x in folders]) if folders else None
-
-
-def commit(rows: DataFrame, path: str, based_on: Revision, replace: bool = False, taken: tuple[str, int] | None = None) -> Revision:
-    """Adds ``rows`` to what ``based_on`` has (``replace``: in its stead) as the next revision; raises if that one exists. ``taken``: a stream and its batch."""
-    spark = rows.sparkSession
-    if revision(spark, path) != based_on.number:
-        raise RevisionConflict(f"the ledger is not at revision {based_on.number}")
-    name = f"rows-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{name}")
-    new = Revision(based_on.number + 1, ((*based_on.folders, name) if not replace else (name,)), based_on.taken | dict([taken] if taken else []))
-    _publish(spark, path, new)
-    return new
-
-
-def _publish(spark: SparkSession, path: str, new: Revision) -> None:
-    at, files = _files(spark, path)
-    # Not a name that ``newest`` reads, until it is renamed.
-    draft = at(f"{path}/revisions/draft-{uuid.uuid4().hex}")
-    create = spark._jvm.org.apache.hadoop.fs.FileSystem.get(draft.toUri(), spark._jsc.hadoopConfiguration()).create(draft, False)
-    create.write(bytearray(json.dumps({"folders": new.folders, "taken": new.taken}).encode()))
-    create.close()
-    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        files.rename(draft, at(f"{path}/revisions/{new.number:010d}.json"), none)
-    except Py4JJavaError as e:
-        files.delete(draft, False)
-        if "FileAlreadyExists" in e.java_exception.getClass().getName():
-            raise RevisionConflict(f"revision {new.number} has been written by another") from e
-        raise
+    return snapshots.table(spark, path, snapshots.newest(spark, path), LEDGER)
 
 
 def fresh_rows(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
-    """Rows of ``incoming`` whose id the ledger does not have, those of exact duplicates marked for review."""
+    """Rows of ``incoming`` whose id the ledger does not have. Those that are an exact or likely duplicate of a row of the ledger, or of one with a smaller id in the batch, are marked for review."""
     fresh = incoming.dropDuplicates(["txn_id"])
-    if existing is None:
-        return fresh
-    fresh = fresh.join(existing.select("txn_id"), "txn_id", "left_anti")
-    doubled = duplicates.candidates(existing, fresh).select(F.col("incoming_id").alias("txn_id")).distinct().withColumn("doubled", F.lit(True))
+    if existing is not None:
+        fresh = fresh.join(existing.select("txn_id"), "txn_id", "left_anti")
+    found = duplicates.within_batch(fresh).select("incoming_id")
+    if existing is not None:
+        found = found.unionByName(duplicates.candidates(existing, fresh).select("incoming_id"))
+    doubled = found.select(F.col("incoming_id").alias("txn_id")).distinct().withColumn("doubled", F.lit(True))
     return fresh.join(doubled, "txn_id", "left").withColumn("review_state", F.when(F.col("doubled"), "needsReview").otherwise(F.col("review_state"))).drop("doubled")
 
 
-def start(rows: DataFrame, path: str, checkpoint: str):
-    """Runs a stream of canonical transactions into the ledger at ``path``; all that is there is taken, then the query ends. The checkpoint is the stream's name in the revisions."""
+def take(spark: SparkSession, path: str, stream: str, batch: DataFrame, batch_id: int) -> snapshots.Snapshot:
+    """Commits one batch of ``stream``, unless it has been taken."""
 
-    def take(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        at = newest(spark, path)
-        # A batch that runs again after a failure finds that it has been taken.
-        if at.taken.get(checkpoint, -1) < batch_id:
-            commit(fresh_rows(load(spark, path), batch), path, at, taken=(checkpoint, batch_id))
+    def change(at: snapshots.Snapshot) -> snapshots.Snapshot:
+        if at.taken.get(stream, -1) >= batch_id:
+            return at
+        rows = fresh_rows(snapshots.table(spark, path, at, LEDGER), batch)
+        prints = duplicates.with_keys(rows).select("txn_id", "account_id", "fingerprint")
+        line = rows.agg(F.count("*").alias("n_rows"), F.count_if(F.col("review_state") == "needsReview").alias("n_review")).select(F.lit(stream).alias("stream"), F.lit(batch_id).cast("long").alias("batch"), "n_rows", "n_review")
+        return snapshots.commit(spark, path, at, {LEDGER: snapshots.Change(rows), PRINTS: snapshots.Change(prints), IMPORTS: snapshots.Change(line)}, taken=(stream, batch_id))
 
-    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return snapshots.retried(spark, path, change)
+
+
+def start(rows: DataFrame, path: str, checkpoint: str):
+    """Runs a stream of canonical transactions into the workspace at ``path``; all that is there is taken, then the query ends. The checkpoint is the stream's name in the revisions."""
+    return rows.writeStream.foreachBatch(lambda batch, batch_id: take(batch.sparkSession, path, checkpoint, batch, batch_id) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coinbrook.sources import csv_statement as csv
 from coinbrook.sources import mapping, ofx_statement, pdf_items
-from coinbrook.streaming import ingest
+from coinbrook.streaming import ingest, snapshots
 
 
 def test_csv_rows_keep_their_lines(spark, tmp_path):
@@ -146,22 +146,7 @@ def test_stream_takes_files_once(spark, tmp_path):
     spark.createDataFrame([row(3, 9)], schema).write.parquet(other)
     ingest.start(spark.readStream.schema(schema).parquet(other), target, str(tmp_path / "cp2")).awaitTermination()
     assert {r.txn_id for r in ingest.load(spark, target).collect()} == {"t1", "t2", "t3"}
-    at_now = ingest.newest(spark, target)
+    at_now = snapshots.newest(spark, target)
     assert at_now.number == 3 and sorted(at_now.taken.values()) == [0, 1]
-
-
-def test_two_writers_and_a_torn_write(spark, tmp_path):
-    target = str(tmp_path / "ledger")
-    one, two = spark.createDataFrame([(1,)], "n long"), spark.createDataFrame([(2,)], "n long")
-    based_on = ingest.commit(one, target, ingest.newest(spark, target))
-    two.write.parquet(f"{target}/rows-torn")  # a writer that ended before it published
-    (tmp_path / "ledger" / "revisions" / "draft-torn").write_text("{")
-    assert ingest.load(spark, target).count() == 1
-    ingest.commit(two, target, based_on)
-    with pytest.raises(ingest.RevisionConflict):
-        ingest.commit(two, target, based_on)
-    with pytest.raises(ingest.RevisionConflict):  # both saw the same revision, and the other was first to publish
-        ingest._publish(spark, target, ingest.Revision(2, ("rows-torn",)))
-    assert sorted(r.n for r in ingest.load(spark, target).collect()) == [1, 2]
-    ingest.commit(one, target, ingest.newest(spark, target), replace=True)
-    assert [r.n for r in ingest.load(spark, target).collect()] == [1]
+    tables = snapshots.read(spark, target, at_now)
+    assert sorted((r.n_rows, r.n_review) for r in tables["imports"].collect()) == [(1, 0), (1, 0), (1, 1)] and tables["fingerprints"].count() == 3
