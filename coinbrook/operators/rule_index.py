@@ -1,11 +1,13 @@
 """Classification by an inverted index of rules: a row meets only the rules it has something in common with.
 
-Each rule is filed under one of its conditions, the one likely to hold least often: an equal
-value under that value; the start of a description under its first characters; a contained
-text under one of its grams; an amount range under the one or two cells that cover it, on the
-finest level where two cells do. A row looks up all its own values, starts, grams and cells,
-and every rule so found is tested as a whole. Rules are a table, so the plan is the same for
-ten and for ten thousand.
+Each rule is filed under one of its conditions: an equal value under that value; the start of
+a description under its first characters; a contained text under one of its grams; an amount
+range under the one or two cells that cover it, on the finest level where two cells do. The
+condition is the one that the fewest rows of the ledger meet, where these have been counted
+(``frequencies``), else the one that is rarest by its kind; which it is changes the work and
+never the result. A row looks up all its own values, starts, grams and cells, and every rule
+so found is tested as a whole. Rules are a table, so the plan is the same for ten and for ten
+thousand.
 
 The table of rules (MAX_RULES at most, each of bounded size, which is checked) is sent to all
 tasks: the ledger is not shuffled to find rules. Only the hits are, by the row's id.
@@ -59,41 +61,79 @@ def _grams(value: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(value) - size + 1), lambda i: F.substring(value, i, size))
 
 
-def rarest(conditions: Column) -> Column:
-    """The condition that a rule is filed under; of equals the first. Short starts and grams are common."""
+def rarity(c: Column) -> Column:
+    """How rare a condition is by its kind; short starts and grams are common."""
     rank = F.create_map(*[F.lit(x) for i, name in enumerate(RARITY) for x in (name, i)])
-    short = lambda c: F.when(c["operator"].isin("startsWith", "contains") & (F.length(c["value"]) < GRAM), len(RARITY)).otherwise(0)
-    ranked = F.transform(conditions, lambda c, i: F.struct((F.element_at(rank, F.concat_ws(" ", c["field"], c["operator"])) + short(c)).alias("rank"), i.alias("at")))
-    return F.get(conditions, F.array_min(ranked)["at"])
+    short = c["operator"].isin("startsWith", "contains") & (F.length(c["value"]) < GRAM)
+    return F.element_at(rank, F.concat_ws(" ", c["field"], c["operator"])) + F.when(short, len(RARITY)).otherwise(0)
 
 
-def filed(c: Column) -> Column:
-    """Kind and values under which a rule whose rarest condition is ``c`` is filed."""
-    under = lambda kind, *values: F.struct(kind.alias("kind"), F.array(*values).alias("values"))
+def places(c: Column) -> Column:
+    """Where a rule could be filed under condition ``c``: kind and values, one place except for contained texts, which have one for each gram."""
+    under = lambda kind, *values: F.struct(kind.alias("kind"), F.array_distinct(F.array(*values)).alias("values"))
     start, size = F.least(F.length(c["value"]), F.lit(START)), F.least(F.length(c["value"]), F.lit(GRAM))
-    gram = F.array_min(F.transform(_grams(c["value"], size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
     low, high = F.coalesce(c["minimum"], c["value"]), F.coalesce(c["maximum"], c["value"])
-    level = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: cell(high, k) - cell(low, k) <= 1))
-    contained = lambda name: under(F.concat(F.lit(name), size.cast("string")), gram)
+    # Two neighbouring cells of a level hold a range that is no longer than one of them.
+    width = cell(high, F.lit(0)) - cell(low, F.lit(0))
+    level = F.when(width <= 1, 0).otherwise(F.length(F.bin(width - 1)))
+    contained = lambda name: F.transform(F.array_distinct(_grams(c["value"], size)), lambda g: under(F.concat(F.lit(name), size.cast("string")), g))
     return (
-        F.when(c["field"] == "amount", under(F.concat(F.lit("cell"), level.cast("string")), cell(low, level).cast("string"), cell(high, level).cast("string")))
-        .when(c["operator"] == "startsWith", under(F.concat(F.lit("start"), start.cast("string")), F.substring(c["value"], F.lit(1), start)))
+        F.when(c["field"] == "amount", F.array(under(F.concat(F.lit("cell"), level.cast("string")), cell(low, level).cast("string"), cell(high, level).cast("string"))))
+        .when(c["operator"] == "startsWith", F.array(under(F.concat(F.lit("start"), start.cast("string")), F.substring(c["value"], F.lit(1), start))))
         .when((c["operator"] == "contains") & (c["field"] == "tag"), contained("tag-gram"))
         .when(c["operator"] == "contains", contained("gram"))
-        .otherwise(under(c["field"], c["value"]))
+        .otherwise(F.array(under(c["field"], c["value"])))
     )
 
 
-def index(rules: DataFrame) -> DataFrame:
-    """kind, key and the rule, a row or two for each enabled rule; a table that breaks a limit raises."""
+def checked(rules: DataFrame) -> DataFrame:
+    """The enabled rules; a table that breaks a limit raises."""
+    spark = rules.sparkSession
+    # MAX_RULES rows at most come to the driver, once, and go out again as a local table.
+    held = rules.limit(MAX_RULES + 1).toArrow()
+    if len(held) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    local = spark.createDataFrame(held, rules.schema) if len(held) else spark.createDataFrame([], rules.schema)
     values = F.flatten(F.transform("conditions", lambda c: F.array(c["value"], c["minimum"], c["maximum"])))
     bounded = F.size("conditions").between(1, MAX_CONDITIONS) & F.forall(values, lambda v: v.isNull() | F.length(v).between(1, MAX_VALUE))
-    n, bad = rules.agg(F.count("*"), F.count_if(~F.coalesce(bounded, F.lit(False)))).first()
-    if n > MAX_RULES or bad:
-        raise ValueError(f"more than {MAX_RULES} rules" if n > MAX_RULES else f"{bad} rules have no condition, too many, or values that are empty or too long")
+    bad = local.filter(~F.coalesce(bounded, F.lit(False))).count()
+    if bad:
+        raise ValueError(f"{bad} rules have no condition, too many, or values that are empty or too long")
+    return local.filter("enabled")
+
+
+def options(rules: DataFrame) -> DataFrame:
+    """ordinal, at (the condition), rank, kind, values and key: every key of every place where a rule could be filed."""
+    each = rules.select("ordinal", F.posexplode("conditions").alias("at", "c"))
+    placed = each.select("ordinal", "at", rarity(F.col("c")).alias("rank"), F.explode(places(F.col("c"))).alias("p"))
+    return placed.select("ordinal", "at", "rank", "p.kind", "p.values", F.explode("p.values").alias("value")).withColumn("key", F.xxhash64("kind", "value")).drop("value")
+
+
+def _kinds(table: DataFrame) -> list[str]:
+    return [r[0] for r in table.select("kind").distinct().collect()]  # as many as there are fields, lengths, and levels of amounts
+
+
+def frequencies(ledger: DataFrame, rules: DataFrame) -> DataFrame:
+    """key and n: rows of the prepared ledger with each key that one of the (``checked``) rules could be filed under. One pass; what is shuffled is a count a key and task."""
+    found = options(rules)
+    keys, kinds = F.broadcast(found.select("key").distinct()), _kinds(found)
+    if not kinds:
+        return ledger.sparkSession.createDataFrame([], "key long, n long")
+    return ledger.select(F.explode(looked_up(kinds)).alias("key")).join(keys, "key").groupBy("key").agg(F.count("*").alias("n"))
+
+
+def index(rules: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """kind, key, low, high (amounts outside can't match), hit and conditions: a row or two for each enabled rule, filed where ``counts`` (key, n) are least; without counts, where its kind is rarest."""
+    found = options(rules)
+    weighed = found.withColumn("n", F.lit(0)) if counts is None else found.join(counts, "key", "left").fillna(0, ["n"])
+    cost = weighed.groupBy("ordinal", "at", "rank", "kind", "values").agg(F.sum("n").alias("n"))
+    best = cost.groupBy("ordinal").agg(F.min(F.struct("n", "rank", "at", "kind", "values")).alias("best"))
     hit = F.struct("ordinal", "rule_id", "priority", specificity(F.col("conditions")).alias("specificity"), F.col("set_merchant").alias("merchant"), F.col("set_category").alias("category"))
-    found = rules.filter("enabled").select(hit.alias("hit"), "conditions", filed(rarest(F.col("conditions"))).alias("f"))
-    return found.select("hit", "conditions", F.col("f.kind").alias("kind"), F.explode(F.array_distinct("f.values")).alias("value")).select("hit", "conditions", "kind", F.xxhash64("kind", "value").alias("key"))
+    sizes = F.filter("conditions", lambda c: c["field"] == "amount")
+    low = F.array_max(F.transform(sizes, lambda c: F.coalesce(c["minimum"], c["value"]).cast(_EXACT)))
+    high = F.array_min(F.transform(sizes, lambda c: F.coalesce(c["maximum"], c["value"]).cast(_EXACT)))
+    filed = rules.join(best, "ordinal").select(hit.alias("hit"), "conditions", low.alias("low"), high.alias("high"), F.col("best.kind").alias("kind"), F.explode("best.values").alias("value"))
+    return filed.select("kind", F.xxhash64("kind", "value").alias("key"), "low", "high", "hit", "conditions")
 
 
 def direction() -> Column:
@@ -134,19 +174,24 @@ def holds(c: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def rule_hits(ledger: DataFrame, rules: DataFrame, key: str = "txn_id") -> DataFrame:
-    """``key`` and hit, a row for each enabled rule that holds for a row of the prepared ledger."""
-    made = index(rules)
-    kinds = [r[0] for r in made.select("kind").distinct().collect()]  # as many as there are fields, and levels of amounts
-    if not kinds:
-        return ledger.select(key).limit(0).withColumn("hit", F.lit(None).cast(_HITS)[0])
+def rule_hits(ledger: DataFrame, rules: DataFrame, key: str = "txn_id", counted: bool = True) -> DataFrame:
+    """``key`` and hit, a row for each enabled rule that holds for a row of the prepared ledger. ``counted``: rules are filed by ``frequencies``, for one more pass over the ledger."""
+    some = checked(rules)
+    held = index(some, frequencies(ledger, some) if counted else None).toArrow()  # two rows a rule at most
+    if not len(held):
+        return ledger.select(key, F.get(F.array().cast(_HITS), 0).alias("hit")).limit(0)
+    made = ledger.sparkSession.createDataFrame(held)
+    kinds = sorted(set(held.column("kind").to_pylist()))
     need = [key, "amount", "tags", *EQUAL.values()]
     each = ledger.select(*dict.fromkeys(need), F.explode(looked_up(kinds)).alias("key_of_rule"))
-    met = each.join(F.broadcast(made.select(F.col("key").alias("key_of_rule"), "hit", "conditions")), "key_of_rule")
-    return met.filter(F.forall("conditions", holds)).select(key, "hit")
+    met = each.join(F.broadcast(made.drop("kind").withColumnRenamed("key", "key_of_rule")), "key_of_rule")
+    size = F.abs("amount").cast(_EXACT)
+    # Bounds are plain columns, so most of what only shares a key falls before conditions are read.
+    near = (F.col("low").isNull() | (size >= F.col("low"))) & (F.col("high").isNull() | (size <= F.col("high")))
+    return met.filter(near).filter(F.forall("conditions", holds)).select(key, "hit")
 
 
-def matched(ledger: DataFrame, rules: DataFrame, key: str = "txn_id") -> DataFrame:
+def matched(ledger: DataFrame, rules: DataFrame, key: str = "txn_id", counted: bool = True) -> DataFrame:
     """The prepared ledger with ``hits``, the enabled rules that hold, in order. ``key`` tells rows apart."""
-    hits = rule_hits(ledger, rules, key).groupBy(key).agg(F.sort_array(F.collect_list("hit")).alias("hits"))
+    hits = rule_hits(ledger, rules, key, counted).groupBy(key).agg(F.sort_array(F.collect_list("hit")).alias("hits"))
     return ledger.join(hits, key, "left").withColumn("hits", F.coalesce(F.col("hits").cast(_HITS), F.array().cast(_HITS)))

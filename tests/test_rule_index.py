@@ -45,6 +45,8 @@ def test_equals_compiled_rules(spark, seed):
     want = {r.txn_id: r.hits for r in rules.matched(ledger, made).collect()}
     got = {r.txn_id: r.hits for r in rule_index.matched(ledger, rule_index.table_of(spark, made)).collect()}
     assert got == want and sum(map(len, got.values())) > 500
+    by_kind = rule_index.matched(ledger, rule_index.table_of(spark, made), counted=False)
+    assert {r.txn_id: r.hits for r in by_kind.collect()} == want
     both = [rules.results(f(ledger, x), F.col("merchant_id").isNotNull(), F.lit(False)).select("txn_id", "merchant_result", "category_result") for f, x in ((rules.matched, made[:30]), (rule_index.matched, rule_index.table_of(spark, made[:30])))]
     assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
 
@@ -62,7 +64,7 @@ def test_limits_and_no_rules(spark):
     one = lambda conditions: spark.createDataFrame([(0, "r", 0, conditions, None, "c", True)], rule_index.RULES)
     for bad in ([], [("tag", "equals", "x" * 241, None, None)], [("tag", "equals", "x", None, None)] * 21):
         with pytest.raises(ValueError):
-            rule_index.index(one(bad))
+            rule_index.checked(one(bad))
     many = spark.range(rules.MAX_RULES + 1).select(F.col("id").cast("int").alias("ordinal"), F.lit("r").alias("rule_id"), F.lit(0).alias("priority"), F.array(F.struct(*[F.lit("x").alias(c) for c in ("field", "operator", "value", "minimum", "maximum")])).alias("conditions"), F.lit("m").alias("set_merchant"), F.lit("c").alias("set_category"), F.lit(True).alias("enabled"))
     with pytest.raises(ValueError):
-        rule_index.index(many)
+        rule_index.checked(many)
