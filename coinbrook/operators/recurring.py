@@ -3,11 +3,14 @@
 A series is a group of posted outflows with one normalized description and currency, three
 members at least, whose mean gap lies in a cadence's band. The mean gap of sorted dates is
 (last - first) / (members - 1), so no window is needed. The median is the upper one; it
-is taken from counts by amount, so a series never gathers its members in one row.
+is taken from counts by amount, so a series never gathers its members in one row, and a
+large one not even its amounts in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,21 +38,49 @@ def cadence_of(days: Column, gaps: Column) -> Column:
     return out.otherwise("irregular")
 
 
+#: Members from which on a series' amounts are dealt to bins, and how many bins; the bins say how even the work is, not what the result is.
+LARGE, BINS = 1 << 17, 1024
+
+
 def upper_medians(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """The upper median of ``value`` in each group: sorted[n // 2]. Equal values are counted first, and a running count finds the middle."""
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("members"), F.min(value).alias("least"), F.max(value).alias("most"))
     counts = rows.groupBy(*key, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*key)
-    running = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "total": F.sum("c").over(w)})
-    middle = F.floor(F.col("total") / 2)
-    return running.filter((F.col("upto") > middle) & (F.col("upto") - F.col("c") <= middle)).select(*key, F.col(value).alias("median"))
+    return medians_of(lambda some: counts.join(sizes.filter(some), key), key, value)
 
 
-def proposals(ledger: DataFrame, excluded_ids: DataFrame | None = None) -> DataFrame:
-    """signature, name, currency, cadence, members, first_seen, last_seen, next_expected, least, most, median, is_variable and confidence of each series."""
-    rows = eligible(ledger, excluded_ids).withColumn("size", F.abs("amount"))
-    groups = rows.groupBy("name", "currency").agg(F.count("*").cast("long").alias("members"), F.min("posted_date").alias("first_seen"), F.max("posted_date").alias("last_seen"), F.min("size").cast(money.TOTAL).alias("least"), F.max("size").cast(money.TOTAL).alias("most")).filter("members >= 3")
-    series = groups.withColumn("cadence", cadence_of(F.datediff("last_seen", "first_seen"), F.col("members") - 1)).filter("cadence <> 'irregular'")
-    medians = upper_medians(rows.join(series.select("name", "currency"), ["name", "currency"], "left_semi"), ["name", "currency"], "size")
+def medians_of(counts: Callable[[Column], DataFrame], key: list[str], value: str) -> DataFrame:
+    """``key`` and median from counts of equal values (c), each with its group's members, least and most; ``counts`` gives those of the groups for which a condition on these holds.
+
+    A group is sorted in one task, unless it has more than LARGE members: then bins of equal
+    width between its least and most value are counted, and only the bin that holds the middle
+    is sorted. Small groups pay for no more than one sort.
+    """
+    w, middle = Window.partitionBy(*key), F.floor(F.col("members") / 2)
+    middles = lambda df: df.filter((F.col("upto") > middle) & (F.col("upto") - F.col("c") <= middle)).select(*key, F.col(value).alias("median"))
+    small = middles(counts(F.col("members") <= LARGE).withColumn("upto", F.sum("c").over(w.orderBy(value))))
+    many = counts(F.col("members") > LARGE)
+    width = (F.col("most") - F.col("least")).cast("double")
+    binned = many.withColumn("bin", F.when(width > 0, F.least(F.floor((F.col(value) - F.col("least")).cast("double") / width * BINS), F.lit(BINS - 1))).otherwise(0).cast("int"))
+    bins = binned.groupBy(*key, "bin").agg(F.sum("c").alias("in_bin"), F.first("members").alias("members"))
+    upto = F.sum("in_bin").over(w.orderBy("bin"))  # BINS rows a group at most
+    hit = bins.withColumn("before", upto - F.col("in_bin")).filter((F.col("before") <= middle) & (F.col("before") + F.col("in_bin") > middle)).select(*key, "bin", "before")
+    large = middles(binned.join(hit, [*key, "bin"]).withColumn("upto", F.col("before") + F.sum("c").over(w.orderBy(value))))
+    return small.unionByName(large)
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """members, first_seen, last_seen, least and most of each series of eligible rows; such totals can be merged."""
+    return rows.groupBy("name", "currency").agg(F.count("*").cast("long").alias("members"), F.min("posted_date").alias("first_seen"), F.max("posted_date").alias("last_seen"), F.min("size").cast(money.TOTAL).alias("least"), F.max("size").cast(money.TOTAL).alias("most"))
+
+
+def regular(groups: DataFrame) -> DataFrame:
+    """Those of ``totals`` that are a series, with their cadence."""
+    return groups.filter("members >= 3").withColumn("cadence", cadence_of(F.datediff("last_seen", "first_seen"), F.col("members") - 1)).filter("cadence <> 'irregular'")
+
+
+def described(series: DataFrame, medians: DataFrame) -> DataFrame:
+    """Proposals from ``regular`` series and their medians."""
     step = F.element_at(F.create_map(*[F.lit(x) for name, _, _, days in CADENCES for x in (name, days)]), F.col("cadence"))
     variable = F.col("least") != F.col("most")
     return series.join(medians, ["name", "currency"]).select(
@@ -58,6 +89,15 @@ def proposals(ledger: DataFrame, excluded_ids: DataFrame | None = None) -> DataF
     )
 
 
+def proposals(ledger: DataFrame, excluded_ids: DataFrame | None = None) -> DataFrame:
+    """signature, name, currency, cadence, members, first_seen, last_seen, next_expected, least, most, median, is_variable and confidence of each series."""
+    rows = eligible(ledger, excluded_ids).withColumn("size", F.abs("amount"))
+    series = regular(totals(rows))
+    key, size = ["name", "currency"], ["members", "least", "most"]
+    counts = lambda some: rows.select(*key, "size").join(series.filter(some).select(*key, *size), key).groupBy(*key, "size").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in size])
+    return described(series, medians_of(counts, key, "size"))
+
+
 def signature(name: Column, currency: Column, cadence: Column) -> Column:
     """The key of a series holds the currency once in small letters, and the signature adds it again."""
     return F.concat_ws(":", F.lower(F.concat_ws(":", name, currency)), currency, cadence)
