@@ -8,11 +8,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinbrook.operators import learning, rule_index, rules
+from coinbrook.operators import documents, learning, rule_index, rules
 from coinbrook.operators.ledger import Edit
 from coinbrook.plans import ledgers as L
+from coinbrook.plans.match_queries import _SERIES
 from coinbrook.plans.text_queries import merchant_sql
-from coinbrook.streaming import snapshots
+from coinbrook.streaming import series, snapshots
 from coinbrook.streaming.snapshots import Change
 
 QUERIES: dict = {}
@@ -169,3 +170,89 @@ def rule_index_results(spark, sf_dir):
     hit = rule_index.matched(rows, _many_rules(rows))
     out = rules.results(hit, F.lit(False), F.lit(False))
     return out.select("txn_id", F.size("hits").cast("long").alias("n_hits"), "category_result.status", F.col("category_result.value").alias("category"), "category_result.winner")
+
+
+# Series as a stream: line items in batches by their year, against the detection of the whole.
+
+
+@register(f"{_SERIES} SELECT * FROM series")
+def recurring_stream_state(spark, sf_dir):
+    """The state after a batch for each year of shipping."""
+    path, rows = fresh(spark), L.items(spark, sf_dir)
+    year = F.year("posted_date")
+    last = None
+    for batch, until in enumerate((1994, 1996, 9999)):
+        part = rows.filter((year <= until) & (F.lit(True) if last is None else year > last))
+        series.take(spark, path, "years", part, batch)
+        last = until
+    return series.proposals(spark, path)
+
+
+# Canonical documents of orders, their digests, and back.
+
+_AMOUNT_TEXT = "regexp_replace(regexp_replace(CAST(amount AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+_DOCUMENT = f"""WITH {L.LEDGER}, docs AS (SELECT *, concat('{{"accountId":"', account_id, '","amount":"', {_AMOUNT_TEXT}, CASE WHEN category_id IS NULL THEN '' ELSE concat('","categoryId":"', category_id) END, '","classifications":{{',
+  CASE WHEN category_id IS NULL THEN '' ELSE concat('"category":{{"locked":false,"value":"', category_id, '"}}') END, CASE WHEN category_id IS NULL OR merchant_id IS NULL THEN '' ELSE ',' END, CASE WHEN merchant_id IS NULL THEN '' ELSE concat('"merchant":{{"locked":false,"value":"', merchant_id, '"}}') END,
+  '}},"currency":"', currency, '","description":"', description, '","id":"', txn_id, CASE WHEN merchant_id IS NULL THEN '' ELSE concat('","merchantId":"', merchant_id) END, CASE WHEN notes IS NULL THEN '' ELSE concat('","notes":"', notes) END,
+  '","postedDate":"', posted_date, '","reviewState":"', review_state, '","schemaVersion":"1.0.0","status":"', status, '","tags":', CASE txn_id % 3 WHEN 0 THEN '["Home","food"]' WHEN 1 THEN '["home"]' ELSE '[]' END, '}}') AS document FROM ledger)"""
+
+
+@register(f"{_DOCUMENT} SELECT txn_id, sha256(document) AS digest FROM docs")
+def document_digests(spark, sf_dir):
+    docs = documents.transaction_documents(L.ledger(spark, sf_dir))
+    return docs.select("txn_id", F.sha2(F.col("document").cast("binary"), 256).alias("digest"))
+
+
+@register(f"WITH {L.LEDGER} SELECT txn_id, account_id, posted_date, amount, currency, status, category_id, review_state, merchant_id, description, notes, array_to_string(tags, '|') AS tags FROM ledger")
+def documents_round_trip(spark, sf_dir):
+    rows = L.ledger(spark, sf_dir)
+    back = documents.decoded(documents.transaction_documents(rows).select("document"))
+    return back.filter("problem IS NULL").select(*[F.array_join("tags", "|").alias("tags") if c == "tags" else F.col(c).cast(t).alias(c) for c, t in rows.dtypes])
+
+
+@register("""SELECT problem, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE o_orderkey % 8 WHEN 0 THEN 'unsupported version' WHEN 1 THEN 'no JSON' WHEN 2 THEN 'missing amount' WHEN 3 THEN 'invalid date' WHEN 4 THEN 'invalid currency' WHEN 5 THEN 'no object' END AS problem FROM orders) GROUP BY problem""")
+def documents_refused(spark, sf_dir):
+    """Documents spoilt in six ways by their order's key."""
+    docs = documents.transaction_documents(L.ledger(spark, sf_dir))
+    swap = lambda old, new: F.regexp_replace("document", old, new)
+    kind = F.col("txn_id") % 8
+    spoilt = F.when(kind == 0, swap('"1.0.0"', '"1.1.0"')).when(kind == 1, F.concat("document", F.lit("}"))).when(kind == 2, swap('"amount":"[^"]*",', "")).when(kind == 3, swap('"postedDate":"[0-9-]+"', '"postedDate":"1997-02-29"')).when(kind == 4, swap('"currency":"[A-Z]+"', '"currency":"US"')).when(kind == 5, F.concat(F.lit("["), "document", F.lit("]"))).otherwise(F.col("document"))
+    return documents.decoded(docs.select(spoilt.alias("document"))).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+# A knowledge document a nation: its customers as categories and merchants, with faults by the customer's key.
+
+_BRAIN_SQL = """WITH c AS (SELECT c_nationkey AS nation, c_custkey, CASE WHEN c_custkey % 50 = 7 THEN 'none' WHEN c_custkey % 50 = 8 THEN 'c' || c_custkey END AS parent FROM customer),
+f AS (SELECT nation, 3 AS step, 'prohibited secrets' AS problem FROM c WHERE nation % 5 = 1 GROUP BY nation UNION ALL SELECT nation, 4, 'unsupported version' FROM c WHERE nation % 5 = 2 GROUP BY nation
+UNION ALL SELECT nation, 5, 'repeated id in merchants: m' || c_custkey FROM c WHERE nation % 5 = 3 AND c_custkey % 40 = 3 UNION ALL SELECT nation, 6, 'no parentId none' FROM c WHERE parent = 'none')
+SELECT nation, step, problem, CAST(count(*) AS BIGINT) AS n FROM f WHERE (nation, step) IN (SELECT (nation, min(step)) FROM f GROUP BY nation) GROUP BY ALL"""
+
+
+@register(_BRAIN_SQL.replace("WHERE (nation, step) IN (SELECT (nation, min(step)) FROM f GROUP BY nation)", "JOIN (SELECT nation, min(step) AS step FROM f GROUP BY nation) USING (nation, step)"))
+def brain_document_problems(spark, sf_dir):
+    c = L.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", F.col("c_custkey").cast("string").alias("key"))
+    k = F.col("c_custkey")
+    category = F.struct(F.concat(F.lit("c"), "key").alias("id"), F.when(k % 50 == 7, "none").when(k % 50 == 8, F.concat(F.lit("c"), "key")).alias("parentId"))
+    merchant = F.struct(F.concat(F.lit("m"), "key").alias("id"))
+    lists = c.groupBy("nation").agg(F.collect_list(category).alias("categories"), F.flatten(F.collect_list(F.when((F.col("nation") % 5 == 3) & (k % 40 == 3), F.array(merchant, merchant)).otherwise(F.array(merchant)))).alias("merchants"))
+    none = F.array().cast("array<struct<id:string>>")
+    body = F.to_json(F.struct(F.when(F.col("nation") % 5 == 2, "2.0.0").otherwise("1.0.0").alias("schemaVersion"), *[F.lit("x").alias(x) for x in ("brainId", "createdAt", "updatedAt")], "categories", "merchants", none.alias("rules"), none.alias("recurringDecisions"), F.when(F.col("nation") % 5 == 1, "x").alias("secrets")))
+    return documents.brain_problems(lists.select("nation", body.alias("body")), "nation", "body").groupBy("nation", "step", "problem").agg(F.count("*").alias("n"))
+
+
+@register(f"""{_DOCUMENT}, parts AS (SELECT unnest(string_split_regex(regexp_replace(regexp_replace(document, '"(accountId|amount|categoryId|currency|description|id|merchantId|notes|postedDate|reviewState|schemaVersion|status|tags)":', '§\\1§', 'g'), '[{{}}]', '', 'g'), '§')) AS name FROM docs)
+SELECT '/' || name AS path, CAST(count(*) AS BIGINT) AS n FROM parts WHERE name IN ('accountId', 'amount', 'categoryId', 'currency', 'description', 'id', 'merchantId', 'notes', 'postedDate', 'reviewState', 'schemaVersion', 'status', 'tags') GROUP BY name
+UNION ALL SELECT '/classifications', count(*) FROM docs UNION ALL SELECT '/classifications/category' || x, count(category_id) FROM docs, (SELECT unnest(['', '/locked', '/value']) AS x) GROUP BY x UNION ALL SELECT '/classifications/merchant' || x, count(merchant_id) FROM docs, (SELECT unnest(['', '/locked', '/value']) AS x) GROUP BY x""")
+def document_key_paths(spark, sf_dir):
+    docs = documents.transaction_documents(L.ledger(spark, sf_dir))
+    return documents.key_paths(docs, "txn_id", "document").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@register(f"""WITH {L.LEDGER}, d AS (SELECT sha256(concat('t:', account_id, ':', posted_date)) AS d, count(*) AS n FROM ledger GROUP BY 1),
+leaves AS (SELECT left(d, 6) AS leaf, sha256(string_agg(d || ':' || n, ',' ORDER BY d || ':' || n)) AS digest FROM d GROUP BY 1),
+branches AS (SELECT left(leaf, 3) AS branch, count(*) AS n, sha256(string_agg(leaf || ':' || digest, ',' ORDER BY leaf)) AS digest FROM leaves GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_leaves, sha256(string_agg(branch || ':' || digest, ',' ORDER BY branch)) AS digest FROM branches""")
+def revision_digest(spark, sf_dir):
+    """The digest of all (account, day) keys of the ledger."""
+    rows = L.ledger(spark, sf_dir)
+    return documents.revision(rows, F.concat(F.lit("t:"), F.col("account_id").cast("string"), F.lit(":"), F.col("posted_date").cast("string")))
