@@ -252,3 +252,19 @@ def test_language_odd_rows(spark):
     assert len(got) == len(rows.ODD) and all(r.lang_pred == "und" for r in got if r.doc_id in (7001, 7002))
     assert langid.identify(rows.empty(spark)).count() == 0
     assert {r.lang_pred for r in langid.identify(rows.documents(spark).drop("lang").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_license_scan_grows_with_the_text(spark):
+    """A long text carries its few words to each place, never itself: four times the words take well under eight times as long."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "licensed under the apache license version 2.0 some words more " * (n // 10))], "doc_id long, text string")
+        began = time.perf_counter()
+        found = licenses.scan(df).collect()
+        assert found[0].labels == "apache-2.0" and found[0].n_words == n // 10 * 11
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small, large = seconds(50_000), seconds(200_000)
+    assert large < 8 * small + 4
