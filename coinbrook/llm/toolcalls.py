@@ -57,18 +57,31 @@ def _encodable(text: str) -> str:
     return text if text.isascii() else _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
+def _is(value, kind: str) -> bool:
+    """Whether a JSON value is of a type; a whole number is an integer however it is written, and true and false are no numbers."""
+    if kind in ("number", "integer"):
+        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, _TYPES.get(kind, object))
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: 1 equals 1.0, and neither equals true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b
+
+
 def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What in ``value`` breaks ``schema``."""
+    """What in ``value`` breaks ``schema``; its type may be a list of types, any of which will do."""
     kind, out = schema.get("type"), []
-    if kind == "number":
-        fits = isinstance(value, int | float) and not isinstance(value, bool)
-    elif kind == "integer":
-        fits = isinstance(value, int) and not isinstance(value, bool)
-    else:
-        fits = kind is None or isinstance(value, _TYPES.get(kind, object))
-    if not fits:
-        return [f"{at}: not of type {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
+    kinds = kind if isinstance(kind, list) else [] if kind is None else [kind]
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: not of type {' or '.join(map(str, kinds))}"]
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{at}: not among the allowed values")
     if isinstance(value, str) and len(value) < schema.get("minLength", 0):
         out.append(f"{at}: too short")

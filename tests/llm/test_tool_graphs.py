@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from coinbrook.llm import toolcalls
 
 TURN = "conv_id long, turn long, role string, text string"
@@ -60,3 +62,19 @@ def test_texts_that_are_no_plain_json(spark):
         (3, "no-id:1:0", "f", "open"), (3, "no-id:1:1", "g", "open"), (3, "7", "f", "linked"), (3, "x", "f", "open"), (3, "x", "g", "duplicate"),
     }
     assert all(json.loads(r.canonical) is not None for r in got)
+
+
+@pytest.mark.parametrize(
+    "schema, good, bad",
+    [
+        ({"type": ["string", "null"]}, ["x", None], [1, True, []]),
+        ({"type": "integer"}, [1, 1.0, -3], [1.5, True, "1"]),
+        ({"type": ["integer", "boolean"]}, [1.0, False], [0.5, None]),
+        ({"enum": [1, "a", {"k": [1]}]}, [1, 1.0, "a", {"k": [1.0]}], [True, "b", {"k": [True]}, {"k": [1], "l": 2}]),
+        ({"enum": [True]}, [True], [1, False]),
+        ({"type": "object", "properties": {"n": {"type": ["number", "null"], "minimum": 2}}}, [{"n": None}, {"n": 2.5}, {}], [{"n": 1}, {"n": "2"}]),
+        ({}, [None, 1, {}], []),
+    ],
+)
+def test_schemas(schema, good, bad):
+    assert not [v for v in good if toolcalls.violations(v, schema)] and all(toolcalls.violations(v, schema) for v in bad)
