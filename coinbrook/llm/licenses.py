@@ -154,12 +154,14 @@ _KEY = ["doc_id", "h1", "h2", "n_words"]
 def votes(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """The document's key, template, diagonal, pos and t_pos of every match; template -1 once for each row of ``df``."""
     docs = documents(df).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), words_of(F.col("text")).alias("w"))
-    # Each place carries its few words, never the text: a text's work grows with its length.
+    # Each place carries its few words, never the text, and takes them one by one (a slice would copy the whole array): a text's work grows with its length.
+    # The number of words is taken inside too: beside the explosion it would keep the words of the text there.
+    n_words = F.size("w").cast("long").alias("n_words")
     longest = max([GRAM, *(len(t.words.split()) for t in templates if t.base)])
-    places = F.transform(F.sequence(F.lit(0), F.size("w") - PAIR), lambda i: F.struct(F.xxhash64(F.col("w")[i], F.col("w")[i + 1]).alias("pair"), F.slice("w", i + 1, longest).alias("gram")))
-    none = F.array().cast("array<struct<pair:bigint,gram:array<string>>>")
-    own = F.array(F.struct(F.xxhash64(F.lit(""), F.lit("")).alias("pair"), F.array().cast("array<string>").alias("gram")))
-    each = docs.select("doc_id", "h1", "h2", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(own, F.when(F.size("w") >= PAIR, places).otherwise(none))).alias("p", "place")).select(*_KEY, "p", "place.*")
+    places = F.transform(F.sequence(F.lit(0), F.size("w") - PAIR), lambda i: F.struct(F.xxhash64(F.col("w")[i], F.col("w")[i + 1]).alias("pair"), F.array(*[F.get("w", i + j) for j in range(longest)]).alias("gram"), n_words))
+    none = F.array().cast("array<struct<pair:bigint,gram:array<string>,n_words:bigint>>")
+    own = F.array(F.struct(F.xxhash64(F.lit(""), F.lit("")).alias("pair"), F.array().cast("array<string>").alias("gram"), n_words))
+    each = docs.select("doc_id", "h1", "h2", F.posexplode(F.concat(own, F.when(F.size("w") >= PAIR, places).otherwise(none))).alias("p", "place")).select("doc_id", "h1", "h2", "p", "place.*")
     table = F.broadcast(template_grams(df.sparkSession, templates))
     # The own row comes first, so a pair that starts at word i is at i + 1.
     same = (F.col("template") == -1) & (F.col("p") == 0) | (F.col("template") >= 0) & (F.col("p") > 0) & (F.slice("gram", 1, F.col("k")) == F.col("t_gram"))
