@@ -69,9 +69,10 @@ def group_members(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def takeaways(currencies: DataFrame) -> DataFrame:
-    """One sentence for each currency. Zero is an inflow, so a balanced net reads as income above spending."""
+    """One sentence for each currency."""
     from coinbrook.functions.money import render
 
     net = F.col("net_cash_flow")
-    lead = F.when(net >= 0, "Income exceeds spending by ").otherwise("Spending exceeds income by ")
-    return currencies.select("currency", F.concat(lead, "currency", F.lit(" "), render(F.abs(net)), F.lit(".")).alias("takeaway"))
+    apart = F.concat(F.when(net > 0, "Income exceeds spending by ").otherwise("Spending exceeds income by "), "currency", F.lit(" "), render(F.abs(net)), F.lit("."))
+    balanced = F.concat(F.lit("Income and spending are balanced at "), "currency", F.lit(" 0."))
+    return currencies.select("currency", F.when(net == 0, balanced).otherwise(apart).alias("takeaway"))

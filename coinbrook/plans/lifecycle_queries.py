@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.operators import lifecycles, recurring
+from coinbrook.operators import knowledge, lifecycles, recurring
 from coinbrook.plans import ledgers as L
 from coinbrook.plans.match_queries import _SERIES
+from coinbrook.plans.workspace_queries import fresh
+from coinbrook.streaming import restores, snapshots
+from coinbrook.streaming.snapshots import Change
 
 QUERIES: dict = {}
 
@@ -127,3 +130,40 @@ def _judged(spark, sf_dir) -> DataFrame:
     proposals = proposals.withColumn("outflow_amount", F.when(stale, F.col("outflow_amount") + 1).otherwise(F.col("outflow_amount")).cast("decimal(18,2)"))
     links = spark.createDataFrame([], "signature string, status string, outflow_id long, inflow_id long")
     return lifecycles.judged_confirmations(pairs.select("seq", "signature"), proposals, posted, links)
+
+
+# Restores of parts into a workspace that has other parts, and suggestions on orders.
+
+_OWN = "own AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 <> 0), theirs AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END AS name FROM part WHERE p_partkey % 3 <> 1)"
+
+
+def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p = L.table(spark, sf_dir, "part")
+    named = lambda cond, name: p.filter(cond).select(F.col("p_partkey").alias("id"), name.alias("name"))
+    return named("p_partkey % 3 <> 0", F.col("p_name")), named("p_partkey % 3 <> 1", F.when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).otherwise(F.col("p_name")))
+
+
+@register(f"""WITH {_OWN} SELECT 'merge' AS mode, id, name FROM own UNION ALL SELECT 'merge', id, name FROM theirs WHERE id NOT IN (SELECT id FROM own) UNION ALL SELECT 'new', id, name FROM theirs UNION ALL SELECT 'replace', id, name FROM theirs
+UNION ALL SELECT 'conflict', id, NULL FROM own JOIN theirs USING (id) WHERE own.name <> theirs.name""")
+def restores_in_all_modes(spark, sf_dir):
+    own, theirs = _parts(spark, sf_dir)
+    out = []
+    for mode in restores.MODES:
+        path = fresh(spark)
+        at = snapshots.Snapshot() if mode == "new" else snapshots.commit(spark, path, snapshots.Snapshot(), {"parts": Change(own), "other": Change(own)})
+        new = restores.restore(spark, path, at, {"parts": theirs}, {"parts": "id"}, mode, knowledge.manifest({"parts": theirs}))
+        out.append(snapshots.table(spark, path, new, "parts").select(F.lit(mode).alias("mode"), "id", "name"))
+    clash = restores.conflicts({"parts": own}, {"parts": theirs}, {"parts": "id"})
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(clash.select(F.lit("conflict").alias("mode"), F.col("key").cast("long").alias("id"), F.lit(None).cast("string").alias("name")))
+
+
+@register("""SELECT o_orderkey AS suggestion_id, CASE WHEN o_orderkey % 5 = 0 THEN 'is rejected' WHEN o_orderkey % 7 = 0 THEN 'abstention' WHEN o_orderkey % 3 = 0 THEN 'changed' WHEN o_orderpriority = '5-LOW' OR o_custkey % 2 = 0 THEN 'resolved' END AS problem,
+CASE WHEN o_orderkey % 5 = 0 THEN 'rejected' WHEN o_orderkey % 7 = 0 THEN 'pending' WHEN o_orderkey % 3 = 0 OR o_orderpriority = '5-LOW' OR o_custkey % 2 = 0 THEN 'stale' ELSE 'accepted' END AS new_status FROM orders""")
+def suggestions_accepted(spark, sf_dir):
+    """A suggestion an order: some rejected before, some abstentions, some of rows that have changed, are locked or out of the queue."""
+    o = L.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    suggestions = o.select(k.alias("suggestion_id"), F.when(k % 5 == 0, "rejected").otherwise("pending").alias("status"), F.when(k % 7 == 0, "abstain").otherwise("category").alias("kind"), k.alias("txn_id"), F.when(k % 3 == 0, k - 1).otherwise(k).alias("updated_at"), F.lit("food").alias("category_id"))
+    ledger = o.select(k.alias("txn_id"), k.alias("updated_at"), (F.col("o_custkey") % 2 == 0).alias("category_locked"), F.lit(False).alias("merchant_locked"))
+    queue = o.filter("o_orderpriority <> '5-LOW'").select(k.alias("txn_id"))
+    return restores.judged_suggestions(o.select(k.alias("suggestion_id"), F.lit(None).cast("string").alias("merchant_id")), suggestions, ledger, queue).select("suggestion_id", "problem", "new_status")

@@ -189,9 +189,13 @@ def transfer_void_cascade(spark, sf_dir):
 _REPORT = "r AS ({})".format(cash_queries.QUERIES["cash_flow_by_currency"][1])
 
 
-@register(f"WITH {_REPORT}, p AS (SELECT currency, net_cash_flow >= 0 AS up, CAST(abs(net_cash_flow) AS VARCHAR) AS net FROM r) SELECT currency, CASE WHEN up THEN 'Income exceeds spending by ' ELSE 'Spending exceeds income by ' END || currency || ' ' || regexp_replace(regexp_replace(net, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || '.' AS takeaway FROM p")
+@register(f"""WITH {_REPORT}, p AS (SELECT currency, net_cash_flow AS net FROM r UNION ALL SELECT currency || '0', net_cash_flow - net_cash_flow FROM r), t AS (SELECT *, regexp_replace(regexp_replace(CAST(abs(net) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS size FROM p)
+SELECT currency, CASE WHEN net = 0 THEN 'Income and spending are balanced at ' || currency || ' 0.' WHEN net > 0 THEN 'Income exceeds spending by ' || currency || ' ' || size || '.' ELSE 'Spending exceeds income by ' || currency || ' ' || size || '.' END AS takeaway FROM t""")
 def dashboard_takeaways(spark, sf_dir):
-    return dashboard.takeaways(cash_queries.QUERIES["cash_flow_by_currency"][0](spark, sf_dir))
+    """Each currency's sentence, and that of a currency whose flows cancel out."""
+    found = cash_queries.QUERIES["cash_flow_by_currency"][0](spark, sf_dir).select("currency", "net_cash_flow")
+    even = found.select(F.concat("currency", F.lit("0")).alias("currency"), (F.col("net_cash_flow") - F.col("net_cash_flow")).alias("net_cash_flow"))
+    return dashboard.takeaways(found.unionByName(even))
 
 
 @register(f"WITH {L.LEDGER}, {L.CATEGORIES} SELECT l.currency, CASE WHEN c.kind = 'transfer' THEN 'transfer' WHEN amount >= 0 THEN 'income' ELSE 'spending' END AS flow, txn_id FROM ledger l LEFT JOIN categories c USING (category_id) WHERE status <> 'void'")
