@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.operators import knowledge, lifecycles, recurring
+from coinbrook.operators import entities, knowledge, lifecycles, recurring, rules
 from coinbrook.plans import ledgers as L
 from coinbrook.plans.match_queries import _SERIES
 from coinbrook.plans.workspace_queries import fresh
@@ -167,3 +167,89 @@ def suggestions_accepted(spark, sf_dir):
     ledger = o.select(k.alias("txn_id"), k.alias("updated_at"), (F.col("o_custkey") % 2 == 0).alias("category_locked"), F.lit(False).alias("merchant_locked"))
     queue = o.filter("o_orderpriority <> '5-LOW'").select(k.alias("txn_id"))
     return restores.judged_suggestions(o.select(k.alias("suggestion_id"), F.lit(None).cast("string").alias("merchant_id")), suggestions, ledger, queue).select("suggestion_id", "problem", "new_status")
+
+
+# Commands and checks that had no query yet.
+
+
+@register("""WITH r AS (SELECT * FROM (SELECT c_custkey, c_mktsegment || ' ' || c_nationkey AS cond, c_custkey % 3 AS priority, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) WHERE i <= 10000)
+SELECT 'r' || a.c_custkey AS rule_a, 'r' || b.c_custkey AS rule_b, CASE WHEN a.priority > b.priority THEN 'shadowed' ELSE 'overlapping' END AS overlap FROM r a JOIN r b ON a.cond = b.cond AND a.c_custkey <> b.c_custkey""")
+def rule_overlaps_of_table(spark, sf_dir):
+    """Rules that ask for a customer's segment and nation; a rule table has 10,000 rows at most."""
+    c = L.table(spark, sf_dir, "customer").orderBy("c_custkey").limit(rules.MAX_RULES)
+    made = [rules.Rule(f"r{r.c_custkey}", "n", r.c_custkey % 3, (rules.Condition("normalizedDescription", "contains", f"{r.c_mktsegment} {r.c_nationkey}"),)) for r in c.select("c_custkey", "c_mktsegment", "c_nationkey").collect()]
+    return rules.overlaps(spark, made)
+
+
+@register("""WITH own AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0)) SELECT 'transactions' AS section, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM own
+UNION ALL SELECT 'fingerprints', count(*), sum(l_orderkey) FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey IN (SELECT o_orderkey FROM own)""")
+def backup_closure(spark, sf_dir):
+    """The orders of the customers of every other nation, and what hangs on these."""
+    accounts = L.table(spark, sf_dir, "customer").filter("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("account_id"))
+    rows = L.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").alias("account_id"))
+    prints = L.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("txn_id")).distinct()
+    count = lambda name, df: df.agg(F.count("*").alias("n"), F.sum("txn_id").alias("keys")).select(F.lit(name).alias("section"), "n", "keys")
+    own, theirs = knowledge.closure(accounts, rows, prints)
+    return count("transactions", own).unionByName(count("fingerprints", theirs))
+
+
+@register("""WITH c AS (SELECT 'p' || p_partkey AS category_id, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 4 THEN 'none' ELSE 'p' || (p_partkey - 1) END AS parent_id FROM part)
+SELECT category_id, 'no such parent' AS problem FROM c WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT category_id FROM c) UNION ALL SELECT a.category_id, 'more than three levels' FROM c a JOIN c b ON a.parent_id = b.category_id JOIN c d ON b.parent_id = d.category_id WHERE d.parent_id IS NOT NULL""")
+def category_hierarchy_problems(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    parents = F.when(k % 5 == 0, None).when(k % 5 == 4, "none").otherwise(name(k - 1))
+    return knowledge.category_problems(L.table(spark, sf_dir, "part").select(name(k).alias("category_id"), parents.alias("parent_id")))
+
+
+@register("""WITH old AS (SELECT DISTINCT 'm' || c_nationkey AS merchant_id, lower(c_mktsegment) AS pattern FROM customer WHERE c_custkey % 2 = 0), new AS (SELECT DISTINCT 'm' || c_nationkey AS merchant_id, lower(c_mktsegment) AS pattern FROM customer)
+SELECT merchant_id, pattern FROM old UNION SELECT merchant_id, pattern FROM new""")
+def aliases_added(spark, sf_dir):
+    """Aliases of half of the customers, and those that all of them add."""
+    c = L.table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), F.col("c_nationkey").cast("string")).alias("merchant_id"), F.lower("c_mktsegment").alias("pattern"), F.lit("exact").alias("match_mode"), "c_custkey")
+    return entities.add_aliases(c.filter("c_custkey % 2 = 0").drop("c_custkey").distinct(), c.drop("c_custkey")).select("merchant_id", "pattern")
+
+
+@register("""WITH m AS (SELECT 'm' || c_custkey AS merchant_id FROM customer), a AS (SELECT DISTINCT 'm' || c_custkey % 50 AS merchant_id, lower(c_mktsegment) AS pattern FROM customer)
+SELECT merchant_id, merchant_id = 'm1' AS archived, CASE WHEN merchant_id = 'm1' THEN 'm2' END AS redirect_to, CAST(coalesce(n, 0) AS BIGINT) AS n_aliases FROM m LEFT JOIN (SELECT CASE WHEN merchant_id = 'm2' THEN 'm2' ELSE merchant_id END AS merchant_id, count(DISTINCT pattern) AS n FROM (SELECT * FROM a UNION ALL SELECT 'm2', pattern FROM a WHERE merchant_id = 'm1') GROUP BY 1) USING (merchant_id)""")
+def merchants_merged(spark, sf_dir):
+    """The first customer's merchant is merged into the second's."""
+    c = L.table(spark, sf_dir, "customer")
+    name = lambda k: F.concat(F.lit("m"), k.cast("string"))
+    merchants = c.select(name(F.col("c_custkey")).alias("merchant_id"), F.lit(False).alias("archived"), F.lit(None).cast("string").alias("redirect_to"))
+    aliases = c.select(name(F.col("c_custkey") % 50).alias("merchant_id"), F.lower("c_mktsegment").alias("pattern"), F.lit("exact").alias("match_mode")).distinct()
+    m, a = entities.merge_merchants(merchants, aliases, "m1", "m2")
+    return m.join(a.groupBy("merchant_id").agg(F.count("*").alias("n")), "merchant_id", "left").select("merchant_id", "archived", "redirect_to", F.coalesce("n", F.lit(0)).alias("n_aliases"))
+
+
+@register("""SELECT CAST(count(*) FILTER (p_partkey % 4 = 1 AND p_partkey % 3 <> 0) AS BIGINT) AS open_conflicts, CAST(count(*) FILTER (p_partkey % 4 = 2 AND p_partkey % 5 <> 0) AS BIGINT) AS open_duplicates, count(*) FILTER (p_partkey % 4 = 1 AND p_partkey % 3 <> 0) = 0 AND count(*) FILTER (p_partkey % 4 = 2 AND p_partkey % 5 <> 0) = 0 AS ok FROM part""")
+def brain_apply_gate(spark, sf_dir):
+    """A plan with a row a part: conflicts of which one in three is resolved, duplicates of which one in five is acknowledged."""
+    p = L.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    plan = p.select("id", F.when(F.col("id") % 4 == 1, "conflict").otherwise("update").alias("change"))
+    doubled = p.filter("id % 4 = 2").select(F.col("id").alias("incoming_id"))
+    return knowledge.can_apply(plan, doubled, p.filter("id % 3 = 0"), p.filter("id % 5 = 0").select(F.col("id").alias("incoming_id")))
+
+
+@register("SELECT 'p' || p_size % 5 AS profile, p_brand AS workload, 'price' AS metric, CAST(max(p_retailprice) AS DOUBLE) AS after FROM part GROUP BY ALL HAVING max(p_retailprice) > 1.2 * min(p_retailprice)")
+def performance_regressions(spark, sf_dir):
+    """The least price of some sizes of a brand as the baseline, the greatest as what is compared."""
+    p = L.table(spark, sf_dir, "part").groupBy(F.concat(F.lit("p"), (F.col("p_size") % 5).cast("string")).alias("profile"), F.col("p_brand").alias("workload"), F.lit("price").alias("metric")).agg(F.min("p_retailprice").cast("double").alias("low"), F.max("p_retailprice").cast("double").alias("high"))
+    key = ["profile", "workload", "metric"]
+    return knowledge.performance_regressions(p.select(*key, F.col("low").alias("median")), p.select(*key, F.col("high").alias("median"))).select(*key, "after")
+
+
+@register("SELECT section FROM (SELECT 'orders' AS section UNION ALL SELECT 'gone' UNION ALL SELECT 'new')")
+def manifest_differences(spark, sf_dir):
+    """Of all orders but one as a section, of customers unchanged, and of sections that one side lacks."""
+    o, c = (L.table(spark, sf_dir, t) for t in ("orders", "customer"))
+    before = knowledge.manifest({"orders": o, "customers": c, "gone": c})
+    last = o.agg(F.max("o_orderkey").alias("o_orderkey"))
+    return knowledge.verify_manifest(before, {"orders": o.join(last, "o_orderkey", "left_anti").select(*o.columns), "customers": c, "new": c})
+
+
+@register(f"{_KEYS}, parts AS (SELECT txn_id, count(*) AS n FROM k GROUP BY txn_id) SELECT max(n) = 1 AS exact FROM parts")
+def members_are_partition(spark, sf_dir):
+    """Whether the members of all series are in one series each."""
+    _, members = _decided(spark, sf_dir)
+    return recurring.is_partition(members.select("txn_id"), members.select(F.col("signature").alias("part"), "txn_id"))
