@@ -231,12 +231,12 @@ def brain_apply_gate(spark, sf_dir):
     return knowledge.can_apply(plan, doubled, p.filter("id % 3 = 0"), p.filter("id % 5 = 0").select(F.col("id").alias("incoming_id")))
 
 
-@register("SELECT 'p' || p_size % 5 AS profile, p_brand AS workload, 'price' AS metric, CAST(max(p_retailprice) AS DOUBLE) AS after FROM part GROUP BY ALL HAVING max(p_retailprice) > 1.2 * min(p_retailprice)")
+@register("SELECT o_orderpriority AS profile, o_orderstatus AS workload, 'c' || o_custkey % 40 AS metric, CAST(arg_max(o_totalprice, o_orderkey) AS DOUBLE) AS after FROM orders GROUP BY ALL HAVING CAST(arg_max(o_totalprice, o_orderkey) AS DOUBLE) > 1.2 * CAST(arg_min(o_totalprice, o_orderkey) AS DOUBLE)")
 def performance_regressions(spark, sf_dir):
-    """The least price of some sizes of a brand as the baseline, the greatest as what is compared."""
-    p = L.table(spark, sf_dir, "part").groupBy(F.concat(F.lit("p"), (F.col("p_size") % 5).cast("string")).alias("profile"), F.col("p_brand").alias("workload"), F.lit("price").alias("metric")).agg(F.min("p_retailprice").cast("double").alias("low"), F.max("p_retailprice").cast("double").alias("high"))
+    """The price of a group's first order as the baseline, that of its last as what is compared."""
     key = ["profile", "workload", "metric"]
-    return knowledge.performance_regressions(p.select(*key, F.col("low").alias("median")), p.select(*key, F.col("high").alias("median"))).select(*key, "after")
+    o = L.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("profile"), F.col("o_orderstatus").alias("workload"), F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("metric")).agg(F.min_by("o_totalprice", "o_orderkey").cast("double").alias("old"), F.max_by("o_totalprice", "o_orderkey").cast("double").alias("new"))
+    return knowledge.performance_regressions(o.select(*key, F.col("old").alias("median")), o.select(*key, F.col("new").alias("median"))).select(*key, "after")
 
 
 @register("SELECT section FROM (SELECT 'orders' AS section UNION ALL SELECT 'gone' UNION ALL SELECT 'new')")
