@@ -5,6 +5,11 @@ the last return the columns of documents (doc_id, text, lang, source, n_chars);
 columns are dropped, missing ones are null. Rows are told apart by id and text: a row that
 repeats both goes or stays with its twin in the filters, except that the near-duplicate
 stage keeps one row of each group. The result of the whole has no SQL form.
+
+Defined results: a null or empty text has no words and goes at the first stage; if one comes
+to a later stage, it holds no item and no personal data, and has no token. Very long texts
+are read whole by every stage. An unknown id is an id of its own. An empty table gives an
+empty table of the same columns at every stage.
 """
 
 from __future__ import annotations
