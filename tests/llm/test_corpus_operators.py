@@ -279,5 +279,6 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert 50_002 in leaks and Counter(ids[2]) == Counter(x for x in ids[1] if x not in leaks)
     assert ids[3] == ids[2] and {r.doc_id: r.text for r in kept[3].collect()}[50_003].startswith("mail <EMAIL> u0")
     assert Counter(ids[4]) == Counter(ids[3])
-    for x in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.tokens):
-        assert x(spark, rows.empty(spark), sf).count() == 0
+    for (_, stage), x in zip(corpus_pipeline.STAGES, kept, strict=True):
+        none = stage(spark, rows.empty(spark), sf)
+        assert none.count() == 0 and none.columns == x.columns
