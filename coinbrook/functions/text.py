@@ -107,12 +107,3 @@ def issue_code(field: Column) -> Column:
 def fingerprint(*parts: Column) -> Column:
     """SHA-256 of the parts joined by U+0000; null parts are empty."""
     return F.sha2(F.concat_ws("\x00", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
-
-
-def fnv1a32(text: Column) -> Column:
-    """FNV-1a over UTF-16 units as eight hex digits, of short keys such as header lists: a fold over the units' numbers in built-in functions."""
-    digits = F.hex(F.encode(text, "UTF-16BE"))  # four to a unit: a character beyond the first plane has two
-    units = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(4)), lambda i: F.conv(F.substring(digits, i, F.lit(4)), 16, 10).cast("long"))
-    mask = F.lit(0xFFFFFFFF).cast("long")
-    folded = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193).cast("long")).bitwiseAND(mask))
-    return F.lpad(F.lower(F.hex(F.when(F.length(text) > 0, folded).otherwise(F.lit(0x811C9DC5).cast("long")))), 8, "0")

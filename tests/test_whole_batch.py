@@ -1,10 +1,8 @@
-"""Duplicates of every row of the ledger and of one batch with itself; ranks in groups; header keys."""
+"""Duplicates of every row of the ledger and of one batch with itself; ranks in groups."""
 
 import random
 
-from pyspark.sql import functions as F
 
-from coinbrook.functions import text
 from coinbrook.operators import duplicates, knowledge
 from coinbrook.plans import registry
 from tests.test_ledger import frame, txn
@@ -49,18 +47,6 @@ def test_value_at_rank(spark):
         assert got == {k: sorted(vs, key=lambda v: (v is not None, v or 0))[min(len(vs) - 1, int(len(vs) * p))] for k, vs in groups.items()}
 
 
-def test_header_key_folds_utf16_units(spark):
-    def brute(text):
-        h, data = 0x811C9DC5, text.encode("utf-16-be")
-        for at in range(0, len(data), 2):
-            h = (h ^ int.from_bytes(data[at : at + 2], "big")) * 0x01000193 & 0xFFFFFFFF
-        return f"{h:08x}"
-
-    texts = ["", "a", "date|amount", "é|ß", "x\U0001f600y"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.fnv1a32(F.col("t")).alias("h")).collect()
-    assert {r.t: r.h for r in got} == {t: brute(t) for t in texts}
-
-
 def test_within_batch(spark):
     rows = frame(spark, txn(1, "-5", description="Blue Bottle Coffee"), txn(2, "-5.00", "2026-07-02", description="BLUE bottle"), txn(3, "-6", description="Blue Bottle Coffee"), txn(4, "-5", "2026-07-20", description="Blue Bottle Coffee")).selectExpr("*", "cast(null as string) source_id")
     got = [(r.existing_id, r.incoming_id, r.kind) for r in duplicates.within_batch(rows).collect()]
