@@ -66,33 +66,34 @@ def transaction_documents(ledger: DataFrame) -> DataFrame:
 
 def decoded(documents: DataFrame) -> DataFrame:
     """Rows (document) with problem and the columns of a ledger; what is refused has a problem and no columns."""
-    value = parsed(F.col("document"))
-    d = F.from_json("document", DOCUMENT)
-    rows = documents.withColumns({"v": value, "d": d})
-    is_object = F.schema_of_variant("v").startswith("OBJECT")
-    missing = F.filter(F.array(*[F.when(F.col(f"d.{k}").isNull(), F.lit(k)) for k in _REQUIRED]), lambda x: x.isNotNull())
-    amount = F.expr("try_cast(d.amount AS DECIMAL(38,10))")
-    day = lambda k: F.to_date(F.when(F.col(f"d.{k}").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr(f"try_cast(d.{k} AS DATE)")))
-    tags = F.coalesce(F.col("d.tags"), F.array().cast("array<string>"))
-    problem = (
-        F.when(F.col("v").isNull(), "no JSON")
-        .when(~F.coalesce(is_object, F.lit(False)), "no object")
-        .when(~F.col("d.schemaVersion").eqNullSafe(VERSION), "unsupported version")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
-        .when(amount.isNull() | ~F.col("d.amount").rlike(r"^-?\d+(\.\d+)?$"), "invalid amount")
-        .when(day("postedDate").isNull() | (F.col("d.transactionDate").isNotNull() & day("transactionDate").isNull()), "invalid date")
-        .when(~F.col("d.currency").rlike("^[A-Z]{3}$"), "invalid currency")
-        .when(~F.col("d.status").isin("pending", "posted", "void"), "invalid status")
-        .when(~F.col("d.reviewState").isin("unreviewed", "needsReview", "reviewed"), "invalid review state")
-        .when(~F.length(F.trim("d.description")).between(1, 1000), "invalid description")
-        .when((F.size(tags) > 50) | (F.size(F.array_distinct(tags)) < F.size(tags)) | F.exists(tags, lambda t: ~F.length(t).between(1, 60)), "invalid tags")
-    )
-    rows = rows.withColumn("problem", problem)
-    good = lambda c: F.when(F.col("problem").isNull(), c)
-    columns = [good(F.col(f"d.{k}")).alias(c) for k, c in _FIELDS.items()]
-    more = [good(day("postedDate")).alias("posted_date"), good(day("transactionDate")).alias("transaction_date"), good(amount).alias("amount"), good(tags).alias("tags")]
-    locks = [good(F.coalesce(F.col(f"d.classifications.{k}.locked"), F.lit(False))).alias(f"{k}_locked") for k in ("category", "merchant")]
-    return rows.select(*documents.columns, "problem", *columns, *more, *locks)
+
+    def read(v: Column, d: Column) -> Column:
+        is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        missing = F.filter(F.array(*[F.when(d[k].isNull(), F.lit(k)) for k in _REQUIRED]), lambda x: x.isNotNull())
+        amount = d["amount"].try_cast("decimal(38,10)")
+        day = lambda k: F.when(d[k].rlike(r"^\d{4}-\d{2}-\d{2}$"), d[k].try_cast("date"))
+        tags = F.coalesce(d["tags"], F.array().cast("array<string>"))
+        problem = (
+            F.when(v.isNull(), "no JSON")
+            .when(~is_object, "no object")
+            .when(~d["schemaVersion"].eqNullSafe(VERSION), "unsupported version")
+            .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+            .when(amount.isNull() | ~d["amount"].rlike(r"^-?\d+(\.\d+)?$"), "invalid amount")
+            .when(day("postedDate").isNull() | (d["transactionDate"].isNotNull() & day("transactionDate").isNull()), "invalid date")
+            .when(~d["currency"].rlike("^[A-Z]{3}$"), "invalid currency")
+            .when(~d["status"].isin("pending", "posted", "void"), "invalid status")
+            .when(~d["reviewState"].isin("unreviewed", "needsReview", "reviewed"), "invalid review state")
+            .when(~F.length(F.trim(d["description"])).between(1, 1000), "invalid description")
+            .when((F.size(tags) > 50) | (F.size(F.array_distinct(tags)) < F.size(tags)) | F.exists(tags, lambda t: ~F.length(t).between(1, 60)), "invalid tags")
+        )
+        columns = [d[k].alias(c) for k, c in _FIELDS.items()] + [day("postedDate").alias("posted_date"), day("transactionDate").alias("transaction_date"), amount.alias("amount"), tags.alias("tags")]
+        locks = [F.coalesce(d["classifications"][k]["locked"], F.lit(False)).alias(f"{k}_locked") for k in ("category", "merchant")]
+        return F.struct(problem.alias("problem"), F.struct(*columns, *locks).alias("row"))
+
+    # Parsed once a row, whatever is asked of it.
+    one = _bound(F.col("document"), lambda text: _bound(F.struct(parsed(text).alias("v"), F.from_json(text, DOCUMENT).alias("d")), lambda x: read(x["v"], x["d"])))
+    rows = documents.withColumn("_one", one)
+    return rows.select(*documents.columns, F.col("_one.problem").alias("problem"), F.when(F.col("_one.problem").isNull(), F.col("_one.row")).alias("_row")).select(*documents.columns, "problem", "_row.*")
 
 
 def key_paths(documents: DataFrame, key: str, body: str) -> DataFrame:
