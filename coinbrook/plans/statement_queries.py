@@ -78,7 +78,7 @@ def ofx_statement_rejected(spark, sf_dir):
 
 @register("SELECT CAST(o_orderkey AS VARCHAR) AS path, 'STMTRS:1' AS statement, 'savings' AS account_type, 'USD' AS currency, '10.00' AS ledger_balance, CAST(NULL AS VARCHAR) AS available_balance, '••••' || right(lpad(CAST(o_custkey AS VARCHAR), 9, '0'), 4) AS masked_number FROM orders")
 def ofx_statement_accounts(spark, sf_dir):
-    return ofx_statement.accounts(ofx_statement.parsed(_ofx_files(spark, sf_dir)))
+    return ofx_statement.accounts(ofx_statement.parsed(_ofx_files(spark, sf_dir))).drop("start_date", "end_date", "ledger_balance_date")
 
 
 # PDF: one page a customer, signed or in two columns, dates in four forms.

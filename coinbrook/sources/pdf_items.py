@@ -1,7 +1,8 @@
 """Statement rows from positioned text of PDF pages.
 
 Input: items (doc, page, x, y, width, text) that a PDF library has taken out; reading the
-binary format is out of scope. Lines of a page are grouped in order of first sight, which
+binary format is out of scope. ``snapped`` and ``refused`` are what an extraction owes
+before its items become lines. Lines of a page are grouped in order of first sight, which
 has no form as a join or window, so a page (bounded) is one group. The first line that has
 the headings of a table gives the columns' places; lines are cut into cells by them. A line
 with a date opens a transaction, undated ones continue its description, headings, summary
@@ -36,9 +37,60 @@ SUMMARY = r"(?i)\b(opening balance|closing balance|balance (brought|carried) for
 CURRENCY = r"\b(USD|CAD|EUR|GBP|AUD|JPY|CHF|NZD)\b"
 AMOUNT = r"^\(?\s*-?\$?\s*(\d{1,3}(,\d{3})*|\d+)\.\d{2}\s*\)?-?$"
 
+#: Fixed limits of a document, and the grid of its coordinates.
+MAX_PAGES, MAX_ITEMS, MAX_ITEM_LENGTH, MAX_LENGTH, LEAST_LENGTH, GRID = 100, 20_000, 2_000, 4 << 20, 24, 2
+#: Least distance of a layout's score from the next one's.
+MARGIN = 0.1
+
 _CELL = "struct<x:double,text:string>"
 
 
+def _length(text: Column) -> Column:
+    """UTF-16 units, in which the limits are stated; null is 0."""
+    return F.coalesce(F.octet_length(F.encode(text, "UTF-16BE")) / 2, F.lit(0)).cast("long")
+
+
+def snapped(items: DataFrame) -> DataFrame:
+    """Items with text of at most MAX_ITEM_LENGTH, at multiples of GRID (halves go up); raw_x and raw_y keep the place. What is no finite number is 0."""
+    finite = lambda c: F.when(F.isnan(c) | F.abs(c).isin(float("inf")), 0.0).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    x = items.filter(_length(F.col("text")).between(1, MAX_ITEM_LENGTH)).withColumns({"raw_x": finite("x"), "raw_y": finite("y"), "width": finite("width")})
+    grid = lambda c: F.floor(F.col(c) / GRID + 0.5).cast("double") * GRID
+    return x.withColumns({"x": grid("raw_x"), "y": grid("raw_y")})
+
+
+def refused(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc and code of each document (doc, n_pages) that is not read, by its items as they came: no page, too many pages, too many items on a page or too much text, or less text than a page that is no image has. The first reason that holds counts.
+
+    Two aggregations with partial sums, first by page; items of unknown documents are ignored, documents without items are images.
+    """
+    length = _length(F.col("text"))
+    own = F.when(length <= MAX_ITEM_LENGTH, length).otherwise(0)
+    by_page = items.groupBy("doc", "page").agg(F.count("*").alias("n"), F.sum(own).alias("chars"))
+    whole = documents.join(by_page.groupBy("doc").agg(F.max("n").alias("most"), F.sum("chars").alias("chars")), "doc", "left")
+    chars = F.coalesce("chars", F.lit(0))
+    code = (
+        F.when(F.coalesce("n_pages", F.lit(0)) < 1, "MALFORMED_DOCUMENT")
+        .when(F.col("n_pages") > MAX_PAGES, "PAGE_LIMIT_EXCEEDED")
+        .when((F.col("most") > MAX_ITEMS) | (chars > MAX_LENGTH), "TEXT_LIMIT_EXCEEDED")
+        .when(chars < LEAST_LENGTH, "IMAGE_ONLY_DOCUMENT")
+    )
+    return whole.select("doc", code.alias("code")).filter("code is not null")
+
+
+def selected(detections: DataFrame) -> DataFrame:
+    """doc, layout, score and problem, a row for each document of ``detections`` (doc, ordinal, layout, score, minimum: what each known layout makes of it).
+
+    The best score wins if it reaches its layout's minimum, and if the next one does not
+    reach its own or is at least MARGIN below; else layout is null and problem says why. Of
+    equal scores the smaller ordinal comes first. A group has a row for each known layout.
+    """
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "ordinal", "layout", "score", "minimum")))
+    best = detections.groupBy("doc").agg(ranked.alias("r")).select("doc", F.get("r", F.lit(0)).alias("top"), F.get("r", F.lit(1)).alias("next"))
+    close = (F.col("next.score") >= F.col("next.minimum")) & (F.round(F.col("top.score") - F.col("next.score"), 9) < MARGIN)
+    problem = F.when(F.col("top.score") < F.col("top.minimum"), "no layout is likely enough").when(F.coalesce(close, F.lit(False)), "several layouts are as likely")
+    return best.select("doc", F.when(problem.isNull(), F.col("top.layout")).alias("layout"), F.col("top.score").alias("score"), problem.alias("problem"))
+
+
 def _grouped(items: list[dict]) -> list[tuple[str, list[dict]]]:
     """Text and cells of a page's lines; items come down the page and from left to right."""
     found: list[tuple[float, list]] = []

@@ -150,3 +150,39 @@ def test_stream_takes_files_once(spark, tmp_path):
     assert at_now.number == 3 and sorted(at_now.taken.values()) == [0, 1]
     tables = snapshots.read(spark, target, at_now)
     assert sorted((r.n_rows, r.n_review) for r in tables["imports"].collect()) == [(1, 0), (1, 0), (1, 1)] and tables["fingerprints"].count() == 3
+
+
+def test_ofx_encodings_at_the_edges():
+    body = "<OFX>é</OFX>"
+    sgml = lambda fields: f"OFXHEADER:100\r\n{fields}\r\n\r\n".encode()
+    assert ofx_statement.decode(sgml("ENCODING:USASCII\r\nCHARSET:NONE") + body.encode("cp1252")).endswith(body)
+    assert ofx_statement.decode(sgml("CHARSET:1252") + body.encode()).endswith(body)  # without ENCODING it is UTF-8 ...
+    assert ofx_statement.decode(sgml("CHARSET:1252") + body.encode("cp1252")).endswith(body)  # ... unless it can't be
+    assert ofx_statement.decode(b'<?xml version="1.0" encoding="latin1"?>\x80\x81') == '<?xml version="1.0" encoding="latin1"?>€\x81'
+    assert ofx_statement.decode(b"") == ""
+    for data, code in ((b"\xff\xfe\x00", "DECODE_FAILED"), (b"\xef\xbb\xbf" + sgml("ENCODING:LATIN1"), "UNSUPPORTED_ENCODING"), (sgml("") + b"\xff", "DECODE_FAILED"), (b"", "MALFORMED_DOCUMENT"), (b"<OFX></OFX>", "MALFORMED_DOCUMENT"), (b"<OFX>" + b"<A>" * 70, "ELEMENT_LIMIT_EXCEEDED")):
+        with pytest.raises(ofx_statement.Refused, match=code):
+            ofx_statement.statements(data)
+
+
+def test_pdf_refusals_and_grid(spark, monkeypatch):
+    monkeypatch.setattr(pdf_items, "MAX_ITEMS", 3)
+    monkeypatch.setattr(pdf_items, "MAX_LENGTH", 100)
+    row = lambda doc, page, text, x=1.0, n=1: [(doc, page, x, 1.0, 1.0, text)] * n
+    rows = row("ok", 1, "a" * 24) + row("units", 1, "\U0001f600" * 12) + row("items", 1, "a" * 10, n=4) + row("long", 1, "a" * 60) + row("long", 2, "a" * 60) + row("image", 1, None, n=3) + row("huge", 1, "a" * 2001) + row("none", 1, "a" * 30) + row("pages", 1, "a" * 30) + row("unknown", 1, "a")
+    items = spark.createDataFrame(rows, ITEM)
+    documents = spark.createDataFrame([(d, 1) for d in ("ok", "units", "items", "long", "image", "huge", "empty")] + [("none", 0), ("null", None), ("pages", 101)], "doc string, n_pages int")
+    got = {r.doc: r.code for r in pdf_items.refused(items, documents).collect()}
+    assert got == {"items": "TEXT_LIMIT_EXCEEDED", "long": "TEXT_LIMIT_EXCEEDED", "image": "IMAGE_ONLY_DOCUMENT", "huge": "IMAGE_ONLY_DOCUMENT", "empty": "IMAGE_ONLY_DOCUMENT", "none": "MALFORMED_DOCUMENT", "null": "MALFORMED_DOCUMENT", "pages": "PAGE_LIMIT_EXCEEDED"}
+    assert pdf_items.refused(items.limit(0), documents.limit(0)).count() == 0
+    at = lambda x: row("d", 1, "t", x=x)
+    placed = pdf_items.snapped(spark.createDataFrame(at(3.0) + at(-3.0) + at(4.99) + at(float("nan")) + at(float("-inf")) + at(None), ITEM))
+    assert sorted(r.x for r in placed.collect()) == [-2.0, 0.0, 0.0, 0.0, 4.0, 4.0]
+
+
+def test_layout_is_selected_by_margin(spark):
+    seen = [("clear", 1, "a", 0.9, 0.5), ("clear", 2, "b", 0.8, 0.5), ("close", 1, "a", 0.9, 0.5), ("close", 2, "b", 0.81, 0.5), ("weak", 1, "a", 0.49, 0.5), ("alone", 1, "a", 0.5, 0.5), ("unlikely", 1, "a", 0.5, 0.5), ("unlikely", 2, "b", 0.45, 0.5), ("tie", 2, "b", 0.7, 0.5), ("tie", 1, "a", 0.7, 0.8)]
+    detections = spark.createDataFrame(seen, "doc string, ordinal int, layout string, score double, minimum double")
+    got = {r.doc: r.layout for r in pdf_items.selected(detections).collect()}
+    assert got == {"clear": "a", "close": None, "weak": None, "alone": "a", "unlikely": "a", "tie": None}
+    assert pdf_items.selected(detections.limit(0)).count() == 0
