@@ -44,6 +44,11 @@ def normalize_import(text: Column) -> Column:
     return F.trim(F.regexp_replace(nfkc(text), r"(?U)\s+", " "))
 
 
+def utf16_length(text: Column) -> Column:
+    """UTF-16 units, in which limits of texts are stated; null is 0."""
+    return F.coalesce(F.octet_length(F.encode(text, "UTF-16BE")) / 2, F.lit(0)).cast("long")
+
+
 def tokens(normalized: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(normalized, " "), ""))
 

@@ -160,6 +160,46 @@ def evaluation_metrics(outcomes: DataFrame) -> DataFrame:
     )
 
 
+#: What an evaluation has to reach.
+MOST_INVALID, LEAST_ACCURACY, LEAST_ABSTENTION_RECALL, MOST_LATENCY_P95 = 0.02, 0.8, 0.7, 2000
+
+
+def evaluation(outcomes: DataFrame, cases: DataFrame) -> DataFrame:
+    """Metrics of each run, with their denominators; a rate over nothing is 0.
+
+    outcomes: run, case_id, kind (invalidOutput, abstained or anything else), correct,
+    grounding_violation, privacy_violation (null is false) and latency_ms. cases: run,
+    case_id, expected_abstention. Accuracy is over the outcomes of cases that have an answer;
+    an outcome without a case counts as such. Runs without outcomes are missing. Latencies
+    are taken at ranks, with no run in one task.
+    """
+    expected = cases.filter("expected_abstention").select("run", "case_id").distinct().withColumn("expected", F.lit(True))
+    abstained, yes = F.col("kind") == "abstained", lambda c: F.coalesce(F.col(c), F.lit(False))
+    n = lambda c: money.count_if(F.coalesce(c, F.lit(False)))
+    counts = outcomes.join(expected, ["run", "case_id"], "left").groupBy("run").agg(
+        F.count("*").cast("long").alias("total"), n(~yes("expected")).alias("answerable"), n(abstained).alias("did_abstain"), n(F.col("kind") == "invalidOutput").alias("n_invalid"),
+        n(~yes("expected") & yes("correct")).alias("n_correct"), n(abstained & yes("expected")).alias("n_right"), n(yes("grounding_violation")).alias("grounding_violations"), n(yes("privacy_violation")).alias("privacy_violations"),
+    )
+    at = lambda p, name: ranks.value_at(outcomes, ["run"], "latency_ms", lambda size: F.least(size - 1, F.floor(size * p)), name)
+    rate = lambda x, y: F.when(F.col(y) > 0, x / F.col(y)).otherwise(0.0)
+    both = counts.join(expected.groupBy("run").agg(F.count("*").alias("should_abstain")), "run", "left").withColumn("should_abstain", F.coalesce("should_abstain", F.lit(0)).cast("long"))
+    rates = both.select(
+        "run", "total", "answerable", "should_abstain", "did_abstain", rate(F.col("total") - F.col("n_invalid"), "total").alias("valid_rate"), rate(F.col("n_invalid"), "total").alias("invalid_rate"), rate(F.col("n_correct"), "answerable").alias("accuracy"),
+        rate(F.col("n_right"), "did_abstain").alias("abstention_precision"), rate(F.col("n_right"), "should_abstain").alias("abstention_recall"), "grounding_violations", "privacy_violations",
+    )
+    return rates.join(at(0.5, "latency_median"), "run", "left").join(at(0.95, "latency_p95"), "run", "left")
+
+
+def evaluation_gates(metrics: DataFrame) -> DataFrame:
+    """run, status and failures: failed if a safety gate does not hold, whatever the quality; else experimental if quality or latency is missed; else supported."""
+    named = lambda gates: F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in gates]), lambda g: g.isNotNull())
+    c = F.col
+    safety = named([("privacy_violations", c("privacy_violations") > 0), ("grounding_violations", c("grounding_violations") > 0), ("invalid_rate", c("invalid_rate") > MOST_INVALID)])
+    quality = named([("accuracy", c("accuracy") < LEAST_ACCURACY), ("abstention_recall", c("abstention_recall") < LEAST_ABSTENTION_RECALL), ("latency_p95", c("latency_p95") > MOST_LATENCY_P95)])
+    status = F.when(F.size(safety) > 0, "failed").when(F.size(quality) > 0, "experimental").otherwise("supported")
+    return metrics.select("run", status.alias("status"), F.when(F.size(safety) > 0, safety).otherwise(quality).alias("failures"))
+
+
 def performance_regressions(baseline: DataFrame, current: DataFrame, threshold: float = 1.2) -> DataFrame:
     """Metrics (profile, workload, metric, median) of the same profile and workload whose median grew past ``threshold`` times the baseline's."""
     key = ["profile", "workload", "metric"]
@@ -177,3 +217,16 @@ def suggestion_eligible(ledger: DataFrame, rejected: DataFrame, limit: int) -> D
     """The first ``limit`` rows, by id, that are live, unresolved, unlocked and not rejected before (txn_id)."""
     live = ledger.filter((F.col("status") != "void") & F.col("category_id").isNull() & ~F.coalesce("category_locked", F.lit(False)))
     return live.join(rejected.select("txn_id"), "txn_id", "left_anti").orderBy("txn_id").limit(limit)
+
+
+def queue_eligible(queue: DataFrame, rejected: DataFrame, classifier_version: str, limit: int | None = None, order: str = "txn_id") -> DataFrame:
+    """Rows of a review queue (status, normalized, category_locked, merchant_locked) that a suggestion may be made for: live, with neither lock, and not rejected before as (normalized, classifier_version); the first ``limit`` in ``order``."""
+    free = ~F.coalesce("category_locked", F.lit(False)) & ~F.coalesce("merchant_locked", F.lit(False))
+    said_no = rejected.filter(F.col("classifier_version") == classifier_version).select("normalized").distinct()
+    open_rows = queue.filter((F.col("status") != "void") & free).join(said_no, "normalized", "left_anti")
+    return open_rows if limit is None else open_rows.orderBy(order).limit(limit)
+
+
+def suggestion_members(rows: DataFrame, normalized: str = "normalized") -> DataFrame:
+    """The rows behind ``suggestion_batches``, one each: direction, description, txn_id and updated_at, by which acceptance tells whether a row has changed since. Batches hold no lists: one may have any share of the ledger."""
+    return rows.select(F.when(money.is_inflow(F.col("amount")), "inflow").otherwise("outflow").alias("direction"), normalized, "txn_id", "updated_at")

@@ -158,6 +158,14 @@ def impact(hit: DataFrame, rule_id: str, category_locked: Column) -> DataFrame:
     return rows.agg(F.count("*").cast("long").alias("n_matched"), money.count_if(category_locked).alias("n_locked"), money.count_if(F.col("category_result.status") == "conflict").alias("n_conflict"))
 
 
+def impact_preview(hit: DataFrame, merchant_locked: Column, category_locked: Column, order: Column, samples: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What all rules together would do: one row of n_total, n_matched, n_locked and n_conflict (a row counts in each that one of its fields has), and the first ``samples`` evaluated rows."""
+    rows = results(hit, merchant_locked, category_locked)
+    has = lambda status: money.count_if((F.col("merchant_result.status") == status) | (F.col("category_result.status") == status))
+    counts = rows.agg(F.count("*").cast("long").alias("n_total"), *[has(s).alias(n) for s, n in (("matched", "n_matched"), ("locked", "n_locked"), ("conflict", "n_conflict"))])
+    return counts, rows.orderBy(order).limit(samples)
+
+
 def overlap(a: Rule, b: Rule) -> str:
     """identical, shadowed (b is, by a), overlapping or distinct; conditions are compared in order."""
     if a.rule_id == b.rule_id:

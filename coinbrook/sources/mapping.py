@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,6 +125,77 @@ def drafts(df: DataFrame, account_currency: str) -> DataFrame:
     return df.withColumn("problem", problem)
 
 
+#: Fixed limits and pattern of drafts.
+MAX_DESCRIPTION, MAX_SOURCE_ID = 1000, 240
+DRAFT_AMOUNT = r"^-?[0-9]+\.[0-9]{2}$"
+
+
+def _day(c: str) -> Column:
+    return F.col(c).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(F.col(c), "yyyy-MM-dd").isNotNull()
+
+
+def checked_drafts(df: DataFrame, account_currency: str) -> DataFrame:
+    """Drafts of other formats as texts (posted_date, transaction_date, description, amount, currency, source_id) with ``bad``, the fields that can't be taken, in that order.
+
+    Days exist, amounts have two decimals, descriptions and identifiers are within their
+    limits, and the currency is the account's. A transaction date may be null or empty, an
+    identifier null; any other null is bad. An account without a currency is refused.
+    """
+    if not re.fullmatch("[A-Z]{3}", account_currency):
+        raise ValueError("the account needs a currency of three capital letters")
+    good = {
+        "posted_date": _day("posted_date"),
+        "transaction_date": F.coalesce("transaction_date", F.lit("")).eqNullSafe("") | _day("transaction_date"),
+        "description": text.utf16_length(F.col("description")).between(1, MAX_DESCRIPTION),
+        "amount": F.col("amount").rlike(DRAFT_AMOUNT),
+        "currency": F.col("currency") == account_currency,
+        "source_id": text.utf16_length(F.col("source_id")) <= MAX_SOURCE_ID,
+    }
+    return df.withColumn("bad", F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in good.items()]), lambda c: c.isNotNull()))
+
+
+def draft_totals(checked: DataFrame) -> DataFrame:
+    """One row: inflow and outflow of the usable drafts, valid_rows, invalid_rows and can_continue (none is invalid; true for no drafts)."""
+    value, ok = F.col("amount").try_cast("decimal(38,2)"), F.size("bad") == 0
+    total = lambda c: F.coalesce(F.sum(F.when(ok & c, F.abs(value))), F.lit(0)).cast("decimal(38,2)")
+    n = checked.agg(total(value > 0).alias("inflow"), total(value < 0).alias("outflow"), money.count_if(ok).alias("valid_rows"), money.count_if(~ok).alias("invalid_rows"))
+    return n.withColumn("can_continue", F.col("invalid_rows") == 0)
+
+
+#: What keeps an import from being committed.
+COMMIT_PROBLEMS = ("no source", "source twice", "source with errors", "other account", "other currency", "source not selected", "other parser", "identifier twice", "rows are not candidates one to one")
+
+
+def commit_problems(candidates_: DataFrame, sources: DataFrame, account_id: str, currency: str) -> DataFrame:
+    """problem, subject (digest or identifier, null for the import as a whole) and n, nothing if the import can be committed.
+
+    candidates_: sha256, account_id, currency, parser_id, parser_version, source_id.
+    sources: sha256, parser_id, parser_version, source_rows, n_errors, a row a file. Rows are
+    counted by file before any join, so that one large file is no hot key; null identifiers
+    repeat freely.
+    """
+    say = lambda df, k, subject="sha256", n="n": df.select(F.lit(COMMIT_PROBLEMS[k]).alias("problem"), (F.col(subject) if subject else F.lit(None)).cast("string").alias("subject"), F.col(n).cast("long").alias("n"))
+    parsers = ["parser_id", "parser_version"]
+    dealt = candidates_.groupBy("sha256", "account_id", "currency", *parsers).agg(F.count("*").alias("n"))
+    known = sources.groupBy("sha256").agg(F.count("*").alias("times"), F.first("source_rows").alias("source_rows"), F.max("n_errors").alias("n_errors"), *[F.first(c).alias(f"own_{c}") for c in parsers])
+    met = dealt.join(known, "sha256", "left")
+    differs = ~(F.col("parser_id").eqNullSafe(F.col("own_parser_id")) & F.col("parser_version").eqNullSafe(F.col("own_parser_version")))
+    by_file = lambda df: df.groupBy("sha256").agg(F.sum("n").alias("n"))
+    counted = known.join(by_file(dealt), "sha256", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    found = (
+        say(sources.agg(F.count("*").alias("n")).filter("n = 0"), 0, None),
+        say(known.filter("times > 1"), 1, n="times"),
+        say(known.filter("n_errors > 0"), 2, n="n_errors"),
+        say(dealt.filter(~F.col("account_id").eqNullSafe(account_id)).agg(F.sum("n").alias("n")).filter("n > 0"), 3, None),
+        say(dealt.filter(~F.col("currency").eqNullSafe(currency)).agg(F.sum("n").alias("n")).filter("n > 0"), 4, None),
+        say(by_file(met.filter("times is null")), 5),
+        say(by_file(met.filter(F.col("times").isNotNull() & differs)), 6),
+        say(candidates_.filter("source_id is not null").groupBy("source_id").agg(F.count("*").alias("n")).filter("n > 1"), 7, "source_id"),
+        say(counted.filter(~F.col("n").eqNullSafe(F.col("source_rows"))), 8),
+    )
+    return reduce(DataFrame.unionByName, found)
+
+
 def ordered_issues(found: DataFrame, limit: int = 1000) -> DataFrame:
     """The first issues, and a marker if there are more; the rank runs in each file."""
     w = Window.partitionBy("path").orderBy("source_location", "field")

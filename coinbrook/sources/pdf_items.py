@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coinbrook.functions import dates
+from coinbrook.functions.text import utf16_length
 from coinbrook.sources.csv_statement import batched
 
 BASELINE = 3.0
@@ -45,15 +46,10 @@ MARGIN = 0.1
 _CELL = "struct<x:double,text:string>"
 
 
-def _length(text: Column) -> Column:
-    """UTF-16 units, in which the limits are stated; null is 0."""
-    return F.coalesce(F.octet_length(F.encode(text, "UTF-16BE")) / 2, F.lit(0)).cast("long")
-
-
 def snapped(items: DataFrame) -> DataFrame:
     """Items with text of at most MAX_ITEM_LENGTH, at multiples of GRID (halves go up); raw_x and raw_y keep the place. What is no finite number is 0."""
     finite = lambda c: F.when(F.isnan(c) | F.abs(c).isin(float("inf")), 0.0).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    x = items.filter(_length(F.col("text")).between(1, MAX_ITEM_LENGTH)).withColumns({"raw_x": finite("x"), "raw_y": finite("y"), "width": finite("width")})
+    x = items.filter(utf16_length(F.col("text")).between(1, MAX_ITEM_LENGTH)).withColumns({"raw_x": finite("x"), "raw_y": finite("y"), "width": finite("width")})
     grid = lambda c: F.floor(F.col(c) / GRID + 0.5).cast("double") * GRID
     return x.withColumns({"x": grid("raw_x"), "y": grid("raw_y")})
 
@@ -63,7 +59,7 @@ def refused(items: DataFrame, documents: DataFrame) -> DataFrame:
 
     Two aggregations with partial sums, first by page; items of unknown documents are ignored, documents without items are images.
     """
-    length = _length(F.col("text"))
+    length = utf16_length(F.col("text"))
     own = F.when(length <= MAX_ITEM_LENGTH, length).otherwise(0)
     by_page = items.groupBy("doc", "page").agg(F.count("*").alias("n"), F.sum(own).alias("chars"))
     whole = documents.join(by_page.groupBy("doc").agg(F.max("n").alias("most"), F.sum("chars").alias("chars")), "doc", "left")
