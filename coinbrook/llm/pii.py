@@ -3,8 +3,10 @@
 Identifiers are looked for in the text itself (the base) and once more in a normalised
 text. Normalisation is a chain of transducers, each rewriting pieces of the text and
 carrying for every character the source span that it came from: homoglyphs become
-ASCII, invisible characters go, runs of spelled digits become digits, and at/dot
-disguises become the signs. Spans found there are mapped back to the source and added
+ASCII, invisible characters go, runs of digits spelled in seven languages become digits,
+and at/dot disguises (bracketed, spoken, or with blanks around the signs) become the
+signs. A domain is told by its shape: the last label is a country's two letters, or one
+of some thirty endings. Spans found there are mapped back to the source and added
 unless a base span holds them.
 
 Defined results: a null text is empty and has no spans; equal rows get equal rows;
@@ -80,9 +82,17 @@ def detect(text: str) -> list[Span]:
 #: Look-alikes of ASCII letters, digits and signs in Cyrillic and Greek, and of signs.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝɡ" + "АВЕКМНОРСТУХІЈЅ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "οανρυ", "aeopcyxijshdqwg" + "ABEKMHOPCTYXIJS" + "ABEZHIKMNOPTYX" + "oavpu", strict=True)) | dict(zip("․。．＠﹫＋﹢‐‑‒–—−", "...@@++------", strict=True))
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Digits spelled in English, German, French, Spanish, Portuguese, Italian and Dutch.
+DIGIT_WORDS = {
+    word: digit
+    for digit, words in {
+        "0": "zero oh null zéro cero nul", "1": "one eins un uno um een", "2": "two zwei zwo deux dos dois due twee", "3": "three drei trois tres três tre drie", "4": "four vier quatre cuatro quatro quattro",
+        "5": "five fünf cinq cinco cinque vijf", "6": "six sechs seis sei zes", "7": "seven sieben sept siete sete sette zeven", "8": "eight acht huit ocho oito otto", "9": "nine neun neuf nueve nove negen",
+    }.items()
+    for word in words.split()
+}
 #: Words before " at x.com" that make it a place, not an address.
-NO_LOCAL_PART = ("available", "look", "looks", "looking", "found", "find", "here", "us", "me", "site", "website", "page", "online", "hosted", "live", "lives", "visit", "is", "are", "was", "be", "it", "them", "more", "and", "or", "out", "up", "work", "works", "working", "shop", "people", "team", "read", "see", "sign", "register", "download", "news", "blog", "arrived", "stay", "located", "based", "directly", "published", "posted")
+NO_LOCAL_PART = ("available", "look", "looks", "looking", "found", "find", "here", "us", "me", "site", "website", "page", "online", "hosted", "live", "lives", "visit", "is", "are", "was", "be", "it", "them", "more", "and", "or", "out", "up", "work", "works", "working", "shop", "people", "team", "read", "see", "sign", "register", "download", "news", "blog", "arrived", "stay", "located", "based", "directly", "published", "posted", "error", "errors", "line", "failed", "fails", "defined", "raised")
 
 
 class Glyphs(dict):
@@ -100,17 +110,25 @@ _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _DIGIT_WORD = r"\b(?:" + "|".join(DIGIT_WORDS) + r")\b"
 #: At least three digit words with single blanks or hyphens between them.
 _DIGIT_RUN = re.compile(rf"{_DIGIT_WORD}(?:[ -]{_DIGIT_WORD}){{2,}}", re.I)
-_PLUS_WORD = re.compile(r"\bplus (?=[0-9])", re.I)
-_BRACKET = {sign: re.compile(rf"\s?[\[({{<]\s?(?:{word})\s?[\])}}>]\s?", re.I) for sign, word in (("@", "at|@"), (".", r"dot|\."))}
+_PLUS_WORD = re.compile(r"\b(?:plus|más|mais|più) (?=[0-9])", re.I)
+_BRACKET = {sign: re.compile(rf"\s?[\[({{<]\s?(?:{word})\s?[\])}}>]\s?", re.I) for sign, word in (("@", "at|ät|arroba|arobase|chiocciola|@"), (".", r"dot|punkt|punto|ponto|point|\."))}
 _LABELS = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
-#: Not before a determiner: "look at the dot" is no address.
-_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9]) at (?!(?:the|a|an|this|that|these|those|each|every) )(?={_LABELS} dot [A-Za-z])", re.I)
-#: The last label of the domain is one of a few that are no words; "www." is a site.
-_SPOKEN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?!(?:{'|'.join(NO_LOCAL_PART)}) )([A-Za-z0-9][A-Za-z0-9._%+-]*) at (?!www\.)(?=(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ca|us)\b)", re.I)
-_SPOKEN_DOMAIN = re.compile(rf"(?<=@){_LABELS}(?: dot {_LABELS})+", re.I)
+#: The last label of a domain: any country's two letters, or one of these; two letters that end names of files are left out.
+_ENDING = r"(?:(?!(?:py|js|ts|md|rs|sh|cs|rb|cc|so|mk|ps|gz|hs|vb|db|pm|am)\b)[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|dev|app|online|shop|site|store|tech|cloud|blog|email|mail|museum|coop|aero|jobs|travel|agency|digital|studio|world)(?![A-Za-z0-9-])"
+_DOMAIN_AHEAD = rf"(?!www\.)(?=(?:[A-Za-z0-9-]+\.)+{_ENDING})(?=[0-9-]*[A-Za-z])"
+#: Not before a determiner: "look at the dot" is no address. Words for the dot go with those for the sign.
+_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9]) (?:at (?!(?:the|a|an|this|that|these|those|each|every) )(?={_LABELS} (?:dot|punkt) [A-Za-z])|(?:arroba|chiocciola) (?={_LABELS} (?:punto|ponto) [A-Za-z])|arobase (?={_LABELS} point [A-Za-z]))", re.I)
+#: "www." is a site.
+_SPOKEN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?!(?:{'|'.join(NO_LOCAL_PART)}) )([A-Za-z0-9][A-Za-z0-9._%+-]*) at {_DOMAIN_AHEAD}", re.I)
+#: A sign with blanks on both sides; dots in the domain have them on both sides or on neither.
+_SPACED_AHEAD = rf"(?=(?:[A-Za-z0-9-]+(?: \. |\.))+{_ENDING})(?=[0-9-]*[A-Za-z])"
+_SPACED_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?!(?:{'|'.join(NO_LOCAL_PART)}) )([A-Za-z0-9][A-Za-z0-9._%+-]*) @ {_SPACED_AHEAD}", re.I)
+_SPACED_DOMAIN = re.compile(rf"(?<=@)(?:[A-Za-z0-9-]+(?: \. |\.))+{_ENDING}", re.I)
+_SPOKEN_DOMAIN = re.compile(rf"(?<=@)(?:{_LABELS}(?: dot {_LABELS})+|[A-Za-z0-9-]+(?: (?:punkt|punto|ponto|point) [A-Za-z0-9-]+)+)", re.I)
+_SIGNS = (" at ", " arroba ", " arobase ", " chiocciola ")
 _SPOKEN_LOCAL = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9._%+-]+)*@)", re.I)
 _SPOKEN_POINT = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
-_DOT_WORD, _AT = re.compile(" dot ", re.I), re.compile(" at ", re.I)
+_DOT_WORD, _AT, _SPACED = re.compile(" (?:dot|punkt|punto|ponto|point) ", re.I), re.compile(f" at {_DOMAIN_AHEAD}", re.I), re.compile(f" @ {_SPACED_AHEAD}", re.I)
 
 
 class Traced:
@@ -142,7 +160,25 @@ class Traced:
 
 
 def _spelled(m: re.Match) -> str:
-    return "".join(DIGIT_WORDS[w.lower()] for w in re.split(r"[ -]", m[0]))
+    """Only zeros are no number: "null null null" stands for missing values. Nor are words whose letters only ignored case makes equal, as with a dotless i."""
+    digits = [DIGIT_WORDS.get(w.lower(), "") for w in re.split(r"[ -]", m[0])]
+    return "".join(digits) if all(digits) and set(digits) != {"0"} else m[0]
+
+
+_WORDS = tuple(DIGIT_WORDS)
+
+
+def _may_be_spelled(low: str) -> bool:
+    """Whether a digit word stands between two others, by one look at each word: the costly pattern is for such texts only."""
+    around = low.replace("-", " ").split(" ")
+    return any(w in DIGIT_WORDS and around[i - 1].endswith(_WORDS) and around[i + 1].startswith(_WORDS) for i, w in enumerate(around[:-1]) if i)
+
+
+def _joined(t: Traced, whole: re.Pattern, sign: re.Pattern) -> None:
+    """The sign at the end of each match of ``whole`` (``sign`` with what is before it) becomes @; the word before stays as it is, each character with its own source."""
+    if sign.search(t.text):
+        marks = {m.end() for m in whole.finditer(t.text)}
+        t.rewrite(sign, lambda m: "@" if m.end() in marks else m[0])
 
 
 def normalise(text: str) -> Traced | None:
@@ -153,21 +189,22 @@ def normalise(text: str) -> Traced | None:
             t.text = text.translate(_GLYPHS)
         t.rewrite(_INVISIBLE, lambda m: "")
     low = t.text.lower()
-    if sum(map(low.count, DIGIT_WORDS)) >= 3:
+    if _may_be_spelled(low):
         t.rewrite(_DIGIT_RUN, _spelled)
-    if "plus" in low:
+    if any(x in low for x in ("plus", "más", "mais", "più")):
         t.rewrite(_PLUS_WORD, lambda m: "+")
     if any(x in low for x in "[({<"):
         for sign, pattern in _BRACKET.items():
             t.rewrite(pattern, lambda m, sign=sign: sign)
-    if " at " in low:
+    if any(x in low for x in _SIGNS):
         t.rewrite(_SPOKEN, lambda m: "@")
-        # The word before stays as it is, each character with its own source.
-        if _SPOKEN_AT.search(t.text):
-            marks = {m.end() for m in _SPOKEN_AT.finditer(t.text)}
-            t.rewrite(_AT, lambda m: "@" if m.end() in marks else m[0])
-    if "dot" in low:
+        _joined(t, _SPOKEN_AT, _AT)
+    if " @ " in low:
+        _joined(t, _SPACED_AT, _SPACED)
+        t.rewrite(_SPACED_DOMAIN, lambda m: m[0].replace(" ", ""))
+    if "@" in t.text:
         t.rewrite(_SPOKEN_DOMAIN, lambda m: _DOT_WORD.sub(".", m[0]))
+    if "dot" in low:
         t.rewrite(_SPOKEN_LOCAL, lambda m: ".")
         t.rewrite(_SPOKEN_POINT, lambda m: ".")
     return t if t.text != text else None
