@@ -21,11 +21,18 @@ A run of more than HOT_CONTEXTS different contexts of one anchor string is not h
 a bucket: its windows are counted by 128-bit hash in an aggregation, which pre-sums in
 each task.
 
+Passages that texts share as words, however short these are, whatever blanks stand between
+them and in whatever case, go the same way at the same time: a text's words are a string of
+eight-byte hashes, and a passage of WORDS of them a window that starts at a multiple of
+eight. Its anchors are told apart by the lowest bit of their hash. Nothing is removed by
+this; ``n_shared_words`` counts it.
+
 Of equal hashes in a window the leftmost is its anchor, so a run of one byte or of a
 short period has an anchor at each byte: that costs rows, not results.
 
 Defined results: a null or empty text has nothing to remove; equal rows are copies of
-each other; texts below WINDOW bytes stay; an empty table gives an empty result;
+each other; texts below WINDOW bytes stay, and share no words below WORDS; words are
+parted by the six ASCII blanks; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -42,6 +49,8 @@ from pyspark.sql import functions as F
 from coinbrook.llm.common import arrow_step, cut, documents, partitions, slices
 
 WINDOW, GRAM = 400, 64
+#: Words of a shared passage (more than 50), and bytes of a word's hash.
+WORDS, WORD = 51, 8
 #: Different contexts of one anchor string that a bucket compares itself.
 HOT_CONTEXTS = 16_384
 #: Contexts compared at once if runs are small, and offsets at once.
@@ -91,35 +100,63 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
     return chosen[new], at[new], at[last], hashed[chosen[new]], text[new]
 
 
+def word_string(text: str) -> bytes:
+    """The hashes of a text's words in lower case, WORD bytes each."""
+    words = text.lower().encode().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).tobytes()
+
+
+def kind(words: bool) -> tuple[int, int]:
+    """Bytes of a window, and those between the starts of two."""
+    return (WORDS * WORD, WORD) if words else (WINDOW, 1)
+
+
+def of_words():
+    """Whether an anchor is one of words."""
+    return F.col("kh").bitwiseAND(1) == 1
+
+
+def window_bytes():
+    return F.when(of_words(), kind(True)[0]).otherwise(kind(False)[0])
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """Rows by content: did and dh name a document by its id and its text's hash; equal rows share them."""
     docs = documents(df)
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text", F.lit(1)).alias("dh"), "text")
 
 
-_ANCHOR = "did long, dh long, place int, w_first int, w_last int, kh long, c1 long, c2 long"
+_ANCHOR = "did long, dh long, place int, o int, more int, kh long, c long"
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """A row for each anchor: its document, place, first and last window start, gram hash and the context's 128-bit hash."""
+    """A row for each anchor: its document, place, the bytes from its first window's start to it and to its last window's start (small numbers, which take little room), gram hash and the context's hash, which decides between contexts of one gram hash."""
     names = [x.split()[0] for x in _ANCHOR.split(", ")]
 
+    def found(batch, strings: list[bytes], words: bool) -> pa.RecordBatch:
+        window, step = kind(words)
+        sizes = np.array([len(x) for x in strings], np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        joined = b"".join(strings)
+        place, first, last, kh, text = anchors(np.frombuffer(joined, np.uint64 if words else np.uint8), starts // step, ends // step, window // step, GRAM // step)
+        place, first, last = place * step, first * step, last * step
+        # The seed is the anchor's offset, so that equal hashes mean equal contexts around equal places.
+        c = np.fromiter((xxhash.xxh3_64_intdigest(joined[f : e + window], seed=p - f) for p, f, e in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(place))
+        base = starts[text] if len(text) else text
+        ids = [batch.column(n).to_numpy(zero_copy_only=False)[text] for n in ("did", "dh")]
+        kh = (kh & ~np.uint64(1)) | np.uint64(words)
+        cols = [*ids, *(x.astype(np.int32) for x in (place - base, place - first, last - first)), kh.view(np.int64), c.view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+
     def run(batches):
         for batch in slices(batches):
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            starts = ends - np.array([len(t) for t in texts], np.int64)
-            joined = b"".join(texts)
-            place, first, last, kh, text = anchors(np.frombuffer(joined, np.uint8), starts, ends)
-            # The seed is the anchor's offset, so that equal hashes mean equal contexts around equal places.
-            hashed = b"".join(xxhash.xxh3_128_digest(joined[f : e + WINDOW], seed=p - f) for p, f, e in zip(place.tolist(), first.tolist(), last.tolist(), strict=True))
-            c = np.frombuffer(hashed, np.int64).reshape(-1, 2)
-            base = starts[text] if len(text) else text
-            ids = [batch.column(n).to_numpy(zero_copy_only=False)[text] for n in ("did", "dh")]
-            cols = [*ids, *((x - base).astype(np.int32) for x in (place, first, last)), kh.view(np.int64), c[:, 0], c[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
-
-    return arrow_step(docs.filter(F.octet_length("text") >= WINDOW).select("did", "dh", "text"), run, _ANCHOR)
+            texts = batch.column("text").to_pylist()
+            yield found(batch, [t.encode() for t in texts], False)
+            yield found(batch, [word_string(t) for t in texts], True)
+
+    # WORDS words take a byte and a blank each.
+    return arrow_step(docs.filter(F.octet_length("text") >= 2 * WORDS - 1).select("did", "dh", "text"), run, _ANCHOR)
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
@@ -151,23 +188,26 @@ def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_offsets(contexts: list[bytes], left: np.ndarray, copies: np.ndarray, owner: np.ndarray) -> list[list[tuple[int, int, bool]]]:
-    """For each context the runs (a, b, other) of offsets (anchor minus window start) whose window occurs again among ``contexts``; ``other`` if one of them does so under another ``owner``."""
-    n, reach = len(contexts), WINDOW - GRAM
+def repeated_offsets(contexts: list[bytes], left: np.ndarray, copies: np.ndarray, owner: np.ndarray, words: bool = False) -> list[list[tuple[int, int, bool]]]:
+    """For each context the runs (a, b, other) of offsets (anchor minus window start) whose window occurs again among ``contexts``; ``other`` if one of them does so under another ``owner``. Of words only those that do so."""
+    window, step = kind(words)
+    n, reach = len(contexts), window - GRAM
+    steps = reach // step + 1
     ranked = np.argsort(owner, kind="stable")
     contexts, left, copies, owner = [contexts[i] for i in ranked], left[ranked], copies[ranked], owner[ranked]
-    right_side, left_side = np.zeros((n, WINDOW), np.uint8), np.zeros((n, reach), np.uint8)
+    right_side, left_side = np.zeros((n, window), np.uint8), np.zeros((n, reach), np.uint8)
     for i, (c, o) in enumerate(zip(contexts, left.tolist(), strict=True)):
         row = np.frombuffer(c, np.uint8)
         right_side[i, : len(c) - o] = row[o:]
         left_side[i, :o] = row[:o][::-1]
-    least = WINDOW - (np.array([len(c) for c in contexts]) - left)
+    least = window - (np.array([len(c) for c in contexts]) - left)
     ordered = [(o := multikey_sort(m), common_prefixes(m, o)) for m in (right_side, left_side)]
-    marks, elsewhere = np.zeros((2, n, reach + 1), bool)
-    for s in range(0, reach + 1, OFFSETS):
-        offset = np.arange(s, min(s + OFFSETS, reach + 1))
+    marks, elsewhere = np.zeros((2, n, steps), bool)
+    for s in range(0, steps, OFFSETS):
+        of_step = np.arange(s, min(s + OFFSETS, steps))
+        offset = of_step * step
         classes = []
-        for (order, lcp), need in zip(ordered, (WINDOW - offset, offset), strict=True):
+        for (order, lcp), need in zip(ordered, (window - offset, offset), strict=True):
             of = np.empty((n, len(offset)), np.int64)
             of[order] = np.cumsum(lcp[:, None] < need[None, :], axis=0)
             classes.append(of)
@@ -184,12 +224,14 @@ def repeated_offsets(contexts: list[bytes], left: np.ndarray, copies: np.ndarray
         for found, out_of in ((first < last, marks), (differ, elsewhere)):
             back = np.empty_like(found)
             np.put_along_axis(back, by, found, axis=1)
-            out_of[:, offset] = back.T & valid
-        marks[:, offset] |= (copies > 1)[:, None] & valid
+            out_of[:, of_step] = back.T & valid
+        marks[:, of_step] |= (copies > 1)[:, None] & valid
+    if words:
+        marks = elsewhere
     edges = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     out: list[list[tuple[int, int, bool]]] = [[] for _ in range(n)]
     for (i, a), (_, b) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist(), strict=True):
-        out[ranked[i]].append((a, b - 1, bool(elsewhere[i, a:b].any())))
+        out[ranked[i]].append((a * step, (b - 1) * step, bool(elsewhere[i, a:b].any())))
     return out
 
 
@@ -198,17 +240,22 @@ _CONTEXT = "did long, dh long, place int, kh long, n long, spread boolean, o int
 
 def fetch_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the contexts in ``wanted``, cut out where their texts are; one row a text is joined."""
-    lists = wanted.groupBy("did", "dh").agg(F.collect_list(F.struct("place", "w_first", "w_last", "kh", "n", "spread")).alias("all"))
-    # Equal rows give the same contexts: one of them is enough.
+    lists = wanted.groupBy("did", "dh").agg(F.collect_list(F.struct("place", "o", "more", "kh", "n", "spread")).alias("all"))
     joined = docs.select("did", "dh", "text").join(lists, ["did", "dh"])
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
 
     def run(batches):
+        before = None
         for batch in slices(batches):
             rows = []
             for did, dh, text, places in zip(*(batch.column(c).to_pylist() for c in ("did", "dh", "text", "all")), strict=True):
-                data = text.encode()
-                rows += [(did, dh, x["place"], x["kh"], x["n"], x["spread"], x["place"] - x["w_first"], data[x["w_first"] : x["w_last"] + WINDOW]) for x in places]
+                # Equal rows, which the join puts beside each other, give the same contexts: one of them is enough.
+                if (did, dh) == before:
+                    continue
+                before = did, dh
+                for words in {x["kh"] & 1 for x in places}:
+                    data, window = word_string(text) if words else text.encode(), kind(words)[0]
+                    rows += [(did, dh, x["place"], x["kh"], x["n"], x["spread"], x["o"], data[x["place"] - x["o"] : x["place"] - x["o"] + x["more"] + window]) for x in places if x["kh"] & 1 == words]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -216,14 +263,14 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_step(joined, run, _CONTEXT)
 
 
-_SPAN = "did long, dh long, lo long, hi long, other boolean"
+_SPAN = "did long, dh long, kh long, lo long, hi long, other boolean"
 
 
-def _spans(rows: list[tuple], offsets: list[list[tuple[int, int, bool]]]) -> pa.RecordBatch:
-    """Byte spans of repeated windows; rows: did, dh, place."""
-    out = [(did, dh, place - b, place - a + WINDOW, other) for (did, dh, place), runs in zip(rows, offsets, strict=True) for a, b, other in runs]
-    columns = list(zip(*out, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], names=[x.split()[0] for x in _SPAN.split(", ")])
+def _spans(rows: list[tuple], offsets: list[list[tuple[int, int, bool]]], window: int) -> pa.RecordBatch:
+    """Byte spans of repeated windows; rows: did, dh, kh, place."""
+    out = [(did, dh, kh, place - b, place - a + window, other) for (did, dh, kh, place), runs in zip(rows, offsets, strict=True) for a, b, other in runs]
+    columns = list(zip(*out, strict=True)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.bool_())], names=[x.split()[0] for x in _SPAN.split(", ")])
 
 
 def bucket_spans(contexts: DataFrame, n_buckets: int) -> DataFrame:
@@ -233,42 +280,50 @@ def bucket_spans(contexts: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches):
         held: list[tuple] = []
 
-        def flush(rows):
+        def flush(rows, words):
             # Copies in several documents are an owner of their own: whatever equals them is elsewhere too.
             owners = {key: k for k, key in enumerate(dict.fromkeys(r[:2] for r in rows))}
-            owner = np.array([-1 - k if r[7] else owners[r[:2]] for k, r in enumerate(rows)], np.int64)
-            offsets = repeated_offsets([r[5] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), owner)
+            owner = np.array([-1 - k if r[8] else owners[r[:2]] for k, r in enumerate(rows)], np.int64)
+            offsets = repeated_offsets([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64), owner, words)
             # What has copies repeats as a whole and is marked without this, unless all copies are in one document.
-            offsets = [x if not r[7] else [] for r, x in zip(rows, offsets, strict=True)]
-            return _spans([r[:3] for r in rows], offsets)
+            offsets = [x if not r[8] else [] for r, x in zip(rows, offsets, strict=True)]
+            return _spans([r[:4] for r in rows], offsets, kind(words)[0])
+
+        def both(rows):
+            # Equal rows may have met different tasks of a join that was split; their contexts are here together.
+            rows = list({r[:4]: r for r in rows}.values())
+            for words in (False, True):
+                if some := [r for r in rows if r[2] & 1 == words]:
+                    yield flush(some, words)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("did", "dh", "place", "n", "o", "context", "lead", "spread")), strict=True):
-                if len(held) >= CHUNK and row[6] != held[-1][6]:
-                    yield flush(held)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("did", "dh", "kh", "place", "n", "o", "context", "lead", "spread")), strict=True):
+                if len(held) >= CHUNK and row[7] != held[-1][7]:
+                    yield from both(held)
                     held = []
                 held.append(row)
-        if held:
-            yield flush(held)
+        yield from both(held)
 
     return arrow_step(suffix.repartitionByRange(n_buckets, "lead").sortWithinPartitions("lead"), run, _SPAN)
 
 
 def hot_spans(contexts: DataFrame) -> DataFrame:
     """The same for anchor strings with too many contexts for a bucket: windows counted by 128-bit hash."""
-    kind = "did long, dh long, n long, spread long, start long, w1 long, w2 long"
+    schema = "did long, dh long, kh long, n long, spread long, start long, w1 long, w2 long"
 
     def run(batches):
         for batch in batches:
-            for did, dh, place, n, spread, o, c in zip(*(batch.column(x).to_pylist() for x in ("did", "dh", "place", "n", "spread", "o", "context")), strict=True):
-                count = len(c) - WINDOW + 1
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c[i : i + WINDOW]) for i in range(count)), np.int64).reshape(-1, 2)
-                full = lambda x: pa.array(np.full(count, x, np.int64))
-                yield pa.RecordBatch.from_arrays([full(did), full(dh), full(n), full(spread), pa.array(np.arange(count) + (place - o)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=[x.split()[0] for x in kind.split(", ")])
-
-    windows = arrow_step(contexts.select("did", "dh", "place", "n", "spread", "o", "context"), run, kind)
+            for did, dh, kh, place, n, spread, o, c in zip(*(batch.column(x).to_pylist() for x in ("did", "dh", "kh", "place", "n", "spread", "o", "context")), strict=True):
+                window, step = kind(kh & 1)
+                at = np.arange(0, len(c) - window + 1, step)
+                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c[i : i + window]) for i in at.tolist()), np.int64).reshape(-1, 2)
+                full = lambda x: pa.array(np.full(len(at), x, np.int64))
+                yield pa.RecordBatch.from_arrays([full(did), full(dh), full(kh), full(n), full(spread), pa.array(at + (place - o)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=[x.split()[0] for x in schema.split(", ")])
+
+    windows = arrow_step(contexts.select("did", "dh", "kh", "place", "n", "spread", "o", "context"), run, schema)
     twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total"), (_differ() | (F.max("spread") > 0)).alias("other")).filter("total > 1")
-    return windows.join(twice, ["w1", "w2"]).select("did", "dh", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi"), "other")
+    found = windows.join(twice, ["w1", "w2"]).filter(~of_words() | F.col("other"))
+    return found.select("did", "dh", "kh", F.col("start").alias("lo"), (F.col("start") + window_bytes()).alias("hi"), "other")
 
 
 def _differ():
@@ -277,54 +332,69 @@ def _differ():
 
 
 def find_spans(docs: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """did, dh, lo, hi, other: byte spans covered by repeated windows, overlapping ones included; ``other`` if a window of the span is in another document too."""
+    """did, dh, words, lo, hi, other: byte spans covered by repeated windows, overlapping ones included; ``other`` if a window of the span is in another document too, as all ``words`` are (WORD bytes a word)."""
     spark = docs.sparkSession
     all_anchors = cut(anchor_table(docs))
-    # Longs only, so that each task sums in a hash table before the shuffle.
-    counts = all_anchors.groupBy("kh").agg(F.count("*").alias("total"), F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d"))
-    # Written, so that the join's sides are plain shuffles and an anchor string that many texts share can be split.
-    again = cut(counts.filter("total > 1").select("kh", (~((F.col("a") == F.col("b")) & (F.col("c") == F.col("d")))).alias("mixed")))
+    # Longs only, so that each task sums in a hash table before the shuffle. Written, so that the join's
+    # sides are plain shuffles and an anchor string that many texts share can be split.
+    again = cut(all_anchors.groupBy("kh").count().filter("count > 1").select("kh"))
     candidates = cut(all_anchors.join(again, "kh"))
-    firsts = [F.first(c).alias(c) for c in ("did", "dh", "place", "w_first", "w_last")]
-    kinds = cut(candidates.groupBy("kh", "c1", "c2", "mixed").agg(F.count("*").alias("n"), _differ().alias("spread"), *firsts))
-    whole = candidates.join(kinds.filter("n > 1").select("kh", "c1", "c2", "spread"), ["kh", "c1", "c2"]).select("did", "dh", F.col("w_first").cast("long").alias("lo"), (F.col("w_last") + WINDOW).cast("long").alias("hi"), F.col("spread").alias("other"))
-    mixed = kinds.filter("mixed")
-    large = mixed.groupBy("kh").count().filter(F.col("count") > hot).select("kh", F.lit(True).alias("large"))
-    contexts = fetch_contexts(docs, mixed.join(large, "kh", "left").withColumn("n", F.when(F.col("large"), -F.col("n")).otherwise(F.col("n"))))
-    contexts = cut(contexts.dropDuplicates(["did", "dh", "place"]))
+    firsts = [F.first(c).alias(c) for c in ("did", "dh", "place", "o", "more")]
+    kinds = cut(candidates.groupBy("kh", "c").agg(F.count("*").alias("n"), _differ().alias("spread"), *firsts))
+    copies = kinds.filter(F.col("spread") | (~of_words() & (F.col("n") > 1)))
+    lo = (F.col("place") - F.col("o")).cast("long")
+    whole = candidates.join(copies.select("kh", "c", "spread"), ["kh", "c"]).select("did", "dh", "kh", lo.alias("lo"), (lo + F.col("more") + window_bytes()).alias("hi"), F.col("spread").alias("other"))
+    # Anchor strings with one context are done.
+    several = kinds.groupBy("kh").count().filter("count > 1").select("kh", (F.col("count") > hot).alias("large"))
+    contexts = fetch_contexts(docs, kinds.join(several, "kh").withColumn("n", F.when(F.col("large"), -F.col("n")).otherwise(F.col("n"))))
+    contexts = cut(contexts)
     inside = bucket_spans(contexts.filter("n > 0"), partitions(spark))
-    beyond = hot_spans(contexts.filter("n < 0").withColumn("n", -F.col("n")))
-    return whole.unionByName(inside).unionByName(beyond)
+    beyond = hot_spans(contexts.filter("n < 0").dropDuplicates(["did", "dh", "kh", "place"]).withColumn("n", -F.col("n")))
+    return whole.unionByName(inside).unionByName(beyond).select("did", "dh", of_words().alias("words"), "lo", "hi", "other")
+
+
+def joined_up(spans: list[dict] | None) -> list[dict]:
+    """Sorted spans, those that touch as one."""
+    merged: list[dict] = []
+    for x in spans or []:
+        if merged and x["lo"] <= merged[-1]["hi"]:
+            merged[-1]["hi"] = max(merged[-1]["hi"], x["hi"])
+        else:
+            merged.append(dict(x))
+    return merged
 
 
 def remove(df: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats_elsewhere and removed (byte spans), a row for each row of ``df``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats_elsewhere, n_shared_words and removed (byte spans), a row for each row of ``df``.
 
     repeats_elsewhere: a removed string is in another document too (another id or another text), not in this one alone.
+    n_shared_words: words of passages of WORDS words or more that another document has too.
     """
     docs = keyed(df)
-    spans = find_spans(docs, hot).groupBy("did", "dh").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.max("other").alias("other"))
-    joined = docs.join(spans, ["did", "dh"], "left").select("doc_id", "text", "spans", F.coalesce("other", F.lit(False)).alias("other"))
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_elsewhere boolean, removed array<struct<lo:long,hi:long>>"
+    span = F.struct("lo", "hi")
+    spans = find_spans(docs, hot).groupBy("did", "dh").agg(
+        F.sort_array(F.collect_set(F.when(~F.col("words"), span))).alias("spans"),
+        F.sort_array(F.collect_set(F.when(F.col("words"), span))).alias("shared"),
+        F.max(F.col("other") & ~F.col("words")).alias("other"),
+    )
+    joined = docs.join(spans, ["did", "dh"], "left").select("doc_id", "text", "spans", "shared", F.coalesce("other", F.lit(False)).alias("other"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_elsewhere boolean, n_shared_words long, removed array<struct<lo:long,hi:long>>"
     removed_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def run(batches):
         for batch in slices(batches):
             rows = []
-            for text, spans_ in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data, merged = text.encode(), []
-                for x in spans_ or []:
-                    if merged and x["lo"] <= merged[-1]["hi"]:
-                        merged[-1]["hi"] = max(merged[-1]["hi"], x["hi"])
-                    else:
-                        merged.append(dict(x))
+            for text, spans_, shared in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "shared")), strict=True):
+                data, merged = text.encode(), joined_up(spans_)
                 kept, at = hashlib.sha256(), 0
                 for x in merged:
                     kept.update(data[at : x["lo"]])
                     at = x["hi"]
                 kept.update(data[at:])
-                rows.append((len(data), sum(x["hi"] - x["lo"] for x in merged), len(merged), kept.hexdigest(), merged))
+                words = sum(x["hi"] - x["lo"] for x in joined_up(shared)) // WORD
+                rows.append((len(data), sum(x["hi"] - x["lo"] for x in merged), len(merged), kept.hexdigest(), words, merged))
             c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), batch.column("other"), pa.array(c[4], removed_type)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats_elsewhere", "removed"])
+            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), batch.column("other"), pa.array(c[4], pa.int64()), pa.array(c[5], removed_type)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    return arrow_step(joined, run, kind)
+    return arrow_step(joined, run, schema)
