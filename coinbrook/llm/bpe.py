@@ -2,7 +2,9 @@
 
 A text is split by the vocabulary's pattern; each distinct piece of a batch is
 encoded once by the library and kept in a memo of bounded bytes, so that the library
-sees every piece and little is encoded twice. Very long texts are split and encoded a
+sees every piece and little is encoded twice. The library takes some thousand pieces at
+a time as words of one text; their bytes tell whose ids are whose. Ids are held packed,
+four bytes each, and spelled out by tables. Very long texts are split and encoded a
 stretch at a time; coder and memo go when the task ends. Tokens are written in the byte alphabet
 (one printable character a byte); decoding reverses that table. Token offsets are
 kept in bytes and in code points: a token that holds a part of a character covers
@@ -16,13 +18,14 @@ result; further columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import os
 import sys
-from array import array
 from collections.abc import Iterator, Sequence
 from itertools import accumulate, chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,6 +37,8 @@ MEMO_BYTES = 40 << 20
 ENTRY_BYTES = 100
 #: Pieces of a very long text that are encoded at once.
 STRETCH = 100_000
+#: Ids that are spelled out at once.
+SPELLED = 1 << 16
 
 
 def byte_alphabet() -> list[str]:
@@ -43,6 +48,23 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
+class Spelling:
+    """Bytes of each id in one block, so that many ids are spelled out by an index."""
+
+    def __init__(self, of: dict[int, bytes]):
+        self.sizes = np.zeros(max(of, default=-1) + 1, np.int64)
+        self.sizes[list(of)] = [len(x) for x in of.values()]
+        self.ends = np.cumsum(self.sizes)
+        self.block = np.frombuffer(b"".join(of[i] for i in sorted(of)), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> Iterator[bytes]:
+        for start in range(0, len(ids), SPELLED):
+            some = ids[start : start + SPELLED]
+            size = self.sizes[some]
+            shift = self.ends[some] - np.cumsum(size)
+            yield self.block[np.arange(size.sum()) + np.repeat(shift, size)].tobytes()
+
+
 class ByteBpe:
     """Encoder and decoder for one file of ranks; made once in each task."""
 
@@ -54,8 +76,7 @@ class ByteBpe:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.alphabet = byte_alphabet()
-        # Latin-1 has a character for each byte, which the table turns into the byte alphabet.
-        self.spelling = {b: c for b, c in enumerate(self.alphabet) if ord(c) != b}
+        self.spelling = "".join(self.alphabet)
         written = {token: self.spell(token) for token in ranks}
         # Any split of a token into two known tokens may be merged, in the order of the token's rank.
         merges = [
@@ -68,13 +89,14 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         back = {ord(c): chr(b) for b, c in enumerate(self.alphabet) if ord(c) != b}
         self.token_bytes = {r: written[t].translate(back).encode("latin-1") for t, r in ranks.items()}
-        self.id_text = {r: str(r) for r in ranks.values()}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.decoding = Spelling(self.token_bytes)
+        self.numbers = Spelling({r: b"%d," % r for r in ranks.values()})
+        self.memo: dict[str, bytes] = {}
         self.held = 0
 
     def spell(self, data: bytes) -> str:
         """``data`` in the byte alphabet."""
-        return data.decode("latin-1").translate(self.spelling)
+        return codecs.charmap_decode(data, "strict", self.spelling)[0]
 
     def learn(self, pieces: list[list[str]]) -> None:
         """Puts the ids of all pieces into the memo."""
@@ -85,27 +107,42 @@ class ByteBpe:
         new = [p for p in dict.fromkeys(chain.from_iterable(pieces)) if p not in memo]
         for start in range(0, len(new), 2_000):
             some = new[start : start + 2_000]
-            ids = [tuple(e.ids) for e in self.model.encode_batch_fast([self.spell(p.encode()) for p in some], add_special_tokens=False)]
-            memo.update(zip(some, ids, strict=True))
-            self.held += sum(map(sys.getsizeof, some)) + sum(map(sys.getsizeof, ids)) + ENTRY_BYTES * len(some)
-
-    def encode(self, texts: list[str]) -> Iterator[Sequence[int]]:
-        """The ids of each text; special tokens are ordinary text here."""
+            data = [p.encode() for p in some]
+            # Pretokenized words are encoded each by itself.
+            found = self.model.encode_batch_fast([[self.spell(d) for d in data]], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.int32)
+            # A piece's tokens spell it, so its last token ends where it does.
+            token_ends, piece_ends = np.cumsum(self.decoding.sizes[ids]), np.cumsum([len(d) for d in data])
+            last = np.searchsorted(token_ends, piece_ends)
+            if len(ids) == 0 or token_ends[-1] != piece_ends[-1] or (token_ends[last] != piece_ends).any():
+                raise ValueError("the ranks lack single bytes, so that not every text has ids")
+            packed, bounds = ids.tobytes(), [0, *((last + 1) * ids.itemsize).tolist()]
+            values = [packed[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+            memo.update(zip(some, values, strict=True))
+            self.held += sum(map(sys.getsizeof, some)) + sum(map(sys.getsizeof, values)) + ENTRY_BYTES * len(some)
+
+    def packed(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text as 32-bit numbers; special tokens are ordinary text here."""
         if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
-            yield self.encode_long(texts[0])
+            yield self.packed_long(texts[0])
             return
         split = [self.pattern.findall(t) for t in texts]
         self.learn(split)
         for pieces in split:
-            yield list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
+            yield np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
 
-    def encode_long(self, text: str) -> array:
+    def packed_long(self, text: str) -> np.ndarray:
         """The same for one very long text, whose pieces are not all held at once."""
-        found, ids = (m[0] for m in self.pattern.finditer(text)), array("i")
+        found, ids = (m[0] for m in self.pattern.finditer(text)), bytearray()
         while some := list(islice(found, STRETCH)):
             self.learn([some])
-            ids.extend(chain.from_iterable(map(self.memo.__getitem__, some)))
-        return ids
+            ids += b"".join(map(self.memo.__getitem__, some))
+        return np.frombuffer(ids, np.int32)
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text as a list."""
+        for ids in self.packed(texts):
+            yield ids.tolist()
 
     def decode_bytes(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -142,10 +179,10 @@ def encode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = N
     def run(batches):
         bpe = ByteBpe(path, pat)
         for batch in slices(batches):
-            ids = list(bpe.encode(batch.column("text").to_pylist()))
+            ids = list(bpe.packed(batch.column("text").to_pylist()))
             columns = [batch.column("doc_id"), pa.array(ids, schema.field("ids").type)]
             if offsets:
-                each = [bpe.offsets(x) for x in ids]
+                each = [bpe.offsets(x.tolist()) for x in ids]
                 columns += [pa.array([[s[k] for s in x] for x in each], pa.list_(pa.int32())) for k in range(4)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -175,10 +212,14 @@ def round_trip(df: DataFrame, ranks_path: str | None = None, pattern: str | None
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             rows: list[list] = [[], [], [], []]
-            for text, ids in zip(texts, bpe.encode(texts), strict=True):
-                decoded = bpe.decode_bytes(ids)
+            for text, ids in zip(texts, bpe.packed(texts), strict=True):
+                decoded, written = b"".join(bpe.decoding(ids)), hashlib.sha256()
+                for numbers in bpe.numbers(ids[:-1]):
+                    written.update(numbers)
+                # No comma after the last.
+                written.update(b"%d" % ids[-1] if len(ids) else b"")
                 rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(",".join(map(bpe.id_text.__getitem__, ids)).encode()).hexdigest())
+                rows[1].append(written.hexdigest())
                 rows[2].append(hashlib.sha256(decoded).hexdigest())
                 rows[3].append(decoded == text.encode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(rows, list(schema)[1:], strict=True))], schema=schema)
