@@ -18,8 +18,8 @@ from coinbrook.functions import money
 VERSION = "1.0.0"
 MAX_BRAIN_BYTES = 10 * 1024 * 1024
 PROHIBITED = ("transactions", "accounts", "imports", "statements", "secrets", "apiKeys", "balances")
-#: Levels of nesting that ``key_paths`` follows.
-DEPTH = 64
+#: Levels of nesting that ``key_paths`` follows, and those of a transaction's document.
+DEPTH, LEVELS = 64, 3
 
 _CLASSIFICATION = "struct<value:string,source:string,locked:boolean>"
 DOCUMENT = (
@@ -52,16 +52,16 @@ def canonical(body: Column) -> Column:
 
 
 def transaction_documents(ledger: DataFrame) -> DataFrame:
-    """txn_id and document, the canonical document of each row; columns that the ledger does not have count as unknown."""
+    """txn_id and document, the canonical document of each row; columns that the ledger does not have count as unknown. Fields are put in order here, so that a document is written once and not parsed."""
     have = set(ledger.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None)
-    one = lambda value, lock: F.when(col(value).isNotNull() | col(lock).cast("boolean"), F.struct(col(value).cast("string").alias("value"), F.coalesce(col(lock).cast("boolean"), F.lit(False)).alias("locked")))
-    parts = [
-        F.lit(VERSION).alias("schemaVersion"), *[col(c).cast("string").alias(k) for k, c in _FIELDS.items()], col("posted_date").cast("string").alias("postedDate"), col("transaction_date").cast("string").alias("transactionDate"),
-        money.render(F.col("amount")).alias("amount"), F.coalesce(col("tags").cast("array<string>"), F.array().cast("array<string>")).alias("tags"),
-        F.struct(one("category_id", "category_locked").alias("category"), one("merchant_id", "merchant_locked").alias("merchant")).alias("classifications"),
-    ]
-    return ledger.select("txn_id", canonical(F.to_json(F.struct(*parts))).alias("document"))
+    one = lambda value, lock: F.when(col(value).isNotNull() | col(lock).cast("boolean"), F.struct(F.coalesce(col(lock).cast("boolean"), F.lit(False)).alias("locked"), col(value).cast("string").alias("value")))
+    parts = {k: col(c).cast("string") for k, c in _FIELDS.items()} | {
+        "schemaVersion": F.lit(VERSION), "postedDate": col("posted_date").cast("string"), "transactionDate": col("transaction_date").cast("string"),
+        "amount": money.render(F.col("amount")), "tags": F.coalesce(col("tags").cast("array<string>"), F.array().cast("array<string>")),
+        "classifications": F.struct(one("category_id", "category_locked").alias("category"), one("merchant_id", "merchant_locked").alias("merchant")),
+    }
+    return ledger.select("txn_id", F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)])).alias("document"))
 
 
 def decoded(documents: DataFrame) -> DataFrame:
@@ -96,20 +96,36 @@ def decoded(documents: DataFrame) -> DataFrame:
     return rows.select(*documents.columns, F.col("_one.problem").alias("problem"), F.when(F.col("_one.problem").isNull(), F.col("_one.row")).alias("_row")).select(*documents.columns, "problem", "_row.*")
 
 
-def key_paths(documents: DataFrame, key: str, body: str) -> DataFrame:
-    """``key``, path, name and depth of every key of every object in JSON documents, level by level; elements of arrays stand in a path as []. Levels stop where none has children, at DEPTH at most."""
+def key_paths(documents: DataFrame, key: str, body: str, levels: int | None = None) -> DataFrame:
+    """``key``, path, name and depth of every key of every object in JSON documents; elements of arrays stand in a path as []. Levels stop where none has children, at DEPTH at most.
+
+    Each document is parsed once and opened level after level in one task. ``levels``: how many a
+    document has at most, where its schema says so (one with more is an error); else a first pass
+    counts the brackets that a document opens, which are no fewer.
+    """
     spark = documents.sparkSession
-    level = documents.select(F.col(key).alias("k"), F.lit("").alias("path"), parsed(F.col(body)).alias("v"))
-    out = None
-    for depth in range(1, DEPTH + 1):
-        level = level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        if level.isEmpty():
-            break
-        each = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("k", F.concat("path", F.when(F.col("key").isNull(), "[]").otherwise(F.concat(F.lit("/"), F.col("key")))).alias("path"), F.col("key").alias("name"), F.col("value").alias("v"))
-        named = each.filter("name is not null").select(F.col("k").alias(key), "path", "name", F.lit(depth).alias("depth"))
-        out = named if out is None else out.unionByName(named)
-        level = each.select("k", "path", "v")
-    return out if out is not None else spark.createDataFrame([], f"{key} {documents.schema[key].dataType.simpleString()}, path string, name string, depth int")
+    if levels is None:
+        opened = F.octet_length(F.col(body)) - F.octet_length(F.replace(F.replace(F.col(body), F.lit("{")), F.lit("[")))
+        steps = min(documents.agg(F.max(opened).alias("n")).first()["n"] or 0, DEPTH)
+    else:
+        steps = levels
+    explode = lambda rows: rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+    # A text that is JSON between brackets of both kinds is one value (see ``parsed``).
+    text = documents.select(F.col(key).alias("k"), F.col(body).alias("text"))
+    whole = F.try_parse_json(F.concat(F.lit('{"x":'), "text", F.lit("}"))).isNotNull()
+    rows = explode(text.select("k", F.when(whole, F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]")))).alias("v")))
+    found = "array<struct<path:string,name:string,depth:int>>"
+    rows = rows.select("k", F.lit("").alias("path"), F.array().cast(found).alias("found"), F.col("value").alias("v"))
+    for depth in range(1, steps + 1):
+        # The first child, or the row itself if it has none, takes along what was found above it.
+        path = F.when(F.col("key").isNotNull(), F.concat("path", F.lit("/"), "key")).when(F.col("pos").isNotNull(), F.concat("path", F.lit("[]"))).otherwise(F.col("path"))
+        each = explode(rows).select("k", path.alias("path"), F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("found")).otherwise(F.array().cast(found)).alias("above"), F.col("key").alias("name"), F.col("value").alias("v"))
+        own = F.array(F.struct("path", "name", F.lit(depth).alias("depth")))
+        rows = each.select("k", "path", F.when(F.col("name").isNull(), F.col("above")).otherwise(F.concat("above", own)).alias("found"), "v")
+    if levels is not None:
+        deeper = F.schema_of_variant("v").rlike("^(OBJECT<[^>]|ARRAY<(?!VOID>$))")
+        rows = rows.withColumn("found", F.when(F.coalesce(deeper, F.lit(False)), F.raise_error(F.concat(F.lit(f"more than {levels} levels: "), "path"))).otherwise(F.col("found")))
+    return rows.select(F.col("k").alias(key), F.explode("found").alias("e")).select(key, "e.path", "e.name", "e.depth")
 
 
 _ITEM = "array<struct<id:string,name:string,parentId:string,redirectToId:string>>"

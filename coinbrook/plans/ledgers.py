@@ -60,10 +60,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as a ledger. Nations and regions are fixed tables of a few rows; customers are joined as they come."""
+    """Orders as a ledger. Nations and regions are fixed tables of a few rows, so that no order is dealt by its nation; customers are joined as they come."""
     t = lambda n: table(spark, sf_dir, n)
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    rows = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(places, F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(places), F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.select(
         F.col("o_orderkey").alias("txn_id"),
         F.col("o_custkey").alias("account_id"),

@@ -245,7 +245,7 @@ SELECT '/' || name AS path, CAST(count(*) AS BIGINT) AS n FROM parts WHERE name
 UNION ALL SELECT '/classifications', count(*) FROM docs UNION ALL SELECT '/classifications/category' || x, count(category_id) FROM docs, (SELECT unnest(['', '/locked', '/value']) AS x) GROUP BY x UNION ALL SELECT '/classifications/merchant' || x, count(merchant_id) FROM docs, (SELECT unnest(['', '/locked', '/value']) AS x) GROUP BY x""")
 def document_key_paths(spark, sf_dir):
     docs = documents.transaction_documents(L.ledger(spark, sf_dir))
-    return documents.key_paths(docs, "txn_id", "document").groupBy("path").agg(F.count("*").alias("n"))
+    return documents.key_paths(docs, "txn_id", "document", documents.LEVELS).groupBy("path").agg(F.count("*").alias("n"))
 
 
 @register(f"""WITH {L.LEDGER}, d AS (SELECT sha256(concat('t:', account_id, ':', posted_date)) AS d, count(*) AS n FROM ledger GROUP BY 1),
