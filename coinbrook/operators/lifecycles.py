@@ -47,7 +47,8 @@ def state(events: DataFrame, statuses: dict[str, str]) -> DataFrame:
 # Transfers
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a written table: what is read several times is computed once."""
     path = f"{shared_dir(df.sparkSession)}/commands-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -73,7 +74,7 @@ def judged_confirmations(commands: DataFrame, proposals: DataFrame, ledger: Data
         by = taken.groupBy(F.col("txn_id").alias(f"{side}_id")).agg(F.collect_set("by").alias(f"{side}_by"))  # a transaction is in one confirmed link
         rows = rows.join(by, f"{side}_id", "left").withColumn(f"{side}_taken", F.exists(F.coalesce(f"{side}_by", F.array().cast("array<string>")), lambda s: s != F.col("signature")))
     refusal = F.when(F.col("is_ambiguous").isNull(), "unknown").when(F.col("is_ambiguous"), "ambiguous").when(~(F.col("outflow_same") & F.col("inflow_same")), "stale").when(F.col("outflow_taken") | F.col("inflow_taken"), "reused")
-    judged = _cut(rows.select("seq", "signature", "outflow_id", "inflow_id", refusal.alias("refusal")))
+    judged = cut(rows.select("seq", "signature", "outflow_id", "inflow_id", refusal.alias("refusal")))
     return _in_order(judged)
 
 
@@ -92,30 +93,53 @@ def _in_order(judged: DataFrame) -> DataFrame:
         after = rest.join(hit, "seq", "left").withColumn("refusal", F.when(F.col("other"), "reused"))
         again = F.coalesce(~F.col("other"), F.lit(False))
         done = done.unionByName(settled).unionByName(after.filter(F.col("refusal").isNotNull() | again).select(*judged.columns))
-        done, open_ = _cut(done), _cut(after.filter(F.col("refusal").isNull() & ~again).select(*judged.columns))
+        done, open_ = cut(done), cut(after.filter(F.col("refusal").isNull() & ~again).select(*judged.columns))
     return done
 
 
 # Recurring series
 
 
-def merged(decisions: DataFrame, members: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Decisions, members and refusals (merge_id, problem) after merges: wanted has merge_id, name, ordinal and signature, a row for each series to merge.
+def merges(decisions: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New decisions (key, signature, name, cadence), their parts (key, signature) and refusals (merge_id, problem) of merges: wanted has merge_id, name, ordinal and signature, a row for each series to merge.
 
-    decisions: signature, name, status, cadence, tolerance_days, detector_version. members:
-    signature, txn_id. The new decision's signature names the merged ones in order; it has their
-    members once, and the cadence of the first. Those merged are superseded.
+    A new signature names all that was merged and may be long, so it stands in one row; parts
+    have its digest as key.
     """
     known = wanted.join(decisions.select("signature", "cadence", F.lit(True).alias("known")), "signature", "left")
     each = known.groupBy("merge_id").agg(
         F.count_distinct("signature").alias("n"), F.count_if(F.col("known").isNull()).alias("unknown"), F.first("name").alias("name"), F.min(F.struct("ordinal", "cadence")).alias("first"), F.array_sort(F.collect_set("signature")).alias("parts")
     )
     problem = F.when(F.col("unknown") > 0, "unknown series").when(F.col("n") < 2, "fewer than two series")
-    good = each.filter(problem.isNull()).select("merge_id", F.concat(F.lit("merged:"), F.array_join("parts", ":")).alias("new"), F.substring(F.trim("name"), 1, 120).alias("name"), F.col("first.cadence").alias("cadence"))
-    parts = wanted.join(good.select("merge_id", "new"), "merge_id").select("signature", "new").distinct()
-    added = good.select(F.col("new").alias("signature"), "name", F.lit("confirmed").alias("status"), "cadence", F.lit(None).cast("int").alias("tolerance_days"), F.lit("user-merged-v1").alias("detector_version"))
-    own = members.join(parts, "signature").select(F.col("new").alias("signature"), "txn_id").distinct()
-    return _superseded(decisions, parts).unionByName(added.select(*decisions.columns)), members.unionByName(own), each.filter(problem.isNotNull()).select("merge_id", problem.alias("problem"))
+    new = F.concat(F.lit("merged:"), F.array_join("parts", ":"))
+    good = each.filter(problem.isNull()).select("merge_id", new.alias("signature"), F.substring(F.trim("name"), 1, 120).alias("name"), F.col("first.cadence").alias("cadence")).withColumn("key", F.sha2(F.col("signature"), 256))
+    parts = wanted.join(good.select("merge_id", "key"), "merge_id").select("key", "signature").distinct()
+    return good.select("key", "signature", "name", "cadence"), parts, each.filter(problem.isNotNull()).select("merge_id", problem.alias("problem"))
+
+
+def merged_members(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """key and txn_id: the members of the ``parts`` of ``merges``, each once in a new decision."""
+    return members.join(parts, "signature").select("key", "txn_id").distinct()
+
+
+def merged_decisions(decisions: DataFrame, added: DataFrame, parts: DataFrame) -> DataFrame:
+    """Decisions with those that ``merges`` adds; its parts are superseded."""
+    new = added.select("signature", "name", F.lit("confirmed").alias("status"), "cadence", F.lit(None).cast("int").alias("tolerance_days"), F.lit("user-merged-v1").alias("detector_version"))
+    return _superseded(decisions, parts).unionByName(new.select(*decisions.columns))
+
+
+def merged(decisions: DataFrame, members: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decisions, members and refusals (merge_id, problem) after merges: wanted has merge_id, name, ordinal and signature, a row for each series to merge.
+
+    decisions: signature, name, status, cadence, tolerance_days, detector_version. members:
+    signature, txn_id. The new decision's signature names the merged ones in order; it has their
+    members once, and the cadence of the first. Those merged are superseded. Every member gets
+    its decision's whole signature here; where many series are merged, work with the keys of
+    ``merges`` instead.
+    """
+    added, parts, bad = merges(decisions, wanted)
+    own = merged_members(members, parts).join(added.select("key", "signature").dropDuplicates(["key"]), "key").select("signature", "txn_id")
+    return merged_decisions(decisions, added, parts), members.unionByName(own), bad
 
 
 def _superseded(decisions: DataFrame, parts: DataFrame) -> DataFrame:

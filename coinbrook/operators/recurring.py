@@ -98,6 +98,12 @@ def proposals(ledger: DataFrame, excluded_ids: DataFrame | None = None) -> DataF
     return described(series, medians_of(counts, key, "size"))
 
 
+def found(ledger: DataFrame, excluded_ids: DataFrame | None = None) -> DataFrame:
+    """signature, name, currency, cadence, members, first_seen and last_seen of each series: ``proposals`` without what amounts say."""
+    groups = eligible(ledger, excluded_ids).groupBy("name", "currency").agg(F.count("*").cast("long").alias("members"), F.min("posted_date").alias("first_seen"), F.max("posted_date").alias("last_seen"))
+    return regular(groups).select(signature(F.col("name"), F.col("currency"), F.col("cadence")).alias("signature"), "name", "currency", "cadence", "members", "first_seen", "last_seen")
+
+
 def signature(name: Column, currency: Column, cadence: Column) -> Column:
     """The key of a series holds the currency once in small letters, and the signature adds it again."""
     return F.concat_ws(":", F.lower(F.concat_ws(":", name, currency)), currency, cadence)

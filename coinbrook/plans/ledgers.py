@@ -74,16 +74,17 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as outflows with repeating descriptions. They have no key of their own; txn_id is null."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    letters = F.translate(F.col("l_partkey").cast("string"), "0123456789", "ABCDEFGHIJ")
+    """Line items as outflows with repeating descriptions, made once a part. They have no key of their own; txn_id is null."""
+    letters = F.translate(F.col("p_partkey").cast("string"), "0123456789", "ABCDEFGHIJ")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(" "), letters).alias("description"))
+    rows = table(spark, sf_dir, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey"))
     return rows.select(
         F.lit(None).cast("long").alias("txn_id"),
         F.to_date("l_shipdate").alias("posted_date"),
         (-F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"),
         F.lit("USD").alias("currency"),
         F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 4), "pending").otherwise("posted").alias("status"),
-        F.concat(F.col("p_name"), F.lit(" "), letters).alias("description"),
+        "description",
     )
 
 

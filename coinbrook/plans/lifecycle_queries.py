@@ -47,7 +47,7 @@ m AS (SELECT s.signature, e.name, e.posted_date, CAST(count(*) AS BIGINT) AS txn
 def _decided(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Each series as a decision; its members are named by their series and day (as line items have no key)."""
     rows = L.items(spark, sf_dir)
-    found = recurring.proposals(rows)
+    found = lifecycles.cut(recurring.found(rows))
     n = F.col("members")
     decisions = found.select("signature", "name", F.when(n % 3 == 0, "muted").otherwise("confirmed").alias("status"), "cadence", (n % 5).cast("int").alias("tolerance_days"), F.when(n % 4 == 0, "recurring-v0").otherwise("recurring-v1").alias("detector_version"))
     members = recurring.eligible(rows).join(found.select("name", "currency", "signature"), ["name", "currency"]).select("signature", F.concat_ws("@", "name", F.col("posted_date").cast("string")).alias("txn_id")).distinct()
@@ -65,8 +65,10 @@ def recurring_merged(spark, sf_dir):
     """Series whose names begin alike are merged."""
     decisions, members = _decided(spark, sf_dir)
     wanted = decisions.select(F.substring("name", 1, 4).alias("merge_id"), F.substring("name", 1, 4).alias("name"), F.col("signature").alias("ordinal"), "signature")
-    d, m, _ = lifecycles.merged(decisions, members, wanted)
-    return d.join(m.groupBy("signature").agg(F.count("*").alias("n_members")), "signature").select("signature", "status", "cadence", "n_members")
+    added, parts, _ = lifecycles.merges(decisions, wanted)
+    n = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n_members"))
+    sizes = n(members, "signature").unionByName(n(lifecycles.merged_members(members, parts), "key").join(added.select("key", "signature"), "key").drop("key"))
+    return lifecycles.merged_decisions(decisions, added, parts).join(sizes, "signature").select("signature", "status", "cadence", "n_members")
 
 
 @register(f"""{_KEYS}, grp AS (SELECT k.*, CASE WHEN length(d.name) % 3 = 2 THEN 1 ELSE CAST(right(txn_id, 1) AS INTEGER) % 2 + 1 END AS child, length(d.name) % 3 AS kind FROM k JOIN d USING (signature)),
